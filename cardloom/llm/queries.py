@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, token_counts
+from . import mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
 from .shared import table, table_path
 
 #: Where the public tokenizer files lie.
@@ -21,6 +21,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +38,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024, end=2)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), table_path(spark, "count-cache"), limit=512)
 
@@ -38,5 +55,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=2, percent=80)
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_packing": op4_packing, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_quality_crf": op2_quality_crf,
+    "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
+    "op8_near_dedup": op8_near_dedup,
+}
 ORACLES: dict[str, str] = {}
