@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import ann, mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
 from .shared import table, table_path
 
 #: Where the public tokenizer files lie.
@@ -55,6 +55,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=2, percent=80)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_crf": op2_quality_crf,
@@ -64,5 +69,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {}
