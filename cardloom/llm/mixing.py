@@ -14,7 +14,7 @@ of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, cut
@@ -97,11 +97,15 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("slot", "source", "rank", "pass", "block", F.least(whole, partly).cast("long").alias("words"))
 
 
+def shuffle_key() -> Column:
+    """What a document's place in its source's shuffled order comes from."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, size, source, source_size, target, start, taken."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    light = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "mix-sizes")
+    light = cut(docs.select("doc_id", "source", size.alias("size"), shuffle_key().alias("key")), "mix-sizes")
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sizes = cut(sizes, "mix-sources")
     n = sizes.agg(F.sum("docs")).first()[0] or 0
@@ -120,3 +124,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, block: int
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = out.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source", "source_size", "target", "start", "key", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0) -> DataFrame:
+    """docs as rows of the mix: each document as often as it is taken, to the nearest whole number."""
+    mixed = mix(docs, weights, cap).where("taken > 0").select("key", F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    # equal documents share a key: one of them stands for all
+    times = cut(mixed.groupBy(F.col("key").alias("__key")).agg(F.sum("__times").cast("int").alias("__times")).where("__times > 0"), "mix-times")
+    out = docs.withColumn("__key", shuffle_key()).dropDuplicates(["__key"]).join(times, "__key")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

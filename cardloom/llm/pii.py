@@ -78,13 +78,13 @@ def placed(text: Column, pattern: str) -> Column:
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<start, kind, end>> of a kind's valid matches."""
+def base_spans(text: Column, kind: str, digits: Column) -> Column:
+    """array<struct<start, kind, end>> of a kind's valid matches. digits: whether the text has a digit."""
     number = KINDS.index(kind)
     hits = F.filter(placed(text, PATTERNS[kind]), lambda x: valid(kind, x["match"]))
     spans = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
     some = text.contains(HINTS[kind]) if HINTS[kind] else F.lit(True)
-    return F.when(some & (F.col("digits") if kind != "email" else F.lit(True)), spans).otherwise(F.array().cast(SPAN))
+    return F.when(some & (digits if kind != "email" else F.lit(True)), spans).otherwise(F.array().cast(SPAN))
 
 
 def shape(token: Column) -> Column:
@@ -101,14 +101,18 @@ def tokens_with_context(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("token"), near(last(F.substring(text, F.greatest(x["start"] - 79, F.lit(1)), F.least(x["start"], F.lit(80))))).alias("before"), near(first(F.substring(text, x["end"] + 1, F.lit(80)))).alias("after")))
 
 
+def text_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """doc_id, key, base (sorted spans), tokens: one light row for each document. key names the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", text.alias("text"), text.rlike("[0-9]").alias("digits"))
-    parts = [base_spans(F.col("text"), k).alias(f"b{i}") for i, k in enumerate(KINDS)]
+    parts = [base_spans(F.col("text"), k, F.col("digits")).alias(f"b{i}") for i, k in enumerate(KINDS)]
     some = F.col("digits") | F.col("text").contains("@")
     empty = F.array().cast("array<struct<start:int,end:int,token:string,before:string,after:string>>")
-    out = out.select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("key"), *parts, F.when(some, tokens_with_context(F.col("text"))).otherwise(empty).alias("tokens"))
+    out = out.select("doc_id", text_key(F.col("text")).alias("key"), *parts, F.when(some, tokens_with_context(F.col("text"))).otherwise(empty).alias("tokens"))
     return out.select("doc_id", "key", F.array_sort(F.concat("b0", "b1", "b2", "b3")).alias("base"), "tokens")
 
 
@@ -169,3 +173,18 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(got["at"], s["end"])).alias("at"), F.when(fresh, more).otherwise(got["out"]).alias("out"))
 
     return F.aggregate(spans, start, step, lambda got: F.concat(got["out"], F.substring(text, got["at"] + 1, F.length(text))))
+
+
+def blanked(docs: DataFrame) -> DataFrame:
+    """docs with the spans of all texts replaced by their kinds; null texts stay null.
+
+    Base spans are found where the text is, so no text is moved for them; the few further spans, a written table whose
+    size Spark knows, are joined to their texts.
+    """
+    found = cut(detected(docs), "pii-found")
+    more = discovered(found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__more"))
+    more = cut(more.withColumnRenamed("key", "__k"), "pii-more")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.withColumn("__digits", text.rlike("[0-9]")).withColumn("__base", F.concat(*[base_spans(text, k, F.col("__digits")) for k in KINDS]))
+    out = out.join(more, text_key(text) == F.col("__k"), "left").withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(SPAN)))))
+    return out.withColumn("text", F.when(F.size("__spans") > 0, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))).select(docs.columns)

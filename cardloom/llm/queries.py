@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import ann, html_extract, mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
 from .shared import table, table_path
 
 #: Where the public tokenizer files lie.
@@ -55,6 +55,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=2, percent=80)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -69,6 +79,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html": op9_html,
     "op10_ann": op10_ann,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}

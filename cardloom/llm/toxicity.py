@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .shared import cut, fold
 
@@ -222,6 +223,18 @@ def score(docs: DataFrame, model: Model, *, evidence: bool = False) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int" + ", example_ids array<long>, cosines array<double>" * evidence)
 
 
+def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
+    """docs with one more column: 1 if the score of its text is 0.5 or more, else 0."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = pa.array([int(held.value.score(t.as_py())[0] >= 0.5) for t in b.column(at)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, evidence: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from labels whose fold isn't ``held`` only."""
     model = fit(docs, labels.where(fold(F.col("doc_id"), folds) != held))
