@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 #: Letters that recognition confuses in month names and years (fixed values): pattern, replacement.
 NOISE = (("(?i)\\b[Q0]ctober\\b", "October"), ("(?i)\\b[Q0]ct\\b", "Oct"), ("(?i)\\bBuriat\\b", "Burial"), ("(?i)\\bDacof\\b", "Date of"), ("\\b20(\\d)[\\]Il]", "20$11"), ("\\b20Z(\\d)\\b", "202$1"))
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -25,24 +27,29 @@ def full_year(two_or_four: Column, pivot: int = 50) -> Column:
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+    return let(F.format_string("%04d-%02d-%02d", year, month, day), lambda t: F.when(F.try_to_date(t, "yyyy-MM-dd").isNotNull(), t))
+
+
+def _found(c: Column, pattern: str, group: int = 0) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def first_date(c: Column) -> Column:
     """The first date in a text as it stands there; one with a month's name goes first."""
-    clean = denoised(c)
-    return F.coalesce(F.nullif(F.regexp_extract(clean, WORDED, 0), F.lit("")), F.nullif(F.regexp_extract(clean, NUMBERED, 0), F.lit("")))
+    return let(denoised(c), lambda t: F.coalesce(_found(t, WORDED), _found(t, NUMBERED)))
+
+
+def _read_date(t: Column) -> Column:
+    """ISO text of one date as it stands in a text."""
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(_found(t, WORDED, 1), 1, 3))).cast("int")
+    worded = let(_found(t, WORDED, 3), lambda y: _iso(full_year(y), month, _found(t, WORDED, 2).cast("int")))
+    numbered = let(_found(t, NUMBERED, 3), lambda y: _iso(full_year(y), _found(t, NUMBERED, 1).cast("int"), _found(t, NUMBERED, 2).cast("int")))
+    return F.coalesce(worded, numbered)
 
 
 def iso_date(c: Column) -> Column:
     """``Month D, YYYY``, ``M/D/Y`` or ``M-D-Y`` as ISO text; years have two or four digits."""
-    text = first_date(c)
-    part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(part(WORDED, 1), 1, 3))).cast("int")
-    worded = _iso(full_year(part(WORDED, 3)), month, part(WORDED, 2).cast("int"))
-    numbered = _iso(full_year(part(NUMBERED, 3)), part(NUMBERED, 1).cast("int"), part(NUMBERED, 2).cast("int"))
-    return F.coalesce(worded, numbered)
+    return let(first_date(c), _read_date)
 
 
 def valid_iso(c: Column) -> Column:
@@ -52,14 +59,12 @@ def valid_iso(c: Column) -> Column:
 
 def normal_date(c: Column) -> Column:
     """For comparison: ISO where it can be made, the empty text for blanks, else null."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(t == "", F.lit("")).otherwise(F.coalesce(valid_iso(t), iso_date(t)))
+    return let(F.trim(F.coalesce(c, F.lit(""))), lambda t: F.when(t == "", F.lit("")).otherwise(F.coalesce(valid_iso(t), iso_date(t))))
 
 
 def strict_date(c: Column) -> Column:
     """As normal_date, but what can't be read raises an error."""
-    out = normal_date(c)
-    return F.when(out.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("string")).otherwise(out)
+    return F.coalesce(normal_date(c), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("string"))
 
 
 def century_fixed(iso: Column, raw: Column, this_year: int) -> Column:
@@ -70,20 +75,23 @@ def century_fixed(iso: Column, raw: Column, this_year: int) -> Column:
 
 
 def dates_in(c: Column) -> Column:
-    """All dates of a text as ISO, in order."""
-    found = F.concat(F.regexp_extract_all(denoised(c), F.lit(WORDED), F.lit(0)), F.regexp_extract_all(denoised(c), F.lit(NUMBERED), F.lit(0)))
-    return F.filter(F.transform(found, iso_date), lambda d: d.isNotNull())
+    """All dates of a text as ISO, those with a month's name first; none for a null text."""
+    every = let(denoised(F.coalesce(c, F.lit(""))), lambda t: F.concat(F.regexp_extract_all(t, F.lit(WORDED), F.lit(0)), F.regexp_extract_all(t, F.lit(NUMBERED), F.lit(0))))
+    return F.filter(F.transform(every, lambda t: _read_date(t)), lambda d: d.isNotNull())
 
 
 def labelled_date(lines: Column, label: str, stops: str) -> Column:
     """The latest date on the line with a label, or on the two lines after it, before any line that matches ``stops``."""
+
+    def latest(near: Column) -> Column:
+        first = F.regexp_replace(F.regexp_replace(F.try_element_at(near, F.lit(1)), f"^.*?{label}", ""), f"(?i)({stops}).*$", "")
+        rest = F.slice(near, 2, 2)
+        at = F.array_position(F.transform(rest, lambda x: x.rlike(f"(?i){stops}")), F.lit(True)).cast("int")
+        before = F.slice(rest, 1, F.when(at > 0, at - 1).otherwise(2))
+        return F.array_max(F.flatten(F.transform(F.concat(F.array(first), before), lambda x: dates_in(x))))
+
     at = F.array_position(F.transform(lines, lambda x: x.rlike(label)), F.lit(True)).cast("int")
-    near = F.when(at > 0, F.slice(lines, at, 3)).otherwise(F.array().cast("array<string>"))
-    first = F.regexp_replace(F.regexp_replace(F.try_element_at(near, F.lit(1)), f"^.*?{label}", ""), f"(?i)({stops}).*$", "")
-    rest = F.slice(near, 2, 2)
-    stop = F.array_position(F.transform(rest, lambda x: x.rlike(f"(?i){stops}")), F.lit(True)).cast("int")
-    rest = F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
-    return F.array_max(F.flatten(F.transform(F.concat(F.array(first), rest), lambda x: F.coalesce(dates_in(x), F.array().cast("array<string>")))))
+    return let(let(at, lambda i: F.when(i > 0, F.slice(lines, i, 3)).otherwise(F.array().cast("array<string>"))), latest)
 
 
 def repaired_compact(c: Column) -> Column:

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two boxes [x1, y1, x2, y2]."""
     side = lambda i, j: F.greatest(F.least(a[j], b[j]) - F.greatest(a[i], b[i]), F.lit(0))
-    both = (side(0, 2) * side(1, 3)).cast("double")
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
-    either = area(a) + area(b) - both
-    return F.when(either > 0, both / either).otherwise(0.0)
+    return let((side(0, 2) * side(1, 3)).cast("double"), lambda both: F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(0.0)))
+
+
+def meet(a: Column, b: Column) -> Column:
+    """Whether two boxes share an area."""
+    return (a[0] < b[2]) & (a[1] < b[3]) & (a[2] > b[0]) & (a[3] > b[1])
 
 
 def best_match(box: Column, words: Column, least: float = 0.3) -> Column:
     """struct<iou, at, confidence> of the word (struct with bbox and confidence) that covers a box best; the first on ties."""
-    scored = F.transform(words, lambda w, i: F.struct(iou(box, w["bbox"]).alias("iou"), (-i).alias("at"), w["confidence"].alias("confidence")))
-    top = F.array_max(scored)
-    return F.when(top["iou"] >= least, F.struct(top["iou"].alias("iou"), (-top["at"]).alias("at"), top["confidence"].alias("confidence")))
+    placed = F.transform(words, lambda w, i: F.struct(w["bbox"].alias("bbox"), i.alias("i"), w["confidence"].alias("confidence")))
+    near = F.filter(placed, lambda w: meet(box, w["bbox"]))
+    scored = F.transform(near, lambda w: F.struct(iou(box, w["bbox"]).alias("iou"), (-w["i"]).alias("at"), w["confidence"].alias("confidence")))
+    return let(F.array_max(scored), lambda top: F.when(top["iou"] >= least, F.struct(top["iou"].alias("iou"), (-top["at"]).alias("at"), top["confidence"].alias("confidence"))))
 
 
 def in_band(words: Column, y0: Column, y1: Column) -> Column:

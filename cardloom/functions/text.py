@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 #: Titles that are no part of a name, and suffixes that stay (fixed values).
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "rev", "prof", "sir", "madam")
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
@@ -41,23 +43,32 @@ def without_parentheses(c: Column) -> Column:
     return collapsed(F.regexp_replace(c, r"\([^)]*\)", " "))
 
 
-def standard_name(c: Column) -> Column:
-    """``LAST, First Middle[, Suffix]``; titles go. The last name stands before a comma, or is the last part."""
-    def parts(x: Column) -> Column:
-        clean = F.transform(F.split(collapsed(x), " "), lambda p: name_token(p))
-        return F.filter(clean, lambda p: (p != "") & ~F.lower(p).isin(*TITLES))
-
-    plain = without_parentheses(c)
-    comma = F.instr(plain, ",") > 0
-    head = parts(F.when(comma, F.substring_index(plain, ",", 1)).otherwise(F.lit("")))
-    tail = parts(F.regexp_replace(F.when(comma, F.substr(plain, F.instr(plain, ",") + 1)).otherwise(plain), ",", " "))
-    suffix = F.filter(tail, lambda p: F.lower(p).isin(*SUFFIXES))
-    given = F.filter(tail, lambda p: ~F.lower(p).isin(*SUFFIXES))
+def _name_parts(c: Column) -> Column:
+    clean = F.transform(F.split(collapsed(c), " "), lambda p: name_token(p))
+    return F.filter(clean, lambda p: (p != "") & ~F.lower(p).isin(*TITLES))
+
+
+def _arranged(n: Column) -> Column:
+    """n: struct<head, given, suffix> of name parts."""
+    head, given = n["head"], n["given"]
     last = F.when(F.size(head) > 0, F.array_join(head, " ")).otherwise(F.try_element_at(given, F.lit(-1)))
     first = F.when(F.size(head) > 0, given).otherwise(F.slice(given, 1, F.greatest(F.size(given) - 1, F.lit(0))))
-    out = F.upper(last)
-    out = F.when(F.size(first) > 0, F.concat(out, F.lit(", "), F.initcap(F.array_join(first, " ")))).otherwise(out)
-    return F.when(F.size(suffix) > 0, F.concat(out, F.lit(", "), F.initcap(F.element_at(suffix, 1)))).otherwise(out)
+    more = let(first, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(", "), F.initcap(F.array_join(f, " ")))).otherwise(""))
+    end = F.when(F.size(n["suffix"]) > 0, F.concat(F.lit(", "), F.initcap(n["suffix"][0]))).otherwise("")
+    return F.concat(F.upper(last), more, end)
+
+
+def standard_name(c: Column) -> Column:
+    """``LAST, First Middle[, Suffix]``; titles go. The last name stands before a comma, or is the last part."""
+
+    def split(plain: Column) -> Column:
+        comma = F.instr(plain, ",") > 0
+        head = _name_parts(F.when(comma, F.substring_index(plain, ",", 1)).otherwise(F.lit("")))
+        tail = _name_parts(F.regexp_replace(F.when(comma, F.substr(plain, F.instr(plain, ",") + 1)).otherwise(plain), ",", " "))
+        ends = lambda t, is_: F.filter(t, lambda p: F.lower(p).isin(*SUFFIXES) == is_)
+        return let(tail, lambda t: F.struct(head.alias("head"), ends(t, False).alias("given"), ends(t, True).alias("suffix")))
+
+    return let(let(without_parentheses(c), split), _arranged)
 
 
 def slug(c: Column, most: int) -> Column:

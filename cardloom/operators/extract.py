@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
+from ..functions.bind import let
 from ..functions.text import blank_to_null, is_label_line, lines, outer_json, standard_name, without_address
 from ..params import ALIASES, FIELDS
 
@@ -27,21 +28,21 @@ def owner_name(text: Column) -> Column:
 
 def minimal_fields(text: Column) -> Column:
     """struct<deceased_name, date_of_death>: by label, else the only date of the text."""
-    death = dates.labelled_date(lines(text), _DEATH, _STOPS)
-    return F.struct(owner_name(text).alias("deceased_name"), F.coalesce(death, F.when(F.size(dates.dates_in(text)) == 1, dates.dates_in(text)[0])).alias("date_of_death"))
+    death = let(lines(text), lambda x: dates.labelled_date(x, _DEATH, _STOPS))
+    only = let(dates.dates_in(text), lambda x: F.when(F.size(x) == 1, x[0]))
+    return F.struct(owner_name(text).alias("deceased_name"), F.coalesce(death, only).alias("date_of_death"))
 
 
 def all_fields(text: Column) -> Column:
     """struct of the canonical fields that a card's text states."""
-    small = minimal_fields(text)
     found = {
-        "deceased_name": small["deceased_name"],
+        "deceased_name": owner_name(text),
         "address": labelled(text, "address"),
         "owner": labelled(text, "owner"),
         "relation": labelled(text, "relation"),
         "phone": numbers.phone(text),
-        "date_of_death": small["date_of_death"],
-        "date_of_burial": dates.labelled_date(lines(text), _BURIAL, "date of birth|description|sex|age|undertaker"),
+        "date_of_death": minimal_fields(text)["date_of_death"],
+        "date_of_burial": let(lines(text), lambda x: dates.labelled_date(x, _BURIAL, "date of birth|description|sex|age|undertaker")),
         "description": labelled(text, "description"),
         "sex": numbers.sex(text),
         "age": numbers.age(text),
