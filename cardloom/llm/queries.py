@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, mixing, near_dedup, packing, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import ann, html_extract, mixing, near_dedup, oracles, packing, pii, quality_crf, quality_rules, token_counts, toxicity
 from .shared import table, table_path
 
 #: Where the public tokenizer files lie.
@@ -83,4 +83,4 @@ QUERIES = {
     "op10_ann": op10_ann,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY_RULES, "op8_near_dedup": oracles.NEAR_DEDUP}
