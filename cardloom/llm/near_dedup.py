@@ -12,10 +12,13 @@ With similarity s a pair shares a given path token with probability s. At s = 0.
 1.5e-5 of such pairs at most, and far fewer above. The comparison in a node drops a pair only if its estimate over K
 tokens is more than four standard deviations under the threshold.
 
-So that a group of many near copies doesn't turn into all its pairs, a node first sorts its rows under leaders: a row
-that resembles an earlier leader is linked to it, others become leaders. Once these links are confirmed and joined to
-components, a second pass compares the rows of a node again, but only across components, and confirms what it finds:
-so no link that would join two components is lost to the short cut.
+So that a group of many near copies doesn't turn into all its pairs, a first pass sorts the rows of each first node under a
+few leaders, which stand in the middle of what is alike; a row that resembles a leader is linked to it. Large nodes do so in
+blocks, which differ from tree to tree. Then the trees are followed as above, but only nodes that hold several of the
+components so far go on, only pairs across them are compared, and of those only enough to join what belongs together
+are kept. This makes families, which hold every likely pair. In each family the links to leaders are confirmed on full sets,
+and then all likely pairs across what these leave apart: no link that would join two components is lost to the
+short cut, and a group that is one component already costs nothing more.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make
 the whole sequence one shingle; a null id can't name a group, so such a row is returned alone with a null component and
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Minwise tokens of a set; trees; rows of a small node; tokens that a larger node goes on with; levels at most.
-K, TREES, SMALL, BRANCHES, DEPTH = 64, 8, 256, 2, 6
+K, TREES, SMALL, BRANCHES, DEPTH = 64, 8, 1024, 2, 6
+#: Leaders of a node in the first pass.
+LEADERS = 8
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 500_000
 
@@ -137,8 +142,22 @@ def _least(threshold: float) -> int:
     return int(K * max(0.0, threshold - 4.4 * (threshold * (1 - threshold) / K) ** 0.5))
 
 
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if a:
+        both = np.unique(np.sort(np.c_[np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+
+def _center(sig: np.ndarray) -> int:
+    """The row that agrees most with the commonest value of each place: near the middle of a large group of copies."""
+    if len(sig) < 8:
+        return 0
+    counts = np.bincount((sig + np.arange(K, dtype=np.int64) * 256).ravel(), minlength=K * 256).reshape(K, 256)
+    return int((sig == counts.argmax(axis=1).astype(np.uint8)).sum(axis=1).argmax())
+
+
 def _under_leaders(threshold: float):
-    """Links of each row of a node to the leaders it resembles."""
+    """Links of each row of a node to the leader it resembles; rows that resemble none of LEADERS stay unlinked."""
     least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,65 +166,122 @@ def _under_leaders(threshold: float):
             a, b = [], []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 rows = np.arange(s, e)
-                while len(rows) > 1:
-                    one, rows = rows[0], rows[1:]
+                for _ in range(LEADERS):
+                    if len(rows) < 2:
+                        break
+                    at = _center(sig[rows])
+                    one, rows = rows[at], np.delete(rows, at)
                     like = _likely(sig[rows], n[rows], sig[one], n[one], threshold, least)
                     if like.any():
                         a.append(np.full(int(like.sum()), rep[one]))
                         b.append(rep[rows[like]])
                         rows = rows[~like]
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            yield from _pairs(a, b)
 
     return run
 
 
-def _across(threshold: float):
-    """Likely pairs of a node's rows in different components. A row with side 1 meets every row; rows with side 0 don't meet."""
+def _joined(label: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
+    """Of the rows found to belong with row i, one for each label that isn't i's yet; all those labels become i's."""
+    labels, first = np.unique(label[found], return_index=True)
+    label[np.isin(label, labels)] = label[i]
+    return found[first]
+
+
+def _across(threshold: float, percent: int | None = None):
+    """Links that join components of a node: likely ones, or with ``percent`` those confirmed on the rows' full sets.
+
+    side 0 is the node's main component and 1 the other rows; 2 marks other rows where they appear again, to meet more
+    of the main component only. Rows come by size, so a row looks no further than the largest set that can be like its own.
+    A link makes one component of two at once, so a node yields fewer links than it has rows.
+    """
     least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _nodes(batches):
             rep, n, sig, starts, ends = _columns(t)
-            comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+            side = t.column("side").to_numpy()
+            _, label = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+            if percent is not None:
+                sets = t.column("shingles").combine_chunks()
+                offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)  # in the order they were sorted in
             a, b = [], []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                for i in range(s, e):
-                    if side[i]:
-                        rest = np.arange(s, e)
-                        rest = rest[(comp[s:e] != comp[i]) & ((side[s:e] == 0) | (rest > i))]
-                        if len(rest):
-                            rest = rest[_likely(sig[rest], n[rest], sig[i], n[i], threshold, least)]
-                            a.append(np.full(len(rest), rep[i]))
-                            b.append(rep[rest])
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                label_here = label[s:e]
+                upto = np.searchsorted(n[s:e], n[s:e] / threshold + 1e-9, side="right")
+                for i in range(e - s - 1):
+                    if upto[i] <= i + 1:
+                        continue
+                    rest = np.arange(i + 1, upto[i])
+                    meets = (side[s + rest] == 0) if side[s + i] else (side[s + rest] > 0)
+                    if side[s + i] == 1:
+                        meets |= side[s + rest] == 1
+                    rest = rest[meets & (label_here[rest] != label_here[i])]
+                    if len(rest):
+                        rest = rest[(sig[s + rest] == sig[s + i]).sum(axis=1) >= least]
+                    if len(rest) and percent is not None:
+                        mine = values[offsets[s + i] : offsets[s + i + 1]]
+                        sizes = n[s + rest]
+                        theirs = np.concatenate([values[offsets[s + r] : offsets[s + r + 1]] for r in rest.tolist()])
+                        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                        both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                        rest = rest[100 * both >= percent * (len(mine) + sizes - both)]
+                    if len(rest):
+                        ends_of = _joined(label_here, i, rest)
+                        a.append(np.full(len(ends_of), rep[s + i]))
+                        b.append(rep[s + ends_of])
+            yield from _pairs(a, b)
 
     return run
 
 
-def small_nodes(reps: DataFrame) -> DataFrame:
-    """(path, rep, n, sig) of the nodes where the trees end: small ones, and whatever is left at the last level."""
+def roots(reps: DataFrame) -> DataFrame:
+    """(path, rep, rows) of the first nodes of all trees that hold more than one row."""
     tree = F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")
     rows = reps.select("rep", tree).select("rep", F.xxhash64("tree", "token").alias("path"))
-    ends = []
+    counts = rows.groupBy("path").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    return rows.join(counts, "path")
+
+
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows (key, rep, comp) those of nodes that hold several components, with the node's rows, main component and others."""
+    shares = rows.groupBy(key, "comp").agg(F.count("*").alias("n"))
+    nodes = shares.groupBy(key).agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    return rows.join(nodes.select(key, "rows", F.col("most.comp").alias("main"), (F.col("rows") - F.col("most.n")).alias("others")), key)
+
+
+def blocked(rows: DataFrame, key: str) -> DataFrame:
+    """(path, rep, comp, side) of nodes from mixed(): small ones whole, large ones as blocks of their main component,
+    each with all other rows of the node."""
+    blocks = F.ceil(F.col("rows") / SMALL)
+    whole, main = F.col("rows") <= SMALL, F.col("comp") == F.col("main")
+    block = F.when(whole, F.array(F.lit(0).cast("long"))).when(main, F.array(F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    out = rows.select(key, "rep", "comp", whole.alias("whole"), main.alias("is_main"), F.explode(block).alias("block"))
+    side = F.when(F.col("whole"), 1).when(F.col("is_main"), 0).when(F.col("block") == 0, 1).otherwise(2)
+    return out.select(F.xxhash64(key, "block").alias("path"), "rep", "comp", side.alias("side"))
+
+
+def ends(rows: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """(path, rep, comp, side) of nodes to compare: each holds SMALL rows or so.
+
+    A node with more rows than SMALL goes on along BRANCHES of each row's tokens, unless nearly all of it is one component
+    or it is of the last level.
+    """
+    done, comps = [], comps.withColumnRenamed("rep", "r")
     for level in range(1, DEPTH + 1):
-        counts = rows.groupBy("path").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-        rows = cut(rows.join(counts, "path"), f"near-level{level}")
-        if level == DEPTH or rows.where(F.col("rows") > SMALL).isEmpty():
-            ends.append(rows)
+        named = rows.select("path", "rep").join(comps, F.col("rep") == F.col("r"), "left").select("path", "rep", F.coalesce("comp", "rep").alias("comp"))
+        now = cut(mixed(named, "path"), f"near-mixed{level}")
+        ready = (F.col("rows") <= SMALL) | (F.col("others") <= SMALL) | F.lit(level == DEPTH)
+        done.append(blocked(now.where(ready), "path"))
+        if level == DEPTH or now.where(~ready).isEmpty():
             break
-        ends.append(rows.where(F.col("rows") <= SMALL))
-        large = rows.where(F.col("rows") > SMALL).join(reps.select("rep", "tokens"), "rep")
         picks = [(F.pmod(F.xxhash64("path", F.lit(k)), F.lit(K)) + 1).cast("int") for k in range(BRANCHES)]
-        large = large.select("rep", "path", "tokens", F.explode(F.array_distinct(F.array(*picks))).alias("pick"))
+        large = now.where(~ready).select("rep", "path").join(reps.select("rep", "tokens"), "rep").select("rep", "path", "tokens", F.explode(F.array_distinct(F.array(*picks))).alias("pick"))
         rows = large.select("rep", F.xxhash64("path", "pick", F.element_at("tokens", F.col("pick"))).alias("path"))
-    out = ends[0]
-    for x in ends[1:]:
+    out = done[0]
+    for x in done[1:]:
         out = out.unionByName(x)
-    return out.join(reps.select("rep", "n", "sig"), "rep").select("path", "rep", "n", "sig", "rows")
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,30 +325,33 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     known = light.where(F.col("doc_id").isNotNull() & F.col("rep").isNotNull())
     reps = known.select("rep", F.col("n_shingles").alias("n"), "tokens", F.unhex(F.array_join(short, "")).alias("sig")).dropDuplicates(["rep"])
     reps = cut(reps, "near-reps")
-    nodes = cut(small_nodes(reps), "near-nodes")
+    nodes = cut(roots(reps), "near-nodes")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = nodes.repartition(parts, "path").sortWithinPartitions("path", "rep")
-    found = cut(dealt.mapInArrow(_under_leaders(threshold), "a long, b long").distinct(), "near-found")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    shown = known.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(wanted, "rep", "left_semi").select("doc_id").distinct()
+    marks = reps.select("rep", "n", "sig")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "path").sortWithinPartitions("path", "n", "rep")
+
+    # first pass: rows of a large node meet in blocks of about SMALL, which differ from tree to tree
+    first = nodes.select("rep", F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("rows") / SMALL))).alias("path"))
+    found = cut(dealt(first.join(marks, "rep")).mapInArrow(_under_leaders(threshold), "a long, b long").distinct(), "near-found")
+
+    # second pass, still on minwise tokens: what else may belong together, as links that join what the first found
+    likely = components(found, "near-likely")
+    more = cut(dealt(ends(nodes, reps, likely).join(marks, "rep")).mapInArrow(_across(threshold), "a long, b long").distinct(), "near-more")
+
+    # the full sets of all that may have a partner
+    family = cut(components(found.unionByName(more), "near-families").withColumnRenamed("comp", "family"), "near-family")
+    shown = known.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(family.select("rep"), "rep", "left_semi").select("doc_id").distinct()
     sets = text.join(shown, "doc_id", "left_semi").select("text").mapInArrow(_sets(words_each), "set_digest binary, shingles array<long>")
-    sets = cut(sets.select(F.xxhash64("set_digest").alias("rep"), "shingles").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "near-sets")
+    sets = cut(sets.select(F.xxhash64("set_digest").alias("rep"), "shingles").join(family.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "near-sets")
+
+    # confirmation: links to leaders first, then within each family all likely pairs across what these leave apart
     links = cut(confirmed(found, sets, percent), "near-links")
-    first = components(links, "near-first")
-
-    # second pass: nodes whose rows are not all in one component
-    rows = nodes.join(wanted, "rep", "left_semi").join(first.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("r")
-    mixed = rows.groupBy("path").agg(F.count("*").alias("left"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.mode("comp").alias("main")).where("c1 <> c2").select("path", "left", "main")
-    rows = rows.join(mixed, "path")
-    blocks = F.ceil(F.col("left") / SMALL)
-    small = rows.where(F.col("left") <= SMALL).select("path", "rep", "n", "sig", "comp", F.lit(1).alias("side"))
-    # a node that stayed large: its main component is dealt over blocks, and every other row meets each of them
-    large = rows.where(F.col("left") > SMALL).withColumn("side", (F.col("comp") != F.col("main")).cast("int"))
-    block = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    large = large.withColumn("block", F.explode(block)).select(F.xxhash64("path", "block").alias("path"), "rep", "n", "sig", "comp", "side")
-    dealt = small.unionByName(large).repartition(parts, "path").sortWithinPartitions("path", "rep")
-    more = dealt.mapInArrow(_across(threshold), "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
-    links = links.unionByName(cut(confirmed(cut(more, "near-more"), sets, percent), "near-links2"))
+    comp = components(links, "near-first").withColumnRenamed("rep", "r")
+    rows = family.join(comp, F.col("rep") == F.col("r"), "left").select("family", "rep", F.coalesce("comp", "rep").alias("comp"))
+    rows = blocked(mixed(rows, "family"), "family").join(marks, "rep").join(sets, "rep")
+    links = links.unionByName(cut(dealt(rows).mapInArrow(_across(threshold, percent), "a long, b long").distinct(), "near-links2"))
     # an id that stands for several sets joins their classes
     ids = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
     links = links.unionByName(ids.select("a", F.explode("all").alias("b")).where("a <> b"))
