@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .shared import WHITE, cut
 
 SYMBOLS = "#*$%&|<>"
@@ -40,17 +41,24 @@ def _follow(hashes: Column, step: int) -> Column:
     return F.zip_with(F.slice(hashes, 1, F.greatest(n, F.lit(0))), ahead, lambda a, b: F.xxhash64(a, b))
 
 
+def _gaps(places: Column) -> Column:
+    """Words that windows at these places (sorted) cover: each adds what the next doesn't cover."""
+    n = F.size(places)
+    gaps = F.zip_with(F.slice(places, 1, F.greatest(n - 1, F.lit(0))), F.slice(places, 2, n), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g))
+
+
+def _repeated(pairs: Column) -> Column:
+    """Places of hashes that occur more than once, from struct<h, i> sorted by hash."""
+    same = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))  # as the next one
+    either = let(same, lambda s: F.zip_with(s, F.concat(F.array(F.lit(False)), F.slice(s, 1, F.size(s) - 1)), lambda a, b: a | b))
+    return F.filter(F.zip_with(pairs, either, lambda p, e: F.when(e, p["i"])), lambda i: i.isNotNull())
+
+
 def _covered(hashes: Column) -> Column:
-    """Words in windows whose hash occurs again: places of such windows, sorted, each adding what the next doesn't cover."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(pairs)
-    none = F.lit(None).cast("struct<h:bigint,i:int>")
-    after = F.concat(F.slice(pairs, 2, n), F.array(none))
-    before = F.concat(F.array(none), F.slice(pairs, 1, n - 1))
-    marked = F.zip_with(F.zip_with(before, pairs, lambda a, b: F.when(F.coalesce(a["h"] == b["h"], F.lit(False)), F.lit(None).cast("int")).otherwise(b["i"])), F.zip_with(pairs, after, lambda b, c: F.struct(b["i"].alias("i"), F.coalesce(b["h"] == c["h"], F.lit(False)).alias("same"))), lambda first, x: F.when(x["same"] | first.isNull(), x["i"]))
-    places = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
-    gaps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places)), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-    return F.when(F.size(places) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g))
+    """Words in windows whose hash occurs again."""
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(F.sort_array(let(pairs, _repeated)), _gaps)
 
 
 def measured(docs: DataFrame) -> DataFrame:
