@@ -98,33 +98,34 @@ def _stacked(col: pd.Series) -> np.ndarray:
 
 
 def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places in x of its k nearest and their scores; ``own`` forbids pairs (True)."""
+    """For each query the places in x of its k nearest and their scores; ``own`` forbids pairs (True).
+
+    While many candidates of a block of queries are left, columns are read for all of them at once; else for those left.
+    """
     turned_x, turned_q = lengthened(x, plan.longest) @ plan.rotation, np.c_[q, np.zeros(len(q))] @ plan.rotation
-    dims, out = turned_x.shape[1], []
-    first = slice(0, min(COLUMNS, dims))
-    some = ((turned_q[:, first] ** 2).sum(axis=1)[:, None] - 2 * turned_q[:, first] @ turned_x[:, first].T) + (turned_x[:, first] ** 2).sum(axis=1)
-    for i in range(len(q)):
-        part, left = some[i], np.flatnonzero(~own[i])
-        # the k best by their first columns give the distance to beat
-        start = left if len(left) <= k else left[np.argpartition(part[left], k - 1)[:k]]
-        far = ((turned_x[start] - turned_q[i]) ** 2).sum(axis=1).max() if len(start) == k else np.inf
-        got, at = part[left], first.stop
-        while at < dims and len(left) > k:
-            ratio = dims / at * (1 + STRICT / np.sqrt(at)) ** -2
-            keep = got * ratio <= far * (1 + 1e-9)
-            left, got = left[keep], got[keep]
-            end = min(at + COLUMNS, dims)
-            got = got + ((turned_x[left, at:end] - turned_q[i, at:end]) ** 2).sum(axis=1)
-            at = end
-            if at >= dims / 2 and len(left) > 4 * k:  # a tighter distance to beat, from the best so far
-                best = left[np.argpartition(got, k - 1)[:k]]
-                far = min(far, ((turned_x[best] - turned_q[i]) ** 2).sum(axis=1).max())
-        left = np.union1d(left, start)
-        scores = np.einsum("ij,j->i", x[left], q[i])
-        if len(left) > k:
-            best = scores >= np.partition(scores, len(left) - k)[len(left) - k]  # with ties, which ids decide
-            left, scores = left[best], scores[best]
-        out.append((left, scores))
+    dims, least = turned_x.shape[1], min(k, len(x)) - 1
+    apart, alive, far = np.zeros((len(q), len(x))), ~own, np.full((len(q), 1), np.inf)
+    for at in range(0, dims, COLUMNS):
+        end = min(at + COLUMNS, dims)
+        a, b = turned_q[:, at:end], turned_x[:, at:end]
+        if at == 0 or alive.mean() > 0.25:
+            apart += _distances(a, b)
+        else:
+            i, j = np.nonzero(alive)
+            apart[i, j] += ((a[i] - b[j]) ** 2).sum(axis=1)
+        apart[~alive] = np.inf
+        if at == 0 and len(x) > 2 * k:  # whole distances to what looks near so far give the distance to beat
+            near = np.argpartition(apart, 2 * k - 1, axis=1)[:, : 2 * k]
+            whole = ((turned_x[near] - turned_q[:, None]) ** 2).sum(axis=2) + np.where(np.take_along_axis(alive, near, axis=1), 0, np.inf)
+            far = np.partition(whole, k - 1, axis=1)[:, k - 1 : k]
+        ratio = dims / end * (1 + STRICT / np.sqrt(end)) ** -2 if end < dims else 1.0
+        alive &= apart * ratio <= far * (1 + 1e-9) + 1e-12
+    apart[~alive] = np.inf
+    edge = np.partition(apart, least, axis=1)[:, least] if len(x) else far[:, 0]
+    out = []
+    for i in range(len(q)):  # with all that tie at the edge, which ids decide
+        left = np.flatnonzero(alive[i] & (apart[i] <= edge[i] * (1 + 1e-9) + 1e-9))
+        out.append((left, np.einsum("ij,j->i", x[left], q[i])))
     return out
 
 
