@@ -77,8 +77,14 @@ def slug(c: Column, most: int) -> Column:
     return F.substring(F.coalesce(F.nullif(F.regexp_replace(plain, "^_+|_+$", ""), F.lit("")), F.lit("UNKNOWN")), 1, most)
 
 
+def numbered(c: Column, least: int) -> Column:
+    """A whole number as text, with zeros before it up to ``least`` digits; longer numbers stay whole."""
+    digits = c.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(least)), F.lit("0"))
+
+
 def export_name(name: Column, died: Column, sequence: Column, ending: Column) -> Column:
-    return F.concat(slug(name, 80), F.lit("_"), slug(died, 20), F.lit("__card_"), F.lpad(sequence.cast("string"), 3, "0"), ending)
+    return F.concat(slug(name, 80), F.lit("_"), slug(died, 20), F.lit("__card_"), numbered(sequence, 3), ending)
 
 
 def base_name(path: Column) -> Column:

@@ -85,3 +85,9 @@ def test_answers(spark):
     assert [g["error"] for g in got] == [None, "missing: b", "no JSON"]
     texts = ['{"output": [{"content": [{"text": "x"}, {"text": "y"}]}]}', '{"candidates": [{"content": {"parts": [{"text": "z"}]}}]}', "{}"]
     assert run(spark, extract.answer_text, texts) == ["xy", "z", None]
+
+
+def test_export_names_keep_all_digits_of_a_number(spark):
+    name = lambda c: text.export_name(F.lit("Doe, Jo"), F.lit("1990-01-01"), c, F.lit(".jpg"))
+    numbers_ = {7: "007", 123: "123", 999: "999", 1000: "1000", 1234: "1234", 12345: "12345"}
+    assert run(spark, name, list(numbers_), "int") == [f"DOE_JO_1990_01_01__card_{n}.jpg" for n in numbers_.values()]
