@@ -3,10 +3,12 @@
 Nearness becomes distance in one more dimension: each vector is lengthened to the largest norm, so the nearest by
 distance is the one of largest inner product. A bounded sample gives a random rotation, centroids, and the number of
 lists to probe: the least one at which the sample's own queries find the target recall. Every row is put into the list
-of its nearest centroid; lists are cut into chunks and the queries that probe a list into blocks, so every task holds
-one chunk and one block, whatever the sizes. Within them columns of rotated vectors are read in blocks; a hypothesis
-test on the partial distance abandons a candidate as soon as its whole distance is unlikely to beat the query's
-present k-th nearest. What survives is scored exactly, in double precision on the original vectors.
+of its nearest centroid; a query whose lists hold few rows probes further ones. Lists are cut into chunks and the queries
+that probe a list into blocks, so every task holds one chunk and one block, whatever the sizes. Within them columns of
+rotated vectors are read in blocks; a hypothesis test on the partial distance abandons a candidate as soon as its whole
+distance is unlikely to beat the query's present k-th nearest; the present k nearest stay. What survives is scored
+exactly, in double precision on the original vectors. Queries that still have fewer than k rows, although there are more
+candidates, are run over all lists, so a query gets fewer than k only where there are no more.
 
 Cases: vectors that are null, empty, zero, of another length than the first usual one, or hold null or non-finite
 components take no part, neither as candidate nor as query; null ids take no part; rows with one id are one candidate
@@ -29,6 +31,8 @@ from .shared import cut
 
 #: Vectors of the sample; rows of a list, of a chunk, and queries of a block; lists at most.
 SAMPLE, LIST_ROWS, CHUNK, QUERIES, MOST_LISTS = 20_000, 4000, 16_384, 2048, 4096
+#: Rows that a query's lists hold at least, as a multiple of k.
+ENOUGH = 4
 #: Columns of a block; strictness of the test (larger: fewer false abandonments); recall aimed at on the sample.
 COLUMNS, STRICT, TARGET = 16, 2.1, 0.985
 
@@ -83,14 +87,22 @@ def planned(sample: np.ndarray, longest: float, rows: int, k: int) -> Plan:
     return Plan(rotation, c, longest, int(needed[int(np.ceil(TARGET * len(needed))) - 1]) + 1)
 
 
-def _list_of(batches: Iterator[pa.RecordBatch], plan: Plan, dims: int, lists: int, query: bool) -> Iterator[pa.RecordBatch]:
+def _list_of(batches: Iterator[pa.RecordBatch], plan: Plan, dims: int, lists: int, query: bool, sizes: np.ndarray | None = None, enough: int = 0) -> Iterator[pa.RecordBatch]:
+    """Each vector's nearest lists: as many as ``lists``, or more until their ``sizes`` add up to ``enough``."""
     for b in batches:
         if not b.num_rows:
             continue
         x = np.asarray(b.column(1).flatten(), float).reshape(-1, dims)
         turned = (np.c_[x, np.zeros(len(x))] if query else lengthened(x, plan.longest)) @ plan.rotation
-        near = np.argsort(_distances(turned, plan.centroids), axis=1, kind="stable")[:, :lists]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
+        near: list[np.ndarray] = []
+        for i in range(0, len(turned), 1024):
+            order = np.argsort(_distances(turned[i : i + 1024], plan.centroids), axis=1, kind="stable").astype(np.int32)
+            if sizes is None:
+                near += list(order[:, :lists])
+            else:
+                most = np.maximum(lists, (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1)
+                near += [row[:m] for row, m in zip(order, most.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
 
 
 def _stacked(col: pd.Series) -> np.ndarray:
@@ -105,6 +117,7 @@ def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, plan: Plan) -> l
     turned_x, turned_q = lengthened(x, plan.longest) @ plan.rotation, np.c_[q, np.zeros(len(q))] @ plan.rotation
     dims, least = turned_x.shape[1], min(k, len(x)) - 1
     apart, alive, far = np.zeros((len(q), len(x))), ~own, np.full((len(q), 1), np.inf)
+    stay = np.zeros_like(alive)
     for at in range(0, dims, COLUMNS):
         end = min(at + COLUMNS, dims)
         a, b = turned_q[:, at:end], turned_x[:, at:end]
@@ -118,8 +131,9 @@ def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, plan: Plan) -> l
             near = np.argpartition(apart, 2 * k - 1, axis=1)[:, : 2 * k]
             whole = ((turned_x[near] - turned_q[:, None]) ** 2).sum(axis=2) + np.where(np.take_along_axis(alive, near, axis=1), 0, np.inf)
             far = np.partition(whole, k - 1, axis=1)[:, k - 1 : k]
+            np.put_along_axis(stay, near, (whole <= far) & np.isfinite(whole), axis=1)
         ratio = dims / end * (1 + STRICT / np.sqrt(end)) ** -2 if end < dims else 1.0
-        alive &= apart * ratio <= far * (1 + 1e-9) + 1e-12
+        alive &= stay | (apart * ratio <= far * (1 + 1e-9) + 1e-12)
     apart[~alive] = np.inf
     edge = np.partition(apart, least, axis=1)[:, least] if len(x) else far[:, 0]
     out = []
@@ -158,13 +172,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, sample: int
     schema = "vec_id long, embedding array<double>, lists array<int>"
     listed = rows.mapInArrow(lambda b: _list_of(b, held.value, dims, 1, False), schema)
     listed = cut(listed.select("vec_id", "embedding", F.col("lists")[0].alias("list")), "ann-lists")
-    probing = asked.mapInArrow(lambda b: _list_of(b, held.value, dims, held.value.probes, True), schema)
-    probing = cut(probing.select("vec_id", "embedding", F.explode("lists").alias("list")), "ann-probes")
+    counts = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # MOST_LISTS rows at most
+    held_by = np.asarray([counts.get(i, 0) for i in range(len(plan.centroids))], np.int64)
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    blocks = probing.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-    grid = F.broadcast(cut(sizes.join(blocks, "list"), "ann-grid"))  # a row for each list: MOST_LISTS at most
-    left = listed.join(grid, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = probing.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     key = ["list", "chunk", "block"]
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -178,6 +188,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, sample: int
                 parts.append((np.full(len(order), one), ids[places][order], scores[order]))
         return pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
-    found = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def found(asked: DataFrame, lists: int, name: str) -> DataFrame:
+        """The k nearest rows to each query of those in its nearest lists, written."""
+        probing = asked.mapInArrow(lambda b: _list_of(b, held.value, dims, lists, True, held_by, ENOUGH * k), schema)
+        probing = cut(probing.select("vec_id", "embedding", F.explode("lists").alias("list")), f"ann-probes{name}")
+        blocks = probing.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+        grid = F.broadcast(cut(sizes.join(blocks, "list"), f"ann-grid{name}"))  # a row for each list: MOST_LISTS at most
+        left = listed.join(grid, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        right = probing.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        pairs = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), f"ann-found{name}")
+
+    out = found(asked, plan.probes, "")
+    # queries with fewer rows than there are candidates
+    ids = asked.select("vec_id").distinct()
+    own = rows.join(ids, "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    got = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
+    few = ids.join(own, "vec_id", "left").join(got, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), n - F.coalesce("own", F.lit(0))))
+    few = cut(few.select("vec_id"), "ann-few")
+    if few.isEmpty():
+        return out
+    again = found(asked.join(few, "vec_id", "left_semi"), len(plan.centroids), "-again")
+    return out.join(few.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").select(again.columns).unionByName(again)

@@ -162,6 +162,29 @@ def test_scan_without_abandonment_is_exact():
         assert len(set(best.tolist()) & set(places.tolist())) >= 4 and np.allclose(scores, x[places] @ q[i])
 
 
+def test_scan_keeps_the_nearest_found_so_far():
+    # 20 rows that differ from the query in the first columns only, and are nearest; 80 that differ further on too
+    e = np.eye(40)
+    near = [0.5 * e[0] + s * 0.75**0.5 * e[j] for j in range(1, 11) for s in (1, -1)]
+    far = [-0.1 * e[0] + s * (0.99 / 2) ** 0.5 * (e[i] + t * e[j]) for i, j in zip(range(20, 40), range(19, 39), strict=True) for s in (1, -1) for t in (1, -1)]
+    plan = ann.Plan(np.eye(41), np.zeros((1, 41)), 1.0, 1)
+    ((places, _),) = ann.scan(e[:1], np.asarray(near + far), np.zeros((1, 100), bool), 20, plan)
+    assert set(places.tolist()) == set(range(20))
+
+
+@pytest.mark.parametrize("enough", [4, 0])
+def test_every_query_gets_all_its_rows(spark, monkeypatch, enough):
+    # copies that need one list each set the number of probes; outliers lie in tiny lists
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "ENOUGH", enough, raising=False)
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(1, 24)), 2000, axis=0)
+    x[::100] = rng.normal(size=(20, 24)) * 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), k=20).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {q: 20 for q in range(0, 2000, 50)}
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0]), (8, [0.5, 0.0]), (9, [0.5, 0.0]), (20, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit("x"))
