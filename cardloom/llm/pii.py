@@ -5,11 +5,12 @@ and dropped if they fail. The expressions below match the same spans as the plai
 each character a bounded number of times: a match can only start where a run of its first class starts, or right
 after the last match, and runs never give characters back.
 
-Beyond base: the tokens that hold a digit or an at sign are instances; the words around a token and its own shape are
-patterns. Instances that hold a base span are seeds of its kind. Rounds pass confidence along the graph of patterns
-and distinct instances: a pattern's confidence in a kind is the mean over its instances, an instance's is the largest of
-its confident patterns that enough seeds support. Tokens that end above the threshold, hold no base span and have a shape of the kind's
-seeds are further spans. Both spans and counts of patterns stay distributed; each text counts once, copies share results.
+Beyond base: the tokens that hold a digit or an at sign, and runs of such tokens, are instances; the words around an instance
+are patterns, whatever its shape. Instances that hold a base span whole are seeds of its kind. In each round a pattern's
+confidence in a kind is the share of its distinct instances that are seeds or were found before, which must be enough; an
+instance's is the largest of its confident patterns, weighted by how like the kind's seeds it looks (digits, letters, at sign).
+Instances that end above the threshold and hold no base span are further spans, and support their other patterns in the
+next round. Both spans and counts of patterns stay distributed; each text counts once, copies share results.
 
 Cases: a null text counts as empty; null or repeated ids and repeated rows each keep their row; texts of any length are
 matched whole; an empty table gives an empty result; other columns of the input, whatever their names, are not read.
@@ -87,11 +88,6 @@ def base_spans(text: Column, kind: str, digits: Column) -> Column:
     return F.when(some & (digits if kind != "email" else F.lit(True)), spans).otherwise(F.array().cast(SPAN))
 
 
-def shape(token: Column) -> Column:
-    """What a token looks like: runs of letters as a, each digit as 9, the rest as it is."""
-    return F.regexp_replace(F.regexp_replace(token, r"\p{L}++", "a"), "[0-9]", "9")
-
-
 def tokens_with_context(text: Column) -> Column:
     """array<struct<start, end, token, before, after>> of the tokens that hold a digit or an at sign."""
     found = placed(text, TOKEN)
@@ -116,28 +112,76 @@ def detected(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", F.array_sort(F.concat("b0", "b1", "b2", "b3")).alias("base"), "tokens")
 
 
+def runs(tokens: Column) -> Column:
+    """Of tokens (see tokens_with_context) the runs of two and more with one character between them, as one instance each."""
+
+    def ends(t: Column) -> Column:
+        places = F.when(F.size(t) > 1, F.sequence(F.lit(1), F.size(t))).otherwise(F.array().cast("array<int>"))
+        apart = lambda i, j: F.coalesce(F.get(t, j - 1)["start"] > F.get(t, i - 1)["end"] + 1, F.lit(True))
+        firsts = F.filter(places, lambda i: (i == 1) | apart(i - 1, i))
+        lasts = F.filter(places, lambda i: (i == F.size(t)) | apart(i, i + 1))
+        return F.filter(F.zip_with(firsts, lasts, lambda i, j: F.struct(i.alias("i"), j.alias("j"))), lambda e: e["i"] < e["j"])
+
+    def run(e: Column) -> Column:
+        first, last = F.element_at(tokens, e["i"]), F.element_at(tokens, e["j"])
+        words = F.transform(F.slice(tokens, e["i"], e["j"] - e["i"] + 1), lambda x: x["token"])
+        return F.struct(first["start"].alias("start"), last["end"].alias("end"), F.array_join(words, " ").alias("token"), first["before"].alias("before"), last["after"].alias("after"))
+
+    return F.transform(ends(tokens), run)
+
+
+def looks(token: Column) -> list[Column]:
+    """What of an instance's shape counts: its digits, whether it holds letters, whether it holds an at sign."""
+    return [F.length(digits(token)).alias("digits"), token.rlike(r"\p{L}").cast("double").alias("letters"), token.contains("@").cast("double").alias("at")]
+
+
+def likeness() -> Column:
+    """From 0 to 1: how like (digits, letters, at) the seeds of a kind (low, high, p_letters, p_at) are."""
+    n = F.col("digits") + 1
+    near = F.least(F.lit(1.0), n / (F.col("low") + 1), (F.col("high") + 1) / n)
+    out = (3 + near) / 4
+    for has in ("letters", "at"):
+        p = F.col(f"p_{has}")
+        out = out * (1 + F.least(F.lit(1.0), F.when(F.col(has) > 0, p).otherwise(1 - p) / F.greatest(p, 1 - p))) / 2
+    return out
+
+
 def discovered(found: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: int = SEEDS) -> DataFrame:
     """key, start, kind, end of the spans that contexts reveal in ``found`` (see detected)."""
     one = found.where(F.size("tokens") > 0).select("key", "base", "tokens").dropDuplicates(["key"])
-    rows = one.select("key", "base", F.explode("tokens").alias("t"))
+    rows = one.select("key", "base", F.explode(F.concat("tokens", runs(F.col("tokens")))).alias("t"))
     inside = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    rows = rows.select("key", "t.start", "t.end", F.col("t.token").alias("token"), shape(F.col("t.token")).alias("shape"), F.array_distinct(F.transform(inside, lambda b: b["kind"])).alias("kinds"), F.col("t.before").alias("before"), F.col("t.after").alias("after"))
-    rows = cut(rows.withColumn("seed", F.when(F.size("kinds") == 1, F.col("kinds")[0])).withColumn("other", F.size("kinds") > 1).drop("kinds"), "pii-tokens")
+    partly = F.exists("inside", lambda b: (b["start"] < F.col("t.start")) | (b["end"] > F.col("t.end")))
+    kinds = F.array_distinct(F.transform("inside", lambda b: b["kind"]))
+    rows = rows.withColumn("inside", inside).select("key", "t.start", "t.end", F.col("t.token").alias("token"), kinds.alias("kinds"), partly.alias("partly"), F.col("t.before").alias("before"), F.col("t.after").alias("after"))
+    # parts of a base span, and instances of several kinds, are neither seeds nor candidates
+    rows = rows.withColumn("other", F.col("partly") | (F.size("kinds") > 1))
+    rows = cut(rows.withColumn("seed", F.when(~F.col("other") & (F.size("kinds") == 1), F.col("kinds")[0])).drop("kinds", "partly"), "pii-tokens")
     context = F.explode(F.array(F.concat(F.lit("before "), "before"), F.concat(F.lit("after "), "after"), F.concat("before", F.lit(" _ "), "after")))
-    # distinct instances of each pattern; a pattern is a context and a shape
-    graph = cut(rows.where(~F.col("other")).select("token", "shape", "seed", context.alias("context")).groupBy("context", "shape", "token").agg(F.min("seed").alias("seed")), "pii-graph")
-    kinds = graph.where(F.col("seed").isNotNull()).groupBy("context", "shape").agg(F.collect_set("seed").alias("kinds"))
-    # only patterns that a seed supports can spread anything
-    graph = cut(graph.join(kinds, ["context", "shape"]).select("context", "shape", "token", "seed", F.explode("kinds").alias("kind")), "pii-edges")
-    level = F.when(F.col("seed") == F.col("kind"), F.lit(1.0)).otherwise(F.lit(0.0))
-    edges = graph.withColumn("level", level)
+    # distinct instances of each context
+    graph = cut(rows.where(~F.col("other")).select("token", "seed", context.alias("context")).groupBy("context", "token").agg(F.min("seed").alias("seed")), "pii-graph")
+    sizes = cut(graph.groupBy("context").agg(F.count("*").alias("n")), "pii-contexts")
+    shown = graph.where("seed is not null").select(F.col("seed").alias("kind"), "token").distinct().select("kind", *looks(F.col("token")))
+    shown = cut(shown.groupBy("kind").agg(F.min("digits").alias("low"), F.max("digits").alias("high"), F.avg("letters").alias("p_letters"), F.avg("at").alias("p_at")), "pii-kinds")  # a row for each kind
+    told = graph.where("seed is not null").select("context", F.col("seed").alias("kind"))
+    open_, members = graph.where("seed is null").select("context", "token"), told
     for step in range(rounds):
-        patterns = edges.groupBy("context", "shape", "kind").agg(F.avg("level").alias("confidence"), F.sum((F.col("seed") == F.col("kind")).cast("int")).alias("support"))
-        patterns = cut(patterns.where((F.col("support") >= seeds) & (F.col("confidence") >= sure)), f"pii-patterns{step}")
-        reached = graph.join(patterns, ["context", "shape", "kind"]).groupBy("token", "shape", "kind").agg(F.max("confidence").alias("confidence"))
-        edges = graph.join(reached, ["token", "shape", "kind"], "left").withColumn("level", F.greatest(level, F.coalesce("confidence", F.lit(0.0)))).drop("confidence")
-    best = reached.where(F.col("confidence") >= sure).groupBy("token", "shape").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
-    return rows.where(F.col("seed").isNull() & ~F.col("other")).join(best, ["token", "shape"]).select("key", "start", "kind", "end")
+        # what earlier rounds are sure of supports its contexts as seeds do
+        patterns = members.groupBy("context", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= seeds)
+        patterns = patterns.join(sizes, "context").select("context", "kind", (F.col("support") / F.col("n")).alias("confidence"))
+        patterns = cut(patterns.where(F.col("confidence") >= sure), f"pii-patterns{step}")
+        reached = open_.join(patterns, "context").groupBy("token", "kind").agg(F.max("confidence").alias("confidence"))
+        reached = reached.select("token", "kind", "confidence", *looks(F.col("token"))).join(F.broadcast(shown), "kind").select("token", "kind", (F.col("confidence") * likeness()).alias("level"))
+        reached = cut(reached.where(F.col("level") >= sure), f"pii-reached{step}")
+        members = told.unionByName(open_.join(reached, "token").select("context", "kind"))
+    best = reached.groupBy("token").agg(F.max(F.struct("level", "kind"))["kind"].alias("kind"))
+    return rows.where(F.col("seed").isNull() & ~F.col("other")).join(best, "token").select("key", "start", "kind", "end")
+
+
+def outermost(spans: Column) -> Column:
+    """Sorted spans without those inside a longer one."""
+    holds = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
+    return F.array_sort(F.filter(spans, lambda b: ~F.exists(spans, lambda a: holds(a, b))))
 
 
 def as_text(spans: Column) -> Column:
@@ -148,7 +192,7 @@ def as_text(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and spans: arrays of struct<start, kind, end> by start, then kind; spans holds base and more."""
     found = cut(detected(docs), "pii-found")
-    more = discovered(found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("more")).withColumnRenamed("key", "k")
+    more = discovered(found).groupBy("key").agg(outermost(F.collect_list(F.struct("start", "kind", "end"))).alias("more")).withColumnRenamed("key", "k")
     out = found.join(more, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
@@ -182,7 +226,7 @@ def blanked(docs: DataFrame) -> DataFrame:
     size Spark knows, are joined to their texts.
     """
     found = cut(detected(docs), "pii-found")
-    more = discovered(found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__more"))
+    more = discovered(found).groupBy("key").agg(outermost(F.collect_list(F.struct("start", "kind", "end"))).alias("__more"))
     more = cut(more.withColumnRenamed("key", "__k"), "pii-more")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__digits", text.rlike("[0-9]")).withColumn("__base", F.concat(*[base_spans(text, k, F.col("__digits")) for k in KINDS]))

@@ -58,6 +58,22 @@ def test_contexts_reveal_what_patterns_miss(spark):
     assert all(got[i][0] == got[i][1] and len(got[i][0]) == 1 for i in range(12))
 
 
+def test_contexts_reveal_other_shapes_and_lead_on(spark):
+    seeds = [f"Phone: +1555{n:07d} office" for n in range(400)]
+    # other shapes, one of several words, in the trusted context; these lead to a context without base matches
+    others = ["(555) 123 4568", *(f"555-123-45{n}" for n in range(10, 40))]
+    found = [f"Phone: {x} office" for x in others]
+    led = [*(f"fon= {x} here" for x in others), "fon= 555_123_4599 here"]
+    plain = ["Room 2019 is shut", "Phone: 12 office", "a novel of 5551230000 pages"]
+    texts = [*seeds, *found, *led, *plain]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.personal_data(df).select("doc_id", "spans").collect()}
+    for i, t in enumerate(texts):
+        number = t.split(" ", 1)[1].rsplit(" ", 1)[0]
+        at = t.index(number)
+        assert got[i] == ([] if t in plain else [(at, 3, at + len(number))]), t
+
+
 def test_redaction_keeps_what_is_not_personal(spark):
     df = spark.createDataFrame([(1, "😀 a@b.co or 10.0.0.1!", "en", "a", 0), (2, None, "en", "a", 0), (3, "clean", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in pii.blanked(df).collect()}
