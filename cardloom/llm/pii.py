@@ -10,7 +10,11 @@ are patterns, whatever its shape. Instances that hold a base span whole are seed
 confidence in a kind is the share of its distinct instances that are seeds or were found before, which must be enough; an
 instance's is the largest of its confident patterns, weighted by how like the kind's seeds it looks (digits, letters, at sign).
 Instances that end above the threshold and hold no base span are further spans, and support their other patterns in the
-next round. Both spans and counts of patterns stay distributed; each text counts once, copies share results.
+next round. Both spans and counts of patterns stay distributed; each text counts once, copies share results. The words
+around an instance are whole words, whatever their length and distance; the mark ^ stands where there is none.
+
+Positions are running sums, made by doubling (see scanned), so a text costs its length times the logarithm of its matches.
+Texts with many base spans meet their tokens in a join by stretches of the text, others inside their row.
 
 Cases: a null text counts as empty; null or repeated ids and repeated rows each keep their row; texts of any length are
 matched whole; an empty table gives an empty result; other columns of the input, whatever their names, are not read.
@@ -18,9 +22,12 @@ matched whole; an empty table gives an empty result; other columns of the input,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .shared import WHITE, cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,6 +44,8 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 #: Rounds; confidence of a pattern and of a span; distinct seeds behind a pattern.
 ROUNDS, SURE, SEEDS = 3, 0.9, 5
+#: Base spans of a text that are looked through for each of its tokens; code points of a stretch or chunk of a text.
+FEW, STRETCH = 64, 1024
 
 
 def digits(match: Column) -> Column:
@@ -62,18 +71,32 @@ def valid(kind: str, match: Column) -> Column:
     return F.when(n.between(14, 19), luhn(digits(match))).otherwise(F.lit(False))
 
 
+def scanned(values: Column, step: Callable[[Column, Column], Column] = Column.__add__) -> Column:
+    """Running totals of whole numbers from 0 on, under + or greatest. Each pass joins every total with the one that
+    lies twice as far back as in the pass before."""
+
+    def passes(v: Column) -> Column:
+        n = F.size(v)
+        turns = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+        def once(got: Column, k: Column) -> Column:
+            back = F.least(F.call_function("shiftleft", F.lit(1), k), n)
+            return F.zip_with(got, F.concat(F.array_repeat(F.lit(0), back), F.slice(got, 1, n - back)), lambda a, b: step(a, b))
+
+        return F.aggregate(turns, v, once)
+
+    return let(values, passes)
+
+
 def placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>>: code points at which the pattern matches, from what stands between matches."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    """struct<gaps, hits: array<struct<start, end, match>>>: code points at which the pattern matches, and what stands between."""
 
-    def step(got: Column, x: Column) -> Column:
-        a = got["at"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        return F.struct(b.alias("at"), F.concat(got["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("match")))).alias("out"))
+    def spans(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.length(g) + F.length(h))
+        hits = F.zip_with(scanned(steps), x["hits"], lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("match")))
+        return F.struct(x["gaps"].alias("gaps"), hits.alias("hits"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda got: got["out"])
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), spans)
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -82,7 +105,7 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 def base_spans(text: Column, kind: str, digits: Column) -> Column:
     """array<struct<start, kind, end>> of a kind's valid matches. digits: whether the text has a digit."""
     number = KINDS.index(kind)
-    hits = F.filter(placed(text, PATTERNS[kind]), lambda x: valid(kind, x["match"]))
+    hits = F.filter(placed(text, PATTERNS[kind])["hits"], lambda x: valid(kind, x["match"]))
     spans = F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end")))
     some = text.contains(HINTS[kind]) if HINTS[kind] else F.lit(True)
     return F.when(some & (digits if kind != "email" else F.lit(True)), spans).otherwise(F.array().cast(SPAN))
@@ -90,11 +113,23 @@ def base_spans(text: Column, kind: str, digits: Column) -> Column:
 
 def tokens_with_context(text: Column) -> Column:
     """array<struct<start, end, token, before, after>> of the tokens that hold a digit or an at sign."""
-    found = placed(text, TOKEN)
-    last = lambda s: F.try_element_at(F.filter(F.split(F.translate(s, WHITE[1:], " " * 5), " ", -1), lambda w: w != ""), F.lit(-1))
-    first = lambda s: F.try_element_at(F.filter(F.split(F.translate(s, WHITE[1:], " " * 5), " ", -1), lambda w: w != ""), F.lit(1))
     near = lambda w: F.coalesce(F.regexp_replace(F.lower(w), "[0-9]", "9"), F.lit("^"))
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("token"), near(last(F.substring(text, F.greatest(x["start"] - 79, F.lit(1)), F.least(x["start"], F.lit(80))))).alias("before"), near(first(F.substring(text, x["end"] + 1, F.lit(80)))).alias("after")))
+    plain = lambda gap: F.trim(F.translate(gap, WHITE[1:], " " * 5))
+    word = lambda gap, which, other: near(F.coalesce(F.nullif(F.substring_index(plain(gap), " ", which), F.lit("")), other))
+
+    def around(x: Column) -> Column:
+        gaps, hits, n = x["gaps"], x["hits"], F.size(x["hits"])
+        rest, none = F.greatest(n - 1, F.lit(0)), F.slice(F.array(F.lit(None).cast("string")), 1, F.least(n, F.lit(1)))
+        words = F.transform(hits, lambda h: h["match"])
+        # a token's neighbour is the last or first word of the gap, or else the next token
+        before = F.zip_with(F.slice(gaps, 1, n), F.concat(none, F.slice(words, 1, rest)), lambda g, t: word(g, -1, t))
+        after = F.zip_with(F.slice(gaps, 2, n), F.concat(F.slice(words, 2, rest), none), lambda g, t: word(g, 1, t))
+        return F.struct(hits.alias("hits"), before.alias("before"), after.alias("after"))
+
+    def tokens(x: Column) -> Column:
+        return F.transform(x["hits"], lambda h, i: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("token"), F.get(x["before"], i).alias("before"), F.get(x["after"], i).alias("after")))
+
+    return let(let(placed(text, TOKEN), around), tokens)
 
 
 def text_key(text: Column) -> Column:
@@ -146,14 +181,30 @@ def likeness() -> Column:
     return out
 
 
+def with_kinds(texts: DataFrame) -> DataFrame:
+    """Tokens and runs of texts (key, base, tokens): key, start, end, token, before, after, the kinds of base spans that a
+    token meets, and whether one of these sticks out of it."""
+    every = F.explode(F.concat("tokens", runs(F.col("tokens")))).alias("t")
+    meets = lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))
+    out_of = lambda b: (b["start"] < F.col("t.start")) | (b["end"] > F.col("t.end"))
+    few = texts.where(F.size("base") <= FEW).select("key", "base", every).withColumn("inside", F.filter("base", meets))
+    few = few.select("key", "t.*", F.array_distinct(F.transform("inside", lambda b: b["kind"])).alias("kinds"), F.exists("inside", out_of).alias("partly"))
+    # many spans: both sides by the stretches of the text that they lie in
+    many = texts.where(F.size("base") > FEW)
+    stretches = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}.start") / STRETCH), F.floor((F.col(f"{c}.end") - 1) / STRETCH)))
+    tokens = many.select("key", every)
+    spans = many.select("key", F.explode("base").alias("b")).select(F.col("key").alias("k"), "b", stretches("b").alias("s"))
+    met = tokens.select("key", F.struct("t.start", "t.end").alias("t"), stretches("t").alias("stretch")).join(spans, (F.col("key") == F.col("k")) & (F.col("stretch") == F.col("s"))).where(meets(F.col("b")))
+    met = met.groupBy(F.col("key").alias("k"), F.col("t.start").alias("from"), F.col("t.end").alias("to")).agg(F.collect_set("b.kind").alias("kinds"), F.max(out_of(F.col("b"))).alias("partly"))
+    many = tokens.join(met, (F.col("key") == F.col("k")) & (F.col("t.start") == F.col("from")) & (F.col("t.end") == F.col("to")), "left")
+    many = many.select("key", "t.*", F.coalesce("kinds", F.array().cast("array<int>")).alias("kinds"), F.coalesce("partly", F.lit(False)).alias("partly"))
+    return few.unionByName(many)
+
+
 def discovered(found: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds: int = SEEDS) -> DataFrame:
     """key, start, kind, end of the spans that contexts reveal in ``found`` (see detected)."""
     one = found.where(F.size("tokens") > 0).select("key", "base", "tokens").dropDuplicates(["key"])
-    rows = one.select("key", "base", F.explode(F.concat("tokens", runs(F.col("tokens")))).alias("t"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    partly = F.exists("inside", lambda b: (b["start"] < F.col("t.start")) | (b["end"] > F.col("t.end")))
-    kinds = F.array_distinct(F.transform("inside", lambda b: b["kind"]))
-    rows = rows.withColumn("inside", inside).select("key", "t.start", "t.end", F.col("t.token").alias("token"), kinds.alias("kinds"), partly.alias("partly"), F.col("t.before").alias("before"), F.col("t.after").alias("after"))
+    rows = with_kinds(one)
     # parts of a base span, and instances of several kinds, are neither seeds nor candidates
     rows = rows.withColumn("other", F.col("partly") | (F.size("kinds") > 1))
     rows = cut(rows.withColumn("seed", F.when(~F.col("other") & (F.size("kinds") == 1), F.col("kinds")[0])).drop("kinds", "partly"), "pii-tokens")
@@ -178,10 +229,11 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, sure: float = SURE, seeds
     return rows.where(F.col("seed").isNull() & ~F.col("other")).join(best, "token").select("key", "start", "kind", "end")
 
 
-def outermost(spans: Column) -> Column:
-    """Sorted spans without those inside a longer one."""
-    holds = lambda a, b: (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
-    return F.array_sort(F.filter(spans, lambda b: ~F.exists(spans, lambda a: holds(a, b))))
+def outermost(spans: DataFrame) -> DataFrame:
+    """key, more: the spans (key, start, kind, end) of each text that don't lie inside a longer one, sorted."""
+    ahead = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = spans.withColumn("reach", F.max("end").over(ahead)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
+    return rest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("more"))
 
 
 def as_text(spans: Column) -> Column:
@@ -192,7 +244,7 @@ def as_text(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and spans: arrays of struct<start, kind, end> by start, then kind; spans holds base and more."""
     found = cut(detected(docs), "pii-found")
-    more = discovered(found).groupBy("key").agg(outermost(F.collect_list(F.struct("start", "kind", "end"))).alias("more")).withColumnRenamed("key", "k")
+    more = outermost(discovered(found)).withColumnRenamed("key", "k")
     out = found.join(more, F.col("key") == F.col("k"), "left")
     return out.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
@@ -207,16 +259,22 @@ def counted(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; a span that starts inside an earlier one goes with it."""
+    """The text with each span (sorted) replaced by its kind in brackets; a span that starts inside an earlier one goes with it."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(got: Column, s: Column) -> Column:
-        fresh = s["start"] >= got["at"]
-        more = F.concat(got["out"], F.substring(text, got["at"] + 1, s["start"] - got["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(got["at"], s["end"])).alias("at"), F.when(fresh, more).otherwise(got["out"]).alias("out"))
+    def parts(x: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:  # of the text, from chunks, so that nothing is counted from its beginning
+            first = F.floor(a / STRETCH).cast("int")
+            held = F.array_join(F.slice(x["chunks"], first + 1, F.greatest(F.ceil(b / STRETCH).cast("int") - first, F.lit(0))), "")
+            return F.substring(held, a - first * STRETCH + 1, b - a)
+
+        cut_out = F.transform(spans, lambda s, i: let(F.get(x["reach"], i), lambda at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.element_at(names, s["kind"] + 1))).otherwise("")))
+        return F.concat(F.array_join(cut_out, ""), piece(F.element_at(x["reach"], -1), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda got: F.concat(got["out"], F.substring(text, got["at"] + 1, F.length(text))))
+    # code points that are done with before each span, and at the end
+    reach = F.concat(F.array(F.lit(0)), scanned(F.transform(spans, lambda s: s["end"]), F.greatest))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return let(F.struct(chunks.alias("chunks"), reach.alias("reach")), parts)
 
 
 def blanked(docs: DataFrame) -> DataFrame:
@@ -226,9 +284,10 @@ def blanked(docs: DataFrame) -> DataFrame:
     size Spark knows, are joined to their texts.
     """
     found = cut(detected(docs), "pii-found")
-    more = discovered(found).groupBy("key").agg(outermost(F.collect_list(F.struct("start", "kind", "end"))).alias("__more"))
-    more = cut(more.withColumnRenamed("key", "__k"), "pii-more")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("__digits", text.rlike("[0-9]")).withColumn("__base", F.concat(*[base_spans(text, k, F.col("__digits")) for k in KINDS]))
-    out = out.join(more, text_key(text) == F.col("__k"), "left").withColumn("__spans", F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(SPAN)))))
-    return out.withColumn("text", F.when(F.size("__spans") > 0, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))).select(docs.columns)
+    more = cut(outermost(discovered(found)).select(F.col("key").alias("k"), "more"), "pii-more")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    out = docs.select(F.struct(*docs.columns).alias("row"))
+    out = out.withColumn("digits", text.rlike("[0-9]")).withColumn("base", F.concat(*[base_spans(text, k, F.col("digits")) for k in KINDS]))
+    out = out.join(more, text_key(text) == F.col("k"), "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))))
+    blank = F.when(F.size("spans") > 0, redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    return out.select(*[blank.alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns])
