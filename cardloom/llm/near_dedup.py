@@ -1,7 +1,7 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-A document is its set of distinct word shingles. Documents with the same set are one class, named by a 64-bit hash of the
-set's digest (the ``rep`` of all tables here); one of each class goes on. Each
+A document is its set of distinct word shingles. Documents with the same set (by a digest of 128 bits) are one class, named
+by a number (the ``rep`` of all tables here) that no other class has; one of each class goes on. Each
 set has K minwise tokens. In each of several independent trees a document starts at the node that one of its minwise
 tokens names; a node with more than SMALL rows sends each of its rows on along BRANCHES of its minwise tokens, which
 the node's path picks, so that similar sets likely share a path. Small nodes are compared exhaustively by their
@@ -18,7 +18,10 @@ blocks, which differ from tree to tree. Then the trees are followed as above, bu
 components so far go on, only pairs across them are compared, and of those only enough to join what belongs together
 are kept. This makes families, which hold every likely pair. In each family the links to leaders are confirmed on full sets,
 and then all likely pairs across what these leave apart: no link that would join two components is lost to the
-short cut, and a group that is one component already costs nothing more.
+short cut, and a group that is one component already costs nothing more. A node or family of any size is compared in
+cells: its main component is dealt into blocks and its other rows into groups, each bounded in rows and shingles, and every
+pair of a group with a block or a group is a cell of its own. What is alike without being linked still costs the square of
+its rows, dealt over as many tasks.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make
 the whole sequence one shingle; a null id can't name a group, so such a row is returned alone with a null component and
@@ -28,18 +31,21 @@ gives an empty result; other columns of the input, whatever their names, are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import cut
+from .shared import cut, row_key
 
 #: Minwise tokens of a set; trees; rows of a small node; tokens that a larger node goes on with; levels at most.
 K, TREES, SMALL, BRANCHES, DEPTH = 64, 8, 1024, 2, 6
+#: Shingles of a block at most, on average.
+HEAVY = 2_000_000
 #: Leaders of a node in the first pass.
 LEADERS = 8
 #: Distinct words whose hashes a task remembers.
@@ -82,16 +88,19 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(words_each: int):
+    """The first column holds texts; the others are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
             sizes, digests, tokens = [], [], []
-            for text in b.column(1):
+            for text in b.column(0):
                 h = shingle_hashes(text.as_py(), words_each, known)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 tokens.append(minwise(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_digest", "tokens"])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*b.schema.names[1:], "n_shingles", "set_digest", "tokens"])
 
     return run
 
@@ -188,12 +197,58 @@ def _joined(label: np.ndarray, i: int, found: np.ndarray) -> np.ndarray:
     return found[first]
 
 
+#: Which side of a cell each side meets: 1 meets itself, 0 and 2 meet each other.
+_MEETS = (2, 1, 0)
+
+
+class _Sets:
+    """Sizes of intersections in a cell. Few are counted one by one; where many are asked for, all at once: shingles of
+    many rows by a product of matrices, others by counting their pairs."""
+
+    def __init__(self, offsets: np.ndarray, values: np.ndarray):
+        self.offsets, self.values, self.asked, self.all = offsets, values, 0, None
+
+    def with_row(self, i: int, rest: np.ndarray) -> np.ndarray:
+        if self.all is not None:
+            return self.all[i, rest]
+        mine = self.values[self.offsets[i] : self.offsets[i + 1]]
+        sizes = self.offsets[rest + 1] - self.offsets[rest]
+        self.asked += int(sizes.sum())
+        if self.asked > 8 * len(self.values):
+            self.all = self.counted()
+            return self.all[i, rest]
+        theirs = np.concatenate([self.values[self.offsets[r] : self.offsets[r + 1]] for r in rest.tolist()])
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        return np.add.reduceat((mine[at] == theirs).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+
+    def counted(self, often: int = 48, at_once: int = 2048) -> np.ndarray:
+        rows = len(self.offsets) - 1
+        row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(self.offsets))
+        order = np.argsort(self.values, kind="stable")
+        value, row = self.values[order], row[order]
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        n = np.diff(np.r_[starts, len(value)])
+        out = np.zeros((rows, rows), np.int64)
+        many = starts[n >= often]
+        for k in range(0, len(many), at_once):
+            part = np.zeros((rows, min(at_once, len(many) - k)), np.float32)
+            for j, s in enumerate(many[k : k + at_once].tolist()):
+                e = np.searchsorted(value, value[s], side="right")
+                part[row[s:e], j] = 1
+            out += (part @ part.T).astype(np.int64)
+        for size in np.unique(n[(n > 1) & (n < often)]).tolist():  # shingles of equally many rows together
+            held = row[starts[n == size][:, None] + np.arange(size)]
+            for k in range(0, len(held), max(1, 4_000_000 // size**2)):
+                some = held[k : k + max(1, 4_000_000 // size**2)]
+                out += np.bincount((some[:, :, None] * rows + some[:, None, :]).ravel(), minlength=rows * rows).reshape(rows, rows)
+        return out
+
+
 def _across(threshold: float, percent: int | None = None):
-    """Links that join components of a node: likely ones, or with ``percent`` those confirmed on the rows' full sets.
+    """Links that join components of a cell: likely ones, or with ``percent`` those confirmed on the rows' full sets.
 
-    side 0 is the node's main component and 1 the other rows; 2 marks other rows where they appear again, to meet more
-    of the main component only. Rows come by size, so a row looks no further than the largest set that can be like its own.
-    A link makes one component of two at once, so a node yields fewer links than it has rows.
+    Rows come by size, so a row looks no further than the largest set that can be like its own. A link makes one
+    component of two at once, so a cell yields fewer links than it has rows.
     """
     least = _least(threshold)
 
@@ -207,25 +262,19 @@ def _across(threshold: float, percent: int | None = None):
                 offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)  # in the order they were sorted in
             a, b = [], []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                label_here = label[s:e]
+                label_here, side_here, sig_here = label[s:e], side[s:e], sig[s:e]
                 upto = np.searchsorted(n[s:e], n[s:e] / threshold + 1e-9, side="right")
+                held = _Sets(offsets[s : e + 1] - offsets[s], values[offsets[s] : offsets[e]]) if percent is not None else None
                 for i in range(e - s - 1):
                     if upto[i] <= i + 1:
                         continue
                     rest = np.arange(i + 1, upto[i])
-                    meets = (side[s + rest] == 0) if side[s + i] else (side[s + rest] > 0)
-                    if side[s + i] == 1:
-                        meets |= side[s + rest] == 1
-                    rest = rest[meets & (label_here[rest] != label_here[i])]
+                    rest = rest[(side_here[rest] == _MEETS[side_here[i]]) & (label_here[rest] != label_here[i])]
                     if len(rest):
-                        rest = rest[(sig[s + rest] == sig[s + i]).sum(axis=1) >= least]
-                    if len(rest) and percent is not None:
-                        mine = values[offsets[s + i] : offsets[s + i + 1]]
-                        sizes = n[s + rest]
-                        theirs = np.concatenate([values[offsets[s + r] : offsets[s + r + 1]] for r in rest.tolist()])
-                        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                        both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-                        rest = rest[100 * both >= percent * (len(mine) + sizes - both)]
+                        rest = rest[(sig_here[rest] == sig_here[i]).sum(axis=1) >= least]
+                    if len(rest) and held:
+                        both = held.with_row(i, rest)
+                        rest = rest[100 * both >= percent * (n[s + i] + n[s + rest] - both)]
                     if len(rest):
                         ends_of = _joined(label_here, i, rest)
                         a.append(np.full(len(ends_of), rep[s + i]))
@@ -244,32 +293,44 @@ def roots(reps: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame, key: str) -> DataFrame:
-    """Of rows (key, rep, comp) those of nodes that hold several components, with the node's rows, main component and others."""
-    shares = rows.groupBy(key, "comp").agg(F.count("*").alias("n"))
-    nodes = shares.groupBy(key).agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where(F.col("comps") > 1)
-    return rows.join(nodes.select(key, "rows", F.col("most.comp").alias("main"), (F.col("rows") - F.col("most.n")).alias("others")), key)
+    """Of rows (key, rep, comp, mass) those of nodes that hold several components, with rows and mass of the node, its main
+    component and what isn't part of that."""
+    shares = rows.groupBy(key, "comp").agg(F.count("*").alias("n"), F.sum("mass").alias("m"))
+    nodes = shares.groupBy(key).agg(F.sum("n").alias("rows"), F.sum("m").alias("node_mass"), F.max(F.struct("n", "comp", "m")).alias("most"), F.count("*").alias("comps")).where(F.col("comps") > 1)
+    nodes = nodes.select(key, "rows", "node_mass", F.col("most.comp").alias("main"), (F.col("rows") - F.col("most.n")).alias("others"), (F.col("node_mass") - F.col("most.m")).alias("other_mass"))
+    return rows.select(key, "rep", "comp").join(nodes, key)
 
 
 def blocked(rows: DataFrame, key: str) -> DataFrame:
-    """(path, rep, comp, side) of nodes from mixed(): small ones whole, large ones as blocks of their main component,
-    each with all other rows of the node."""
-    blocks = F.ceil(F.col("rows") / SMALL)
-    whole, main = F.col("rows") <= SMALL, F.col("comp") == F.col("main")
-    block = F.when(whole, F.array(F.lit(0).cast("long"))).when(main, F.array(F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    out = rows.select(key, "rep", "comp", whole.alias("whole"), main.alias("is_main"), F.explode(block).alias("block"))
-    side = F.when(F.col("whole"), 1).when(F.col("is_main"), 0).when(F.col("block") == 0, 1).otherwise(2)
-    return out.select(F.xxhash64(key, "block").alias("path"), "rep", "comp", side.alias("side"))
+    """(path, rep, comp, side) of the cells of nodes from mixed(). A small node is one cell, in which all meet. Of a larger one
+    the main component is dealt into blocks and the others into groups; each group meets each block, each other group,
+    and itself."""
+    dealt = lambda n, mass: F.greatest(F.ceil(n / SMALL), F.ceil(mass / HEAVY), F.lit(1)).cast("long")
+    blocks, groups = dealt(F.col("rows") - F.col("others"), F.col("node_mass") - F.col("other_mass")), dealt(F.col("others"), F.col("other_mass"))
+    whole, main = dealt(F.col("rows"), F.col("node_mass")) == 1, F.col("comp") == F.col("main")
+    out = rows.select(key, "rep", "comp", whole.alias("whole"), main.alias("is_main"), blocks.alias("blocks"), groups.alias("groups"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("blocks")).otherwise(F.col("groups")))
+    out = out.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    zero, o = F.lit(0).cast("long"), F.col("own")
+    in_blocks = F.transform(upto(F.col("groups")), lambda g: cell(0, g, o, F.lit(0)))
+    with_blocks = F.transform(upto(F.col("blocks")), lambda b: cell(0, o, b, F.lit(2)))
+    with_groups = F.transform(upto(F.col("groups")), lambda g: cell(1, F.least(g, o), F.greatest(g, o), F.when(g == o, 1).when(g < o, 2).otherwise(0)))
+    cells = F.when(F.col("whole"), F.array(cell(2, zero, zero, F.lit(1)))).when(F.col("is_main"), in_blocks).otherwise(F.concat(with_blocks, with_groups))
+    out = out.select(key, "rep", "comp", F.explode(cells).alias("c"))
+    return out.select(F.xxhash64(key, "c.kind", "c.a", "c.b").alias("path"), "rep", "comp", "c.side")
 
 
 def ends(rows: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """(path, rep, comp, side) of nodes to compare: each holds SMALL rows or so.
+    """(path, rep, comp, side) of cells to compare.
 
     A node with more rows than SMALL goes on along BRANCHES of each row's tokens, unless nearly all of it is one component
     or it is of the last level.
     """
     done, comps = [], comps.withColumnRenamed("rep", "r")
     for level in range(1, DEPTH + 1):
-        named = rows.select("path", "rep").join(comps, F.col("rep") == F.col("r"), "left").select("path", "rep", F.coalesce("comp", "rep").alias("comp"))
+        named = rows.select("path", "rep").join(comps, F.col("rep") == F.col("r"), "left").select("path", "rep", F.coalesce("comp", "rep").alias("comp"), F.lit(0).cast("long").alias("mass"))
         now = cut(mixed(named, "path"), f"near-mixed{level}")
         ready = (F.col("rows") <= SMALL) | (F.col("others") <= SMALL) | F.lit(level == DEPTH)
         done.append(blocked(now.where(ready), "path"))
@@ -292,15 +353,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", rounds: int = 59) -> DataFrame:
     """(rep, comp) for each end of a link (a, b): comp is the smallest rep that can be reached.
 
     Each round hooks roots on smaller neighbouring labels and then follows labels of labels, so a chain of n links
-    takes about log n rounds; tables hold a row for each rep or link only.
+    takes about log n rounds; tables hold a row for each rep or link only. What isn't done after ``rounds`` is an error.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-links")
     labels = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{name}-0")
-    for step in range(1, 60):
+    for step in range(1, rounds + 1):
         near = both.join(labels, F.col("b") == F.col("rep")).groupBy("a").agg(F.min("comp").alias("near"))
         hooked = labels.join(near, F.col("rep") == F.col("a")).select("rep", "comp", F.least("comp", "near").alias("low"))
         # the label's own row learns of the smaller label too
@@ -311,18 +372,46 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         moved = not new.where(F.col("new") < F.col("comp")).isEmpty()
         labels = new.select("rep", F.col("new").alias("comp"))
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"{name}: labels still moved after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept (component_id = doc_id)."""
-    spark, threshold = docs.sparkSession, percent / 100
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    light = cut(text.mapInArrow(_signatures(words_each), "doc_id long, n_shingles long, set_digest binary, tokens array<int>"), "near-signatures")
-    light = light.withColumn("rep", F.when(F.col("n_shingles") > 0, F.xxhash64("set_digest")))
+def short_name(digest: Column) -> Column:
+    return F.xxhash64(digest)
+
+
+def namer(digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Gives tables with set_digest their rep: a 64-bit hash of the digest, but another one where two digests share it."""
+    clash = digests.where("set_digest is not null").groupBy(short_name(F.col("set_digest")).alias("h")).agg(F.min("set_digest").alias("first"), F.max("set_digest").alias("last")).where("first <> last").select("h", "first")
+    clash = cut(clash, "near-clashes")
+    if clash.isEmpty():
+        return lambda df: df.withColumn("rep", short_name(F.col("set_digest")))
+    other = F.xxhash64("set_digest", F.lit("again"))
+    if not digests.join(clash, short_name(F.col("set_digest")) == F.col("h")).where("set_digest <> first").select("set_digest").distinct().groupBy(other.alias("o")).count().where("count > 1").isEmpty():
+        raise RuntimeError("sets whose names clash twice")
+
+    def name(df: DataFrame) -> DataFrame:
+        cols = df.columns
+        out = df.join(F.broadcast(clash), short_name(F.col("set_digest")) == F.col("h"), "left")  # a row or so for 2^64 pairs of sets
+        return out.select(*cols, F.when(F.col("first") != F.col("set_digest"), other).otherwise(short_name(F.col("set_digest"))).alias("rep"))
+
+    return name
+
+
+def linked(rows: DataFrame, words_each: int, percent: int, part: str = "true") -> DataFrame:
+    """rows without their text, with n_shingles and comp: equal for rows of one component, null for empty sets.
+
+    Rows that don't meet the condition ``part`` link nothing.
+    """
+    spark, threshold = rows.sparkSession, percent / 100
+    others = [c for c in rows.columns if c != "text"]
+    schema = StructType([*(rows.schema[c] for c in others), StructField("text_key", StringType()), StructField("n_shingles", LongType()), StructField("set_digest", BinaryType()), StructField("tokens", ArrayType(IntegerType()))])
+    keyed = rows.select("text", *others, F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
+    light = cut(keyed.mapInArrow(_signatures(words_each), schema), "near-signatures")
+    named = namer(light)
+    light = named(light)
     short = F.transform("tokens", lambda t: F.substring(F.hex(t.bitwiseAND(255) + 256), 2, 2))
-    known = light.where(F.col("doc_id").isNotNull() & F.col("rep").isNotNull())
+    known = light.where(F.col("rep").isNotNull()).where(part)
     reps = known.select("rep", F.col("n_shingles").alias("n"), "tokens", F.unhex(F.array_join(short, "")).alias("sig")).dropDuplicates(["rep"])
     reps = cut(reps, "near-reps")
     nodes = cut(roots(reps), "near-nodes")
@@ -340,24 +429,52 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     likely = components(found, "near-likely")
     more = cut(dealt(ends(nodes, reps, likely).join(marks, "rep")).mapInArrow(_across(threshold), "a long, b long").distinct(), "near-more")
 
-    # the full sets of all that may have a partner
+    # the full sets of all that may have a partner: one text of each
     family = cut(components(found.unionByName(more), "near-families").withColumnRenamed("comp", "family"), "near-family")
-    shown = known.groupBy("rep").agg(F.min("doc_id").alias("doc_id")).join(family.select("rep"), "rep", "left_semi").select("doc_id").distinct()
-    sets = text.join(shown, "doc_id", "left_semi").select("text").mapInArrow(_sets(words_each), "set_digest binary, shingles array<long>")
-    sets = cut(sets.select(F.xxhash64("set_digest").alias("rep"), "shingles").join(family.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "near-sets")
+    shown = known.groupBy("rep").agg(F.min("text_key").alias("text_key")).join(family.select("rep"), "rep", "left_semi").select("text_key")
+    texts = rows.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text").join(shown, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = cut(named(texts.select("text").mapInArrow(_sets(words_each), "set_digest binary, shingles array<long>")).select("rep", "shingles"), "near-sets")
 
     # confirmation: links to leaders first, then within each family all likely pairs across what these leave apart
     links = cut(confirmed(found, sets, percent), "near-links")
     comp = components(links, "near-first").withColumnRenamed("rep", "r")
-    rows = family.join(comp, F.col("rep") == F.col("r"), "left").select("family", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rows = blocked(mixed(rows, "family"), "family").join(marks, "rep").join(sets, "rep")
-    links = links.unionByName(cut(dealt(rows).mapInArrow(_across(threshold, percent), "a long, b long").distinct(), "near-links2"))
-    # an id that stands for several sets joins their classes
-    ids = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-    links = links.unionByName(ids.select("a", F.explode("all").alias("b")).where("a <> b"))
+    rows_ = family.join(comp, F.col("rep") == F.col("r"), "left").select("family", "rep", F.coalesce("comp", "rep").alias("comp"))
+    rows_ = rows_.join(reps.select("rep", F.col("n").alias("mass")), "rep")
+    cells = blocked(mixed(rows_, "family"), "family").join(marks, "rep").join(sets, "rep")
+    links = links.unionByName(cut(dealt(cells).mapInArrow(_across(threshold, percent), "a long, b long").distinct(), "near-links2"))
     comp = components(links, "near-all")
-    placed = light.join(comp.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    least = placed.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "c")
+    placed = light.join(comp.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
+    return placed.select(*others, "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept (component_id = doc_id)."""
+    placed = cut(linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words_each, percent, "doc_id is not null"), "near-placed")
+    # an id that stands for several sets joins their classes
+    named = placed.where("doc_id is not null and comp is not null")
+    ids = named.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z")
+    pairs = cut(ids.join(named, "doc_id").select("a", F.col("comp").alias("b")).where("a <> b").distinct(), "near-ids")
+    if not pairs.isEmpty():
+        joined = components(pairs, "near-joined").select(F.col("rep").alias("r"), F.col("comp").alias("c"))
+        placed = placed.join(joined, F.col("comp") == F.col("r"), "left").select("doc_id", "n_shingles", F.coalesce("c", "comp").alias("comp"))
+    least = placed.where("doc_id is not null and comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "c")
     out = placed.join(least, F.col("comp") == F.col("c"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group: the one of the smallest id (null last), and of these the smallest row key.
+
+    Rows are told apart by all of their columns, so rows that share an id stand for themselves, and of equal rows one stays.
+    Rows without words are in no group and stay as they are.
+    """
+    key = row_key(docs)
+    light = docs.select(key.alias("row_key"), "doc_id", "text")
+    placed = linked(light, words_each, percent).where("comp is not null")
+    best = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    best = cut(best.select("row_key").distinct(), "near-kept")
+    has_words = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(key.alias("row_key"), F.struct(*docs.columns).alias("row"))
+    kept = rows.where(has_words).join(best, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select("row.*").unionByName(rows.where(~has_words).select("row.*"))

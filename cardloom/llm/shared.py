@@ -47,3 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
+
+
+def row_key(df: DataFrame) -> Column:
+    """A digest of 128 bits over all columns: rows that differ in any of them have different keys."""
+    parts = [F.coalesce(F.concat(F.length(t := F.col(f"`{f.name}`").cast("string")).cast("string"), F.lit(":"), t), F.lit("-")) for f in df.schema.fields]
+    return F.md5(F.concat_ws(",", *parts))

@@ -65,6 +65,67 @@ def test_large_nodes_branch_and_keep_all_links(spark, copies, monkeypatch):
     assert got == groups(copies, 2, 80)
 
 
+def test_a_large_family_near_the_threshold_is_compared_in_cells(spark, monkeypatch):
+    # pages of one template, three quarters alike: one family without links, and two pages that are
+    monkeypatch.setattr(near_dedup, "SMALL", 64)
+    rng = np.random.default_rng(15)
+    template = [f"t{i}" for i in range(90)]
+    rows = [(i, " ".join([*template[:45], *(f"u{i}x{k}" for k in range(16)), *template[45:]])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1].replace(f"u{i}x3", "other")) for i in range(0, 400, 40)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert got == groups(rows, 2, 80) and got[1000][1] == 0
+
+
+def test_cells_hold_all_pairs_of_rows_and_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 10)
+    rows = spark.range(137).selectExpr("7L AS node", "id AS rep", "CASE WHEN id < 80 THEN -1L ELSE id END AS comp", "1L AS mass")
+    cells = {}
+    for r in near_dedup.blocked(near_dedup.mixed(rows, "node"), "node").collect():
+        cells.setdefault(r["path"], []).append((r["rep"], r["side"]))
+    met = set()
+    for c in cells.values():
+        assert len(c) <= 50
+        met |= {(min(a, b), max(a, b)) for a, x in c for b, y in c if a != b and near_dedup._MEETS[x] == y}
+    assert met == {(a, b) for b in range(80, 137) for a in range(b)}
+
+
+def test_intersections_counted_at_once():
+    rng = np.random.default_rng(16)
+    sets = [np.sort(rng.choice(400, rng.integers(1, 90), replace=False)).astype(np.uint64) for _ in range(150)]
+    held = near_dedup._Sets(np.r_[0, np.cumsum([len(x) for x in sets])], np.concatenate(sets))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
+    all_ = held.counted(often=40, at_once=64)
+    assert all(all_[i, j] == want[i][j] for i in range(150) for j in range(150) if i != j)
+    for i in range(149):
+        assert held.with_row(i, np.arange(i + 1, 150)).tolist() == want[i][i + 1 :]
+    assert held.all is not None
+
+
+def test_sets_whose_names_clash_stay_apart(spark, copies, monkeypatch):
+    monkeypatch.setattr(near_dedup, "short_name", lambda digest: F.pmod(F.xxhash64(digest), F.lit(40)))
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in copies[:120]], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert got == groups(copies[:120], 2, 80)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still moved"):
+        near_dedup.components(links, rounds=1)
+
+
+def test_one_row_of_each_group_stays(odd, no_docs, spark):
+    kept = near_dedup.one_of_each(odd, 2, 80)
+    assert kept.columns == odd.columns
+    # of equal rows, of copies with other ids and of the row without id one stays; rows without words stay
+    assert sorted((r["doc_id"] or -1, r["source"]) for r in kept.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).collect()) == [(-1, "b"), (1, ""), (2, "a"), (3, "a"), (5, ""), (6, "a"), (7, "b"), (9, "b")]
+    twice = spark.createDataFrame([(1, "a b c d e f g", "en", "x", 0), (1, "quite other words stand in this text", "en", "x", 0), (None, "a b c d e f g", "en", "x", 0)], DOCS)
+    assert sorted(r["text"][:5] for r in near_dedup.one_of_each(twice, 2, 80).collect()) == ["a b c", "quite"]
+    assert near_dedup.one_of_each(no_docs, 2, 80).count() == 0
+
+
 def test_components_follow_chains(spark):
     rng = np.random.default_rng(6)
     order = rng.permutation(200).tolist()
