@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import mixing, near_dedup, packing, pii, toxicity
 from cardloom.llm.queries import tokenizer_file
-from cardloom.llm.shared import cut, fold, table, table_path
+from cardloom.llm.shared import fold, table, table_path
 
 #: Folds of labels, of which the first is never learnt from.
 FOLDS = 5
@@ -27,10 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group. Documents without id can't be grouped and stay."""
-    kept = near_dedup.near_duplicates(docs, SHINGLE, SIMILAR).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(cut(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, told apart by whole rows: that of the smallest id. Documents without words stay."""
+    return near_dedup.one_of_each(docs, SHINGLE, SIMILAR)
 
 
 def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
