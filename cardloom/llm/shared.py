@@ -13,16 +13,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests in local mode), a temporary folder is set for it.
+    A session that names none may only be a local one (as in tests), whose driver is its executor: it has one temporary
+    folder for itself. On a cluster it is an error, since each executor would write to a disk of its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cardloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="cardloom-")
+    return _LOCAL[sc.applicationId]
 
 
 def table_path(spark: SparkSession, name: str) -> str:
