@@ -1,16 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled texts. Their terms are words and beginnings of words (stems carry the mark
-in inflected languages); of these the most telling ones, by a two-sample z test over the sample, form the vocabulary.
-Examples are laid out so that like ones stand together, in blocks with the largest weight of each term noted (a
-block-max index). A text looks through blocks in the order of their bounds and stops when no later block can hold one
-of its nearest examples, so the neighbours are the exact ones. Their votes, weighted by similarity, become a probability
-by logistic calibration on the examples themselves, each voted on without itself.
-
-Cases: null and empty texts, and texts without a term of the vocabulary, have no neighbours and get the calibrated score
-of an empty vote; rows without label serve as no example; null ids never match a label; repeated rows get equal scores;
-without examples of both classes every score is the share of label 1 among the examples, or 0; an empty table gives an
-empty result; other columns of the input, whatever their names, are not read.
+The examples are a bounded sample of labelled texts. Their terms, all of them, are words and beginnings of words (stems carry
+the mark in inflected languages). A term weighs 1 + log of its count, times its idf over all documents, times its relevance: from
+0 to 1 and rising smoothly with the two-sample z of its share among the examples of either class, so that the
+prose around the mark, most of the terms, doesn't drown it; no term is left out. Examples lie in posting lists of each term,
+like ones together, in blocks whose largest weight is noted (a block-max index). A text reads the
+lists of its weightiest terms; what the rest can add in a block at most, by the noted maxima, tells which examples may still
+be among its nearest, and these are scored exactly, so the neighbours are the exact
+ones. Their votes, weighted by similarity, become a probability by logistic calibration on the examples themselves, each voted
+on without itself. Ids and cosines of the neighbours are the evidence.
+
+Cases: null and empty texts, and texts without a term of an example, have no neighbours and get the calibrated score
+of an empty vote; rows without label serve as no example; null ids never match a label; an id with clashing labels counts
+as labelled 1, as does a text whose rows clash; equal texts are one example, named by the smallest id; repeated rows get equal
+scores; without examples of both classes every score is the share of label 1 among the examples, or 0; an empty table
+gives an empty result; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .shared import cut, fold
 
-#: Examples of each class, terms of the vocabulary, neighbours that vote, examples in a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 1024, 15, 64
-#: Lengths of word beginnings that are terms, beside whole words; least z of a term.
-STEMS, LEAST_Z = (4, 5, 6, 7), 6.0
+#: Examples of each class, neighbours that vote, examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
+#: Lengths of word beginnings that are terms, beside whole words; z at which a term's relevance is one half.
+STEMS, HALF_Z = (4, 5, 6, 7), 6.0
 
 _WORDS = re.compile(r"\w+")
 
@@ -45,63 +49,114 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vectors:
-    """Texts as unit TF-IDF vectors over the vocabulary."""
-
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray):
-        self.vocabulary, self.idf, self._known = vocabulary, idf, {}
+    """Texts as unit vectors over the terms of the examples."""
+
+    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray):
+        self.vocabulary, self.weight, self._known = vocabulary, weight, {}
+
+    def terms(self, word: str) -> list[int]:
+        ts = self._known.get(word)
+        if ts is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            ts = self._known[word] = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
+        return ts
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms and how often it has each."""
+        ids, times = [], []
+        for w, n in words_of(text).items():
+            ts = self.terms(w)
+            ids += ts
+            times += [n] * len(ts)
+        terms, at = np.unique(np.asarray(ids, np.int64), return_inverse=True)
+        return terms, np.bincount(at, times, len(terms)) if len(ids) else np.zeros(0)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text; none if it has no term."""
-        got: dict[int, int] = {}
-        known = self._known
-        for w, n in words_of(text).items():
-            ts = known.get(w)
-            if ts is None:
-                if len(known) > 500_000:
-                    known.clear()
-                ts = known[w] = [self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary]
-            for t in ts:
-                got[t] = got.get(t, 0) + n
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(sorted(got), np.int64, len(got))
-        weights = (1 + np.log([got[t] for t in terms.tolist()])) * self.idf[terms]
-        return terms, weights / np.sqrt(weights @ weights)
+        """Terms and weights of a text; none if it has no term with a weight."""
+        terms, times = self.counts(text)
+        weights = (1 + np.log(times)) * self.weight[terms]
+        terms, weights = terms[weights > 0], weights[weights > 0]
+        return terms, weights / np.sqrt(weights @ weights) if len(weights) else weights
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end, one after the other."""
+    n = ends - starts
+    out = np.ones(int(n.sum()), np.int64)
+    some = n > 0
+    first = np.cumsum(n[some])[:-1]
+    if len(out):
+        out[0] = starts[some][0]
+        out[first] = starts[some][1:] - ends[some][:-1] + 1
+    return np.cumsum(out)
 
 
 class BlockMaxIndex:
-    """Examples by block, with the largest weight of each term in each block."""
+    """Posting lists of all terms over examples, in blocks of BLOCK places, each with its largest weight."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int):
         lead = [(int(t[np.argmax(w)]), float(w.max())) for t, w in rows]
-        order = sorted(range(len(rows)), key=lambda i: (lead[i][0], -lead[i][1], int(ids[i])))
-        self.labels, self.ids = labels[order].astype(float), ids[order]
-        width = -(-max(1, len(rows)) // BLOCK) * BLOCK
-        self.weights = np.zeros((terms, width))
-        for at, i in enumerate(order):
-            self.weights[rows[i][0], at] = rows[i][1]
-        self.most = self.weights.reshape(terms, -1, BLOCK).max(axis=2)
+        #: Place of each row, and back.
+        self.order = np.asarray(sorted(range(len(rows)), key=lambda i: (lead[i][0], -lead[i][1], int(ids[i]), i)), np.int64)
+        self.labels, self.ids, self.blocks = labels[self.order].astype(float), ids[self.order], -(-max(1, len(rows)) // BLOCK)
+        term = np.concatenate([rows[i][0] for i in self.order]).astype(np.int32)
+        place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(rows[i][0]) for i in self.order])
+        by_term = np.argsort(term, kind="stable")  # places stay in order
+        term, self.place, self.weight = term[by_term], place[by_term], np.concatenate([rows[i][1] for i in self.order])[by_term]
+        block = self.place // BLOCK
+        at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        #: Of each term its blocks; of each of these its postings, number and largest weight; each term's largest weight.
+        self.lists = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int64)
+        self.postings, self.block, self.most = np.r_[at, len(term)].astype(np.int64), block[at], np.maximum.reduceat(self.weight, at)
+        self.top = np.zeros(terms)
+        np.maximum.at(self.top, term[at], self.most)
+        #: Lists that hold a quarter of the examples or more are kept as rows of weights too.
+        sizes = self.postings[self.lists[1:]] - self.postings[self.lists[:-1]]
+        full = np.flatnonzero(4 * sizes >= len(rows))
+        self.row = np.full(terms, -1)
+        self.row[full] = np.arange(len(full))
+        self.full = np.zeros((len(full), len(rows)))
+        for r, t in enumerate(full.tolist()):
+            own = slice(self.postings[self.lists[t]], self.postings[self.lists[t + 1]])
+            self.full[r, self.place[own]] = self.weight[own]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a common term; ties go to the earlier place."""
-        bounds = weights @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(scores) >= k and bounds[b] + 1e-12 < least:
-                break
-            s = weights @ self.weights[terms, b * BLOCK : (b + 1) * BLOCK]
-            if leave is not None and leave // BLOCK == b:
-                s[leave % BLOCK] = 0
-            on = np.flatnonzero(s > 0)
-            places, scores = np.r_[places, on + b * BLOCK], np.r_[scores, s[on]]
-            if len(scores) > k:
-                keep = np.lexsort((places, -scores))[:k]
-                places, scores = places[keep], scores[keep]
-            if len(scores) >= k:
-                least = scores.min()
-        keep = np.lexsort((places, -scores))
-        return places[keep], scores[keep]
+        n = len(self.labels)
+        by_impact = np.argsort(-weights * self.top[terms], kind="stable")
+        head, rest = by_impact[: max(32, len(terms) // 8)], by_impact[max(32, len(terms) // 8) :]
+        scores = self._added(np.zeros(n), terms[head], weights[head])
+        if leave is not None:
+            scores[leave] = 0
+        if len(rest):
+            starts, ends = self.lists[terms[rest]], self.lists[terms[rest] + 1]
+            entries, own = _ranges(starts, ends), np.repeat(weights[rest], ends - starts)
+            bounds = np.bincount(self.block[entries], self.most[entries] * own, self.blocks) + np.maximum.reduceat(scores, np.arange(0, n, BLOCK))
+            least = np.partition(scores, n - k)[n - k] if n > k else 0.0
+            left = bounds * (1 + 1e-9) + 1e-12 >= least
+            scores = self._added(scores, terms[rest], weights[rest], left if 2 * left.sum() < self.blocks else None)
+            scores[~np.repeat(left, BLOCK)[:n]] = 0
+            if leave is not None:
+                scores[leave] = 0
+        least = np.partition(scores, n - k)[n - k] if n > k else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least))
+        found = found[np.lexsort((found, -scores[found]))[:k]]
+        return found, scores[found]
+
+    def _added(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+        """scores with what these terms add, for lists only in ``blocks`` if these are given."""
+        row = self.row[terms]
+        scores = scores + weights[row >= 0] @ self.full[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0]
+        starts, ends = self.lists[terms], self.lists[terms + 1]
+        first, last = self.postings[starts], self.postings[ends]
+        if blocks is not None:
+            entries, weights = _ranges(starts, ends), np.repeat(weights, ends - starts)
+            on = blocks[self.block[entries]]
+            first, last, weights = self.postings[entries[on]], self.postings[entries[on] + 1], weights[on]
+        at = _ranges(first, last)
+        return scores + np.bincount(self.place[at], self.weight[at] * np.repeat(weights, last - first), len(scores))
 
 
 def vote(index: BlockMaxIndex, places: np.ndarray, scores: np.ndarray) -> tuple[float, float]:
@@ -132,7 +187,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 class Model:
-    """What a task needs to score texts: bounded by EXAMPLES, TERMS and BLOCK."""
+    """What a task needs to score texts: bounded by EXAMPLES and the length of their texts."""
 
     def __init__(self, vectors: Vectors | None, index: BlockMaxIndex | None, coefficients: np.ndarray | None, rate: float):
         self.vectors, self.index, self.coefficients, self.rate = vectors, index, coefficients, rate
@@ -155,6 +210,12 @@ def sampled_labels(labels: DataFrame, label: str, n: int) -> tuple[DataFrame, di
     return pick(0).unionByName(pick(1)), have
 
 
+def distinct_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text, label of the sampled documents: equal texts once, with their smallest id and largest label."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # the sample is bounded
+    return rows.groupBy("text").agg(F.min("doc_id").cast("long").alias("doc_id"), F.max("label").alias("label"))
+
+
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
@@ -166,44 +227,79 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "zeros": [counts[0][t] for t in part], "ones": [counts[1][t] for t in part]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]:
+    """The number of all documents, and of those that hold each term."""
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, n = held.value, 0
+        out = np.zeros(len(v.weight), np.int64)
+        for b in batches:
+            n += b.num_rows
+            for text in b.column(0):
+                out[np.unique(np.asarray([t for w in set(_WORDS.findall((text.as_py() or "").lower())) for t in v.terms(w)], np.int64))] += 1
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, out[some]])], names=["term", "n"])
+
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row for each term
+    out = np.zeros(len(vectors.weight), np.int64)
+    terms = found["term"].to_numpy()
+    out[terms[terms >= 0]] = found["n"].to_numpy()[terms >= 0]
+    return int(found["n"][terms < 0].sum()), out
+
+
+def relevance(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """From 0 to 1, by how much the shares of texts with a term differ between the classes, in standard errors."""
+    p = (zeros + ones + 1) / (n0 + n1 + 2)
+    z = np.abs(ones / n1 - zeros / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    return z / (z + HALF_Z)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, label); only ids in both are examples."""
     sample, have = sampled_labels(labels, label, examples)
-    # the sample holds 2 * examples ids at most
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["text"])
-    texts = cut(texts, "toxic-examples")
+    texts = cut(distinct_texts(docs, sample), "toxic-examples")
     ones, zeros = (lambda r: (r["ones"] or 0, r["n"] - (r["ones"] or 0)))(texts.agg(F.sum("label").alias("ones"), F.count("*").alias("n")).first())
     rate = have.get(1, 0) / max(1, have.get(0, 0) + have.get(1, 0))
     if not ones or not zeros:
         return Model(None, None, None, float(rate))
     counted = texts.mapInPandas(_count_terms, "term string, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    p1, p0 = F.col("ones") / ones, F.col("zeros") / zeros
-    p = (F.col("ones") + F.col("zeros") + 1) / (ones + zeros + 2)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / ones + 1 / zeros))
-    chosen = counted.where(F.col("ones") + F.col("zeros") >= 3).withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(terms).collect()
-    if not chosen:
+    counted = counted.toPandas().sort_values("term", kind="stable")  # the terms of the examples
+    if not len(counted):
         return Model(None, None, None, float(rate))
     share = {0: have[0] / zeros, 1: have[1] / ones}  # an example stands for so many
-    idf = np.asarray([np.log((have[0] + have[1] + 1) / (r["zeros"] * share[0] + r["ones"] * share[1] + 1)) + 1 for r in chosen])
-    vectors = Vectors({r["term"]: i for i, r in enumerate(chosen)}, idf)
+    vectors = Vectors({t: i for i, t in enumerate(counted["term"])}, relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
+    n, df = document_counts(docs, vectors)
+    vectors = Vectors(vectors.vocabulary, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def to_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [vectors.of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "terms": [t for t, _ in got], "weights": [w for _, w in got]})
+            got = [held.value.of(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "terms": [t.tobytes() for t, _ in got], "weights": [w.tobytes() for _, w in got]})
 
-    rows = texts.mapInPandas(to_vectors, "doc_id long, label int, terms array<long>, weights array<double>").orderBy("doc_id").collect()
-    full = [r for r in rows if r["terms"]]
-    if not full:
+    rows = cut(texts.mapInPandas(to_vectors, "doc_id long, label int, terms binary, weights binary"), "toxic-vectors")
+    full = rows.where(F.length("terms") > 0).orderBy("doc_id", "terms", "weights").toPandas()
+    if not len(full):
         return Model(None, None, None, float(rate))
-    index = BlockMaxIndex([(np.asarray(r["terms"], np.int64), np.asarray(r["weights"])) for r in full], np.asarray([r["label"] for r in full]), np.asarray([r["doc_id"] for r in full], np.int64), len(chosen))
-    place = {int(d): i for i, d in enumerate(index.ids)}
-    votes = []
-    for r in rows:
-        t, w = np.asarray(r["terms"] or [], np.int64), np.asarray(r["weights"] or [])
-        votes.append(vote(index, *(index.nearest(t, w, NEIGHBOURS, place[r["doc_id"]]) if len(t) else (np.zeros(0, np.int64), np.zeros(0)))))
-    y = np.asarray([r["label"] for r in rows], float)
-    return Model(vectors, index, logistic(_traits(votes), y, np.where(y > 0, share[1], share[0])), float(rate))
+    unpacked = [(np.frombuffer(t, np.int64), np.frombuffer(w)) for t, w in zip(full["terms"], full["weights"], strict=True)]
+    index = BlockMaxIndex(unpacked, full["label"].to_numpy(), full["doc_id"].to_numpy(), len(vectors.weight))
+    places = np.empty(len(full), np.int64)
+    places[index.order] = np.arange(len(full))
+    tried = docs.sparkSession.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [vote(tried.value, *tried.value.nearest(np.frombuffer(t, np.int64), np.frombuffer(w), NEIGHBOURS, int(at))) for t, w, at in zip(b["terms"], b["weights"], b["place"], strict=True)]
+            yield pd.DataFrame({"place": b["place"], "share": [g[0] for g in got], "mass": [g[1] for g in got]})
+
+    # each example voted on without itself, in tasks; those without terms have the empty vote
+    own = docs.sparkSession.createDataFrame(pd.DataFrame({"terms": full["terms"], "weights": full["weights"], "place": places}), "terms binary, weights binary, place long")
+    got = own.repartition(32).mapInPandas(votes, "place long, share double, mass double").toPandas().sort_values("place")
+    bare = rows.where(F.length("terms") == 0).groupBy("label").count().toPandas()
+    y = np.r_[index.labels, *(np.full(c, float(v)) for v, c in zip(bare["label"], bare["count"], strict=True))]
+    x = [*zip(got["share"], got["mass"], strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
+    return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate))
 
 
 def score(docs: DataFrame, model: Model, *, evidence: bool = False) -> DataFrame:
