@@ -6,8 +6,8 @@ on the labels around it. Weights are learnt by maximum likelihood from a bounded
 lines take their document's label. Forward-backward gives each line's chance to be good; the mean of these, weighted by
 line length, is mapped to a probability by logistic calibration on the sample.
 
-Cases: null and empty texts are one empty line; blank lines count with the length 1; null ids never match a label;
-repeated rows get equal scores; without documents of both classes every score is the share of label 1 in the sample, or
+Cases: null and empty texts are one empty line; blank lines count with the length 1; null ids never match a label; an id with
+clashing labels counts as labelled 1, as does a text whose rows clash; equal texts are learnt from once; repeated rows get equal scores; without documents of both classes every score is the share of label 1 in the sample, or
 0; an empty table gives an empty result; other columns of the input, whatever their names, are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, fold
-from .toxicity import logistic, sampled_labels
+from .toxicity import distinct_texts, logistic, sampled_labels
 
 #: Documents of each class in the sample; lines of a sampled document at most (longer ones aren't sampled).
 SAMPLE, LINES = 1500, 400
@@ -97,6 +97,36 @@ def forward_backward(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, n
     return np.asarray(out), pairs
 
 
+def marginals(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """forward_backward of many documents at once. odds: those of all lines, document after document, longest document
+    first; lengths: lines of each."""
+    starts, most = np.r_[0, np.cumsum(lengths)[:-1]], int(lengths[0])
+    good, m = np.exp(np.clip(odds, -30, 30)), np.exp(moves)
+    alive = np.searchsorted(-lengths, -np.arange(most), side="left")  # documents longer than i
+    ahead, out, pairs = np.empty((len(odds), 2)), np.empty(len(odds)), np.zeros((2, 2))
+    at = starts[: alive[0]]
+    ahead[at] = np.c_[1 / (1 + good[at]), good[at] / (1 + good[at])]
+    for i in range(1, most):
+        at = starts[: alive[i]] + i
+        p = ahead[at - 1] @ m
+        p[:, 1] *= good[at]
+        ahead[at] = p / p.sum(axis=1, keepdims=True)
+    back = np.full((len(lengths), 2), 0.5)
+    for i in range(most - 1, -1, -1):
+        n = alive[i]
+        at = starts[:n] + i
+        both = ahead[at] * back[:n]
+        out[at] = both[:, 1] / both.sum(axis=1)
+        if i:
+            right = back[:n].copy()
+            right[:, 1] *= good[at]
+            t = ahead[at - 1][:, :, None] * m * right[:, None, :]
+            pairs += (t / t.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            p = right @ m.T
+            back[:n] = p / p.sum(axis=1, keepdims=True)
+    return out, pairs
+
+
 class Field:
     """The fitted field and its calibration: a few dozen numbers."""
 
@@ -118,48 +148,50 @@ def calibrated(map_to: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(map_to[0] + map_to[1] * odds)))
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray, int]], share: dict[int, float], rate: float) -> Field:
-    """docs: features, lengths and label of each; share: for how many documents one of a class stands."""
-    if len({y for *_, y in docs}) < 2:
+def train(x: np.ndarray, weight: np.ndarray, lengths: np.ndarray, labels: np.ndarray, share: dict[int, float], rate: float) -> Field:
+    """x, weight: features and length of all lines, document after document, longest document first; lengths, labels: of each
+    document; share: for how many documents one of a class stands."""
+    if len(np.unique(labels)) < 2:
         return Field(None, None, None, rate)
-    lines = sum(len(x) for x, *_ in docs)
     theta, m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
-    allx, ally = np.vstack([x for x, *_ in docs]), np.concatenate([np.full(len(x), y) for x, _, y in docs])
-    ends = np.cumsum([len(x) for x, *_ in docs])
-    own = sum((np.eye(2)[y][:, None] * np.eye(2)[y]) * (len(x) - 1) for x, _, y in docs)
+    y = np.repeat(labels, lengths)
+    own = np.diag([float((lengths - 1)[labels == c].sum()) for c in (0, 1)])  # moves of the labellings learnt from: none changes inside a document
     for step in range(1, STEPS + 1):
-        w, moves = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
-        odds, good, pairs = allx @ w, np.empty(len(ally)), np.zeros((2, 2))
-        for s, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-            good[s:e], p = forward_backward(odds[s:e], moves)
-            pairs += p
-        g = np.r_[allx.T @ (ally - good), (own - pairs).ravel()] / lines - RIDGE * theta
+        good, pairs = marginals(x @ theta[:WIDTH].astype(np.float32), lengths, theta[WIDTH:].reshape(2, 2))
+        g = np.r_[x.T @ (y - good).astype(np.float32), (own - pairs).ravel()] / len(y) - RIDGE * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    field = Field(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), None, rate)
-    mean = np.asarray([field.lines(x) @ n / n.sum() for x, n, _ in docs])
-    y = np.asarray([y for *_, y in docs], float)
+    good, _ = marginals(x @ theta[:WIDTH].astype(np.float32), lengths, theta[WIDTH:].reshape(2, 2))
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    mean = np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
     odds = np.log(np.clip(mean, 1e-4, 1 - 1e-4) / np.clip(1 - mean, 1e-4, 1))
-    field.map_to = logistic(np.c_[np.ones(len(y)), odds], y, np.where(y > 0, share[1], share[0]))
-    return field
+    map_to = logistic(np.c_[np.ones(len(labels)), odds], labels.astype(float), np.where(labels > 0, share[1], share[0]))
+    return Field(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), map_to, rate)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Field:
-    """Learn from docs (doc_id, text) and labels (doc_id, label); at most ``sample`` documents of each class."""
+    """Learn from docs (doc_id, text) and labels (doc_id, label); at most ``sample`` documents of each class.
+
+    Features are made in tasks. At the bound the driver holds 2 * SAMPLE * LINES lines of WIDTH single-precision features,
+    180 MB, and goes through them in array operations over all documents.
+    """
     picked, have = sampled_labels(labels, label, sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["text"])
+    texts = distinct_texts(docs, picked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [x.astype(np.float32).tobytes() for x, _ in got], "n": [n.tobytes() for _, n in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "lines": [len(n) for _, n in got], "x": [x.astype(np.float32).tobytes() for x, _ in got], "n": [n.tobytes() for _, n in got]})
 
     small = texts.where(F.length("text") - F.length(F.translate("text", "\n", "")) < LINES)
-    rows = cut(small.mapInPandas(run, "doc_id long, label int, x binary, n binary"), "crf-sample").orderBy("doc_id").collect()
-    data = [(np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(float), np.frombuffer(r["n"]), r["label"]) for r in rows]
+    rows = cut(small.mapInPandas(run, "doc_id long, label int, lines int, x binary, n binary"), "crf-sample").orderBy(F.desc("lines"), "doc_id", "x").toPandas()
+    y = rows["label"].to_numpy(np.int64)
     rate = have.get(1, 0) / max(1, have.get(0, 0) + have.get(1, 0))
-    share = {c: have.get(c, 0) / max(1, sum(y == c for *_, y in data)) for c in (0, 1)}
-    return train(data, share, float(rate))
+    if not len(rows):
+        return Field(None, None, None, float(rate))
+    share = {c: have.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
+    x, weight = np.frombuffer(b"".join(rows.pop("x")), np.float32).reshape(-1, WIDTH), np.frombuffer(b"".join(rows.pop("n")))
+    return train(x, weight, rows["lines"].to_numpy(np.int64), y, share, float(rate))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1) -> DataFrame:
