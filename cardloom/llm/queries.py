@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, html_extract, mixing, near_dedup, oracles, packing, pii, quality_crf, quality_rules, token_counts, toxicity
-from .shared import table, table_path
+from .shared import shared_folder, table
 
 #: Where the public tokenizer files lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -44,11 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), evidence=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), table_path(spark, "count-cache"), limit=512)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), f"{shared_folder(spark)}/cardloom/count-cache", limit=512)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,27 +27,27 @@ CACHE_SCHEMA = "content_digest binary, version string, n_tokens long"
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    ``cache_path`` is a folder of Parquet files with CACHE_SCHEMA, made on first use. Texts cross the network once at
-    most, and of the copies that one task holds only the first does; a digest with a third of all rows
-    is therefore met by a partial aggregate, and its light rows by a join that adaptive execution splits.
+    ``cache_path`` is a folder of Parquet files with CACHE_SCHEMA, made on first use; it may be kept and shared between runs, as
+    runs that append a count twice append the same. Digests come first: only if some aren't stored are texts looked at again,
+    and only texts with such digests cross the network, of copies that one task holds the first; a digest with a
+    third of all rows is therefore met by a partial aggregate, and its light rows by a join that adaptive execution splits.
     """
     spark = docs.sparkSession
     version = version_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    light = cut(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("content_digest"), F.octet_length(text).cast("long").alias("n_bytes")), "count-digests")
+    digest = F.unhex(F.sha2(text, 256)).alias("content_digest")
+    light = cut(docs.select(F.col(id_col).alias("doc_id"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "count-digests")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)  # so that the folder can be read
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).select("content_digest").distinct()
-    missing = (
-        docs.select(F.unhex(F.sha2(text, 256)).alias("content_digest"), text.alias("text"))
-        .join(stored, "content_digest", "left_anti")
-        .dropDuplicates(["content_digest"])
-    )
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).select("content_digest")
+    wanted = cut(light.select("content_digest").distinct().join(stored, "content_digest", "left_anti"), "count-misses")
+    missing = docs.select(digest, text.alias("text")).join(wanted, "content_digest", "left_semi").dropDuplicates(["content_digest"])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = encoder(tokenizer_path).ids
         for b in batches:
             yield pd.DataFrame({"content_digest": b["content_digest"], "version": version, "n_tokens": [len(ids(t)) for t in b["text"]]})
 
-    missing.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    if not wanted.isEmpty():
+        missing.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     return light.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
