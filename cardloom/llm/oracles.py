@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAST, MEASURES, SPREADS
+from .quality_rules import BITS, MEASURES, PRIOR, SLACK, SPREADS
 
 _SPLIT = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -22,16 +22,16 @@ _SCALES = {"symbols": "n_symbols * 1000 / word_chars", "repeats": "n_repeat_word
 
 def _beyond() -> str:
     tests = []
-    for k, (_, above, below) in MEASURES.items():
-        tests.append(f"(measure = '{k}' AND value > q3 + greatest((q3 - q1) * {SPREADS}, {above}))")
-        if below is not None:
-            tests.append(f"(measure = '{k}' AND value < q1 - greatest((q3 - q1) * {SPREADS}, {below}))")
+    for k, below in MEASURES.items():
+        tests.append(f"(l.measure = '{k}' AND l.value > greatest(q50 + {SPREADS} * (q50 - q25), least(q90, a90)) + {SLACK[k]})")
+        if below:
+            tests.append(f"(l.measure = '{k}' AND l.value < least(q50 - {SPREADS} * (q75 - q50), greatest(q10, a10)) - {SLACK[k]})")
     return " OR ".join(tests)
 
 
-def _quartiles(by: str) -> str:
-    reached = lambda q: f"min(CASE WHEN up * 4 >= total * {q} THEN value END)"
-    return f"SELECT {by}, measure, max(total) AS total, {reached(1)} AS q1, {reached(3)} AS q3 FROM (SELECT {by}, measure, value, sum(n) OVER (PARTITION BY {by}, measure ORDER BY value) AS up, sum(n) OVER (PARTITION BY {by}, measure) AS total FROM (SELECT {by}, measure, value, count(*) AS n FROM long GROUP BY ALL)) GROUP BY ALL"
+def _quantiles(source: str, by: str) -> str:
+    reached = lambda q: f"min(CASE WHEN up * 100 >= total * {q} THEN value END) AS q{q}"
+    return f"SELECT {by}measure, {', '.join(map(reached, (10, 25, 50, 75, 90)))} FROM (SELECT {by}measure, value, sum(n) OVER (PARTITION BY {by}measure ORDER BY value) AS up, sum(n) OVER (PARTITION BY {by}measure) AS total FROM {source}) GROUP BY ALL"
 
 
 QUALITY_RULES = f"""
@@ -40,10 +40,15 @@ windows AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_trans
 again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) t(k) GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
-long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, least(floor({v}), {MEASURES[k][0]})::INT AS value FROM m WHERE n_words > 0" for k, v in _SCALES.items())}),
-own AS ({_quartiles("lang, source")}),
-wide AS ({_quartiles("lang")}),
-fences AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.total >= {LEAST} THEN own.q1 ELSE wide.q1 END AS q1, CASE WHEN own.total >= {LEAST} THEN own.q3 ELSE wide.q3 END AS q3 FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.measure = wide.measure),
-bad AS (SELECT DISTINCT doc_id FROM long l JOIN fences f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure WHERE {_beyond().replace("measure", "l.measure")})
+raw AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, word_chars, n_lines, '{k}' AS measure, floor({v})::BIGINT AS v FROM m WHERE n_words > 0" for k, v in _SCALES.items())}),
+long AS (SELECT *, (v >> greatest(length(bin(v)) - {BITS}, 0)::INT) << greatest(length(bin(v)) - {BITS}, 0)::INT AS value FROM raw),
+sketch AS (SELECT lang, source, measure, value, count(*)::HUGEINT AS n FROM long GROUP BY ALL),
+wide AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure) AS total FROM (SELECT lang, measure, value, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL)),
+mixed AS (SELECT lang, source, measure, value, sum(n) AS n FROM (
+  SELECT s.lang, s.source, s.measure, s.value, n * total AS n FROM sketch s JOIN (SELECT DISTINCT lang, measure, total FROM wide) w ON s.lang IS NOT DISTINCT FROM w.lang AND s.measure = w.measure
+  UNION ALL SELECT w.lang, g.source, w.measure, w.value, n * {PRIOR} FROM wide w JOIN (SELECT DISTINCT lang, source, measure FROM sketch) g ON g.lang IS NOT DISTINCT FROM w.lang AND g.measure = w.measure) GROUP BY ALL),
+own AS ({_quantiles("mixed", "lang, source, ")}),
+every AS (SELECT measure, q10 AS a10, q90 AS a90 FROM ({_quantiles("(SELECT measure, value, sum(n) AS n FROM sketch GROUP BY ALL)", "")})),
+bad AS (SELECT DISTINCT doc_id FROM long l JOIN own f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure JOIN every e ON e.measure = l.measure WHERE {_beyond()})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """

@@ -1,11 +1,15 @@
 """Quality rules with thresholds that adapt to each language and source, in DataFrame expressions only.
 
-Each text is measured; measures become whole numbers on bounded scales (thousandths, tenths of a character), so that a
-group's histogram over them is a quantile sketch of bounded size: its error is one step of the scale, sketches merge by
-adding counts, and the result doesn't depend on the order of merging. Sketches are kept per language and source and
-merged into one per language, which stands in where a source has fewer than LEAST texts. From a sketch come the quartiles and
-the fence beyond which a text is rejected: the upper quartile plus a multiple of the spread between the quartiles, but
-never closer than a stated margin, since most texts of a clean source share one value. Texts join their fences.
+Each text is measured; measures become whole numbers (thousandths, tenths of a character) of at most ten significant bits, so
+that a group's histogram over them is a quantile sketch of bounded size on an open scale: its relative error is 1/512, sketches
+merge by adding counts, and the result doesn't depend on the order of merging. Sketches are kept per language and source and
+merged into one per language and one of all texts. A group is judged by its own sketch with its language's mixed in, which weighs
+as much as PRIOR texts, whatever the sizes: one rule for all, in which a growing source outweighs its language.
+
+The upper fence lies SPREADS times the distance from the lower quartile to the median above the median, so junk among
+up to half of a source can't move it; where that is under the upper decile it is raised to it, but no further than the upper decile
+of all texts. The lower fence mirrors this. A text is rejected if it lies beyond a fence by more than a few single events
+(symbols, repeated windows, lines) or standard errors are worth in a text of its size. Texts join their fences.
 
 Cases: a null text has no words; texts without words fail the base rules and are no part of any sketch; null languages
 and sources are groups of their own; null or repeated ids and repeated rows each keep their row; an empty table gives
@@ -22,10 +26,14 @@ from .shared import WHITE, cut
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Texts that a source's own sketch needs; spreads between quartiles from quartile to fence.
-LEAST, SPREADS = 100, 4.0
-#: Measure: (largest value of its scale, margin above the upper quartile, margin below the lower one or none).
-MEASURES = {"symbols": (1000, 30, None), "repeats": (1000, 250, None), "lines": (1000, 500, None), "length": (1000, 40, 30)}
+#: Texts that a language's sketch weighs as in that of a source; distances from quartile to median from median to fence.
+PRIOR, SPREADS = 20, 9
+#: Measure: whether low values are rejected too.
+MEASURES = {"symbols": False, "repeats": False, "lines": False, "length": True}
+#: What a text may be beyond a fence: events times the unit of the scale over its size, for length standard errors of mean word length.
+SLACK = {"symbols": "floor(5000 / word_chars)", "repeats": "floor(48000 / n_words)", "lines": "floor(3000 / n_lines)", "length": "floor(90 / sqrt(n_words))"}
+#: Significant bits of a value.
+BITS = 10
 
 
 def words_of(text: Column) -> Column:
@@ -78,6 +86,12 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", F.when(F.col("again"), _covered(F.col("h8"))).otherwise(F.lit(0)).cast("long")).drop("h8", "again")
 
 
+def rounded(value: Column) -> Column:
+    """A whole number rounded down to BITS significant bits."""
+    shift = lambda v, k: F.call_function("shiftleft", F.call_function("shiftright", v, k), k)
+    return let(value, lambda v: let(F.greatest(F.length(F.bin(v)) - BITS, F.lit(0)), lambda k: shift(v, k)))
+
+
 def scales() -> dict[str, Column]:
     """The measures of a text on their scales, as whole numbers."""
     values = {
@@ -86,7 +100,7 @@ def scales() -> dict[str, Column]:
         "lines": F.col("n_dup_lines") * 1000 / F.col("n_lines"),
         "length": F.col("word_chars") * 10 / F.col("n_words"),
     }
-    return {k: F.least(F.floor(v), F.lit(MEASURES[k][0])).cast("int") for k, v in values.items()}
+    return {k: rounded(F.floor(v).cast("long")) for k, v in values.items()}
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -99,29 +113,39 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "measure", "value").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """by, measure, total, q1, q3: the values at which a quarter and three quarters of a group's texts are reached."""
+def mixed_in(sketch: DataFrame) -> DataFrame:
+    """lang, source, measure, value, n: each group's sketch with its language's, which counts as PRIOR texts. Counts are
+    multiplied by the language's total, so that they stay whole."""
+    wide = merged(sketch, "lang").withColumn("all", F.sum("n").over(Window.partitionBy("lang", "measure")))
+    groups = sketch.select("lang", "source", "measure").distinct().withColumnsRenamed({"lang": "l", "measure": "m"})
+    same = F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))
+    prior = wide.join(groups, same).select("lang", "source", "measure", "value", (F.col("n") * PRIOR).cast("decimal(38,0)").alias("n"))
+    total = wide.select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("all")).distinct()
+    own = sketch.join(total, same).select("lang", "source", "measure", "value", (F.col("n").cast("decimal(19,0)") * F.col("all").cast("decimal(19,0)")).cast("decimal(38,0)").alias("n"))
+    return merged(own.unionByName(prior), "lang", "source")
+
+
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, measure, q10, q25, q50, q75, q90: the values at which these shares of a group are reached."""
     group = Window.partitionBy(*by, "measure")
     up = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     out = sketch.select(*by, "measure", "value", up.alias("up"), F.sum("n").over(group).alias("total"))
-    reached = lambda q: F.min(F.when(F.col("up") * 4 >= F.col("total") * q, F.col("value")))
-    return out.groupBy(*by, "measure").agg(F.max("total").alias("total"), reached(1).alias("q1"), reached(3).alias("q3"))
+    reached = lambda q: F.min(F.when(F.col("up") * 100 >= F.col("total") * q, F.col("value"))).alias(f"q{q}")
+    return out.groupBy(*by, "measure").agg(*[reached(q) for q in (10, 25, 50, 75, 90)])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source and for each measure its lower and upper fence: one row for each group."""
-    own = quartiles(sketch, "lang", "source")
-    wide = quartiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("q1").alias("w1"), F.col("q3").alias("w3"))
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
-    enough = F.col("total") >= LEAST
-    q1, q3 = F.when(enough, F.col("q1")).otherwise(F.col("w1")), F.when(enough, F.col("q3")).otherwise(F.col("w3"))
-    both = both.select("lang", "source", "measure", q1.alias("q1"), q3.alias("q3"))
+    own = quantiles(mixed_in(sketch), "lang", "source")
+    every = quantiles(merged(sketch)).select(F.col("measure").alias("m"), F.col("q10").alias("a10"), F.col("q90").alias("a90"))  # a row for each measure
+    both = own.join(F.broadcast(every), F.col("measure") == F.col("m"))
+    high = F.greatest(F.col("q50") + SPREADS * (F.col("q50") - F.col("q25")), F.least("q90", "a90"))
+    low = F.least(F.col("q50") - SPREADS * (F.col("q75") - F.col("q50")), F.greatest("q10", "a10"))
     cases = []
-    for k, (_, above, below) in MEASURES.items():
-        spread, here = F.col("q3") - F.col("q1"), F.col("measure") == k
-        cases.append(F.max(F.when(here, F.col("q3") + F.greatest(spread * SPREADS, F.lit(float(above))))).alias(f"{k}_high"))
-        if below is not None:
-            cases.append(F.max(F.when(here, F.col("q1") - F.greatest(spread * SPREADS, F.lit(float(below))))).alias(f"{k}_low"))
+    for k, below in MEASURES.items():
+        cases.append(F.max(F.when(F.col("measure") == k, high)).alias(f"{k}_high"))
+        if below:
+            cases.append(F.max(F.when(F.col("measure") == k, low)).alias(f"{k}_low"))
     return both.groupBy("lang", "source").agg(*cases)
 
 
@@ -134,9 +158,10 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = fences(sketches(texts)).withColumnsRenamed({"lang": "l", "source": "s"})
     out = texts.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     beyond = F.lit(False)
-    for k, (_, _, below) in MEASURES.items():
-        beyond = beyond | F.coalesce(F.col(k) > F.col(f"{k}_high"), F.lit(False))
-        if below is not None:
-            beyond = beyond | F.coalesce(F.col(k) < F.col(f"{k}_low"), F.lit(False))
+    for k, below in MEASURES.items():
+        slack = F.expr(SLACK[k])
+        beyond = beyond | F.coalesce(F.col(k) > F.col(f"{k}_high") + slack, F.lit(False))
+        if below:
+            beyond = beyond | F.coalesce(F.col(k) < F.col(f"{k}_low") - slack, F.lit(False))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~beyond).alias("kept"), *MEASURES)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.when(F.col("n_words") > 0, beyond).otherwise(False)).alias("kept"), *MEASURES)
