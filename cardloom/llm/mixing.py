@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import WORD, cut, row_key
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
@@ -57,7 +57,7 @@ def positions(docs: DataFrame, buckets: int) -> DataFrame:
     sums = wide.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *[c for c in ("row",) if c in docs.columns]).rowsBetween(Window.unboundedPreceding, -1)
     wide = wide.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return wide.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("base") + F.col("ahead")).drop("s", "b", "base", "ahead", "bucket")
 
@@ -102,10 +102,14 @@ def shuffle_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, block: int = BLOCK) -> DataFrame:
-    """One row for each document: doc_id, size, source, source_size, target, start, taken."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, block: int = BLOCK, row: Column | None = None) -> DataFrame:
+    """One row for each document: doc_id, size, source, source_size, target, start, taken; with ``row`` also its value as row.
+
+    Sources are ranked in one task, so there may be some millions of them, not as many as documents.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    light = cut(docs.select("doc_id", "source", size.alias("size"), shuffle_key().alias("key")), "mix-sizes")
+    more = [] if row is None else [row.alias("row")]
+    light = cut(docs.select("doc_id", "source", size.alias("size"), shuffle_key().alias("key"), *more), "mix-sizes")
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sizes = cut(sizes, "mix-sources")
     n = sizes.agg(F.sum("docs")).first()[0] or 0
@@ -123,13 +127,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0, block: int
     out = placed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").drop("s", "at")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = out.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source", "source_size", "target", "start", "key", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "start", *([] if row is None else ["row"]), F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0) -> DataFrame:
-    """docs as rows of the mix: each document as often as it is taken, to the nearest whole number."""
-    mixed = mix(docs, weights, cap).where("taken > 0").select("key", F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    # equal documents share a key: one of them stands for all
-    times = cut(mixed.groupBy(F.col("key").alias("__key")).agg(F.sum("__times").cast("int").alias("__times")).where("__times > 0"), "mix-times")
-    out = docs.withColumn("__key", shuffle_key()).dropDuplicates(["__key"]).join(times, "__key")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """docs as rows of the mix: each document as often as it is taken, to the nearest whole number.
+
+    Rows are told apart by all of their columns. Rows that are equal in all of them are taken together, so what one of them is
+    short of a whole number another may make up.
+    """
+    mixed = mix(docs, weights, cap, row=row_key(docs)).where("taken > 0").groupBy("row").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    times = cut(mixed.select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0"), "mix-times")
+    rows = docs.select(row_key(docs).alias("row"), F.struct(*docs.columns).alias("doc")).join(times, "row").dropDuplicates(["row"])
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
