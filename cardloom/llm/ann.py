@@ -12,7 +12,8 @@ candidates, are run over all lists, so a query gets fewer than k only where ther
 
 Cases: vectors that are null, empty, zero, of another length than the first usual one, or hold null or non-finite
 components take no part, neither as candidate nor as query; null ids take no part; rows with one id are one candidate
-each, and a query leaves out all rows with its own id; equal scores go to the smaller id; with few rows each query
+each, and as queries each has a list of its own; a query leaves out all rows with its own id; finite vectors of any length are
+found, though products of huge ones may be infinite; equal scores go to the smaller id; with few rows each query
 gets all of them; an empty table gives an empty result; other columns of the input, whatever their names, aren't read.
 """
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .shared import cut
 
 #: Vectors of the sample; rows of a list, of a chunk, and queries of a block; lists at most.
@@ -45,6 +47,7 @@ class Plan:
     centroids: np.ndarray
     longest: float
     probes: int
+    scale: float = 1.0  # what vectors are divided by, so that their squares can't overflow
 
 
 def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
@@ -92,7 +95,8 @@ def _list_of(batches: Iterator[pa.RecordBatch], plan: Plan, dims: int, lists: in
     for b in batches:
         if not b.num_rows:
             continue
-        x = np.asarray(b.column(1).flatten(), float).reshape(-1, dims)
+        names = [c for c in ("asked",) if c in b.schema.names]
+        x = np.asarray(b.column(1).flatten(), float).reshape(-1, dims) / plan.scale
         turned = (np.c_[x, np.zeros(len(x))] if query else lengthened(x, plan.longest)) @ plan.rotation
         near: list[np.ndarray] = []
         for i in range(0, len(turned), 1024):
@@ -102,7 +106,7 @@ def _list_of(batches: Iterator[pa.RecordBatch], plan: Plan, dims: int, lists: in
             else:
                 most = np.maximum(lists, (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1)
                 near += [row[:m] for row, m in zip(order, most.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[b.column(c) for c in names], pa.array(near, pa.list_(pa.int32()))], names=["vec_id", "embedding", *names, "lists"])
 
 
 def _stacked(col: pd.Series) -> np.ndarray:
@@ -114,7 +118,7 @@ def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, plan: Plan) -> l
 
     While many candidates of a block of queries are left, columns are read for all of them at once; else for those left.
     """
-    turned_x, turned_q = lengthened(x, plan.longest) @ plan.rotation, np.c_[q, np.zeros(len(q))] @ plan.rotation
+    turned_x, turned_q = lengthened(x / plan.scale, plan.longest) @ plan.rotation, np.c_[q / plan.scale, np.zeros(len(q))] @ plan.rotation
     dims, least = turned_x.shape[1], min(k, len(x)) - 1
     apart, alive, far = np.zeros((len(q), len(x))), ~own, np.full((len(q), 1), np.inf)
     stay = np.zeros_like(alive)
@@ -160,14 +164,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, sample: int
         return empty
     dims = usual["d"]
     rows, asked = rows.where(F.size("embedding") == dims), asked.where(F.size("embedding") == dims)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c)
-    n, most = rows.agg(F.count("*"), F.max(norm)).first()
+    # each query row stands for itself, whatever its id
+    asked = cut(asked.withColumn("asked", F.monotonically_increasing_id()), "ann-queries")
+    largest = F.array_max(F.transform("embedding", lambda c: F.abs(c)))
+    norm = let(largest, lambda m: m * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + (c / m) * (c / m))))
+    n, most = rows.agg(F.count("*"), F.max(F.least(norm, F.lit(1.7e308)))).first()
     # the sample: rows whose hash falls under a share that gives about half of what may come, then that bound
     share = min(1.0, 0.9 * sample / n)
     some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample).select("vec_id", "embedding").toPandas().sort_values("vec_id", kind="stable")
     if not len(some):
         some = rows.orderBy("vec_id").limit(1).toPandas()
-    plan = planned(_stacked(some["embedding"]), float(np.sqrt(most)), n, k)
+    plan = planned(_stacked(some["embedding"]) / most, 1.0, n, k)
+    plan.scale = float(most)
     held = vectors.sparkSession.sparkContext.broadcast(plan)
     schema = "vec_id long, embedding array<double>, lists array<int>"
     listed = rows.mapInArrow(lambda b: _list_of(b, held.value, dims, 1, False), schema)
@@ -179,35 +187,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, sample: int
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, asks, vx, vq, parts = x["vec_id"].to_numpy(), q["vec_id"].to_numpy(), _stacked(x["embedding"]), _stacked(q["embedding"]), []
+            return pd.DataFrame({"asked": [], "query_id": [], "vec_id": [], "score": []}).astype({"asked": "int64", "query_id": "int64", "vec_id": "int64"})
+        ids, asks, rows_asked, vx, vq, parts = x["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["asked"].to_numpy(), _stacked(x["embedding"]), _stacked(q["embedding"]), []
         for i in range(0, len(asks), 256):
             a = asks[i : i + 256]
-            for one, (places, scores) in zip(a, scan(vq[i : i + 256], vx, a[:, None] == ids, k, held.value), strict=True):
+            for row, one, (places, scores) in zip(rows_asked[i : i + 256], a, scan(vq[i : i + 256], vx, a[:, None] == ids, k, held.value), strict=True):
                 order = np.lexsort((ids[places], -scores))[:k]
-                parts.append((np.full(len(order), one), ids[places][order], scores[order]))
-        return pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("query_id", "vec_id", "score"))})
+                parts.append((np.full(len(order), row), np.full(len(order), one), ids[places][order], scores[order]))
+        return pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("asked", "query_id", "vec_id", "score"))})
 
     def found(asked: DataFrame, lists: int, name: str) -> DataFrame:
         """The k nearest rows to each query of those in its nearest lists, written."""
-        probing = asked.mapInArrow(lambda b: _list_of(b, held.value, dims, lists, True, held_by, ENOUGH * k), schema)
-        probing = cut(probing.select("vec_id", "embedding", F.explode("lists").alias("list")), f"ann-probes{name}")
+        probing = asked.mapInArrow(lambda b: _list_of(b, held.value, dims, lists, True, held_by, ENOUGH * k), "vec_id long, embedding array<double>, asked long, lists array<int>")
+        probing = cut(probing.select("vec_id", "embedding", "asked", F.explode("lists").alias("list")), f"ann-probes{name}")
         blocks = probing.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
         grid = F.broadcast(cut(sizes.join(blocks, "list"), f"ann-grid{name}"))  # a row for each list: MOST_LISTS at most
         left = listed.join(grid, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        right = probing.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        pairs = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), f"ann-found{name}")
+        right = probing.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("asked", F.lit(1)), "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        pairs = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding", "asked").groupBy(*key)).applyInPandas(compare, "asked long, query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
+        return cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("asked", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), f"ann-found{name}")
 
     out = found(asked, plan.probes, "")
     # queries with fewer rows than there are candidates
-    ids = asked.select("vec_id").distinct()
-    own = rows.join(ids, "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
-    got = out.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got"))
-    few = ids.join(own, "vec_id", "left").join(got, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), n - F.coalesce("own", F.lit(0))))
-    few = cut(few.select("vec_id"), "ann-few")
+    ids = asked.select("asked", "vec_id")
+    own = rows.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    got = out.groupBy("asked").agg(F.count("*").alias("got"))
+    few = ids.join(own, "vec_id", "left").join(got, "asked", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), n - F.coalesce("own", F.lit(0))))
+    few = cut(few.select("asked"), "ann-few")
     if few.isEmpty():
-        return out
-    again = found(asked.join(few, "vec_id", "left_semi"), len(plan.centroids), "-again")
-    return out.join(few.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").select(again.columns).unionByName(again)
+        return out.drop("asked")
+    again = found(asked.join(few, "asked", "left_semi").select("vec_id", "embedding", "asked"), len(plan.centroids), "-again")
+    return out.join(few, "asked", "left_anti").unionByName(again).drop("asked")
