@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from cardloom.llm import ann, html_extract, mixing, near_dedup
 from pyspark.sql import functions as F
@@ -174,6 +175,26 @@ def test_mix_meets_its_targets(spark):
         assert abs(sum(r["taken"] for r in mine) - want[s]) <= 1
     again = mixing.mix(df.repartition(5), block=64).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    # what each document gives, by walking its source's blocks pass after pass
+    for s in sizes:
+        left, mine, size = round(want[s]), [r for r in got if r["source"] == s and r["size"]], sizes[s]
+        assert sorted(r["start"] for r in mine) == [sum(q["size"] for q in mine if q["start"] < r["start"]) for r in sorted(mine, key=lambda r: r["start"])]
+        for r in mine:
+            at = range(r["start"], r["start"] + r["size"])
+            assert abs(r["taken"] - sum(left // size + (x < left % size) for x in at)) <= 1
+
+
+def test_equal_rows_and_clashing_ids_are_repeated_by_themselves(spark):
+    rows = [(1, "a b c", "en", "x", 5), (1, "a b c", "en", "y", 5), (1, "a b c", "en", "y", 5), (None, "a b c", "en", "x", 5), (None, "a b c", "en", "y", 5), (2, None, "en", "x", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    taken = {}
+    for r in mixing.mix(df, row=F.struct("doc_id", "source")).collect():
+        key = (r["row"]["doc_id"], r["source"])
+        taken[key] = taken.get(key, 0) + r["taken"]
+    got = {}
+    for r in mixing.repeated(df).collect():
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + 1
+    assert got == {k: round(v / 3) for k, v in taken.items() if round(v / 3)}
 
 
 def test_schedule_keeps_the_shares_all_along(spark):
@@ -246,6 +267,43 @@ def test_every_query_gets_all_its_rows(spark, monkeypatch, enough):
     assert {r["query_id"]: r["count"] for r in got} == {q: 20 for q in range(0, 2000, 50)}
 
 
+def test_queries_that_share_an_id_have_lists_of_their_own(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, x[0].tolist()), (0, (-x[0]).tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, asked, k=4).collect()
+    want = {(r, int(v)) for q in (x[0], -x[0]) for r, v in enumerate(sorted(range(1, 60), key=lambda i, q=q: -(x[i] @ q))[:4], 1)}
+    assert len(got) == 8 and {(r["rank"], r["vec_id"]) for r in got} == want
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(13)
+    for size in (1e200, 1e-200):
+        x = rng.normal(size=(50, 6)) * size
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, df.where("vec_id = 0"), k=3).collect()
+        assert len(got) == 3
+    y = rng.normal(size=(50, 6)) * 1e160
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>").where("vec_id > 0")
+    q = spark.createDataFrame([(0, (y[0] / 1e160).tolist())], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(df, q, k=3).orderBy("rank").collect()] == sorted(range(1, 50), key=lambda i: -(y[i] / 1e160) @ (y[0] / 1e160))[:3]
+
+
+def test_recall_with_many_lists(spark):
+    # 50,000 rows around 300 centers, in a dozen lists
+    rng = np.random.default_rng(14)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 50_000)] + 0.5 * rng.normal(size=(50_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(8)
+    got = ann.nearest(df, df.where("vec_id % 500 = 0"), k=20).toPandas()
+    hits, y = 0, x.astype(float)
+    for q in range(0, 50_000, 500):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(set(got.vec_id[got.query_id == q]) & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == 2000 and hits >= 0.95 * 2000
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0]), (8, [0.5, 0.0]), (9, [0.5, 0.0]), (20, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit("x"))

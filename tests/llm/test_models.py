@@ -50,12 +50,62 @@ def test_block_max_gives_the_exact_neighbours():
         t = np.sort(rng.choice(60, rng.integers(1, 9), replace=False))
         w = rng.random(len(t))
         rows.append((t, w / np.sqrt(w @ w)))
-    index = toxicity.BlockMaxIndex(rows, rng.integers(0, 2, 700), np.arange(700), 60)
-    for t, w in rows[:80]:
-        places, scores = index.nearest(t, w, 15)
-        every = w @ index.weights[t]
-        want = [p for p in np.lexsort((np.arange(len(every)), -every)) if every[p] > 0][:15]
-        assert places.tolist() == want and np.allclose(scores, every[want])
+    labels = rng.integers(0, 2, 700)
+    index = toxicity.BlockMaxIndex(rows, labels, np.arange(700), 60)
+    dense = np.zeros((700, 60))
+    for place, i in enumerate(index.order.tolist()):
+        dense[place, rows[i][0]] = rows[i][1]
+    assert index.labels.tolist() == labels[index.order].tolist()
+    for leave in (None, 33):
+        for t, w in rows[:80]:
+            places, scores = index.nearest(t, w, 15, leave)
+            every = dense[:, t] @ w
+            every[[] if leave is None else [leave]] = 0
+            want = sorted((-round(x, 12), p) for p, x in enumerate(every) if x > 0)[:15]
+            assert np.allclose(scores, [-x for x, _ in want]) and np.allclose(every[places], scores) and len(set(places.tolist())) == len(places)
+
+
+def test_all_terms_of_the_examples_are_indexed(labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    words = {t for r in docs.collect() for w in toxicity.words_of(r["text"]) for t in toxicity.terms_of(w)}
+    assert set(model.vectors.vocabulary) == words and (model.vectors.weight[[model.vectors.vocabulary[x] for x in ("vile", "rotten", "nasty")]] > np.median(model.vectors.weight)).all()
+    n, df = toxicity.document_counts(docs, model.vectors)
+    assert n == 400 and df[model.vectors.vocabulary["vile"]] == sum("vile" in r["text"].split() for r in docs.collect())
+
+
+def test_the_same_model_whatever_the_order_of_rows(spark, labelled):
+    docs, labels = labelled
+    # copies with other ids and clashing labels
+    more = docs.unionByName(docs.where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 1000))
+    marks = labels.unionByName(labels.where("doc_id < 60").select((F.col("doc_id") + 1000).alias("doc_id"), (1 - F.col("quality")).cast("int").alias("quality"), (1 - F.col("toxic")).cast("int").alias("toxic")))
+    for run in (toxicity.toxicity, quality_crf.quality):
+        a, b = ({r["doc_id"]: r["score"] for r in run(d, m).collect()} for d, m in ((more, marks), (more.repartition(7).orderBy(F.desc("doc_id")), marks.orderBy(F.desc("doc_id")))))
+        assert a == b
+
+
+def test_marginals_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(12)
+    lengths = np.asarray([9, 5, 5, 2, 1, 1])
+    odds, moves = rng.normal(size=int(lengths.sum())) * 3, rng.normal(size=(2, 2))
+    got, pairs = quality_crf.marginals(odds, lengths, moves)
+    each = [quality_crf.forward_backward(o, moves) for o in np.split(odds, np.cumsum(lengths)[:-1])]
+    assert np.allclose(got, np.concatenate([e[0] for e in each])) and np.allclose(pairs, sum(e[1] for e in each))
+
+
+def test_document_scores_are_those_of_the_plain_sum(spark, labelled):
+    docs, labels = labelled
+    field = quality_crf.fit(docs, labels.where(quality_crf.fold(F.col("doc_id"), 3) != 1))
+    got = {r["doc_id"]: r["score"] for r in quality_crf.quality(docs, labels).collect()}
+    for r in docs.limit(20).collect():
+        x, n = quality_crf.features(r["text"])
+        total, good = 0.0, np.zeros(len(n))
+        for code in range(2 ** len(n)):  # all labellings of its lines
+            y = [code >> i & 1 for i in range(len(n))]
+            w = np.exp(sum(o for o, v in zip(x @ field.weights, y, strict=True) if v) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total, good = total + w, good + w * np.asarray(y)
+        mean = (good / total) @ n / n.sum()
+        assert abs(got[r["doc_id"]] - quality_crf.calibrated(field.map_to, np.asarray([mean]))[0]) < 1e-6
 
 
 def test_evidence_names_examples(labelled):

@@ -115,6 +115,43 @@ def test_rules_adapt_to_a_source(spark):
     assert all(kept[i] for i, *_ in clean) and all(kept[i] for i, *_ in tables) and not kept[5000]
 
 
+def texts_of(rate, n, first, source, words=60):
+    return [(first + i, " ".join(f"word{i}x{k}" + "#" * (k < rate) for k in range(words)), "en", source, 0) for i in range(n)]
+
+
+def judged(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return {r["doc_id"]: r["kept"] for r in quality_rules.judged(df).collect()}
+
+
+def test_a_source_that_is_a_third_junk_loses_it(spark):
+    rows = [*texts_of(0, 140, 0, "mixed"), *texts_of(55, 70, 1000, "mixed"), *texts_of(0, 1000, 2000, "clean"), *texts_of(20, 60, 9000, "tables")]
+    kept = judged(spark, rows)
+    assert not any(kept[i] for i in range(1000, 1070)) and all(v for i, v in kept.items() if not 1000 <= i < 1070)
+
+
+def test_fences_where_quartiles_coincide(spark):
+    # all but a few texts have no symbol at all: one or two symbols are no reason to go, many are
+    kept = judged(spark, [*texts_of(0, 200, 0, "a"), *texts_of(2, 2, 500, "a"), *texts_of(12, 3, 600, "a")])
+    assert all(v for i, v in kept.items() if i < 600) and not any(kept[i] for i in (600, 601, 602))
+
+
+def test_no_switch_at_a_size(spark):
+    df = lambda n: quality_rules.measured(spark.createDataFrame([*texts_of(8, n, 0, "small"), *texts_of(0, 400, 5000, "large")], "doc_id long, text string, lang string, source string, n_chars long"))
+    highs = []
+    for n in (1, 80, 99, 100, 101, 200):
+        texts = df(n)
+        for k, v in quality_rules.scales().items():
+            texts = texts.withColumn(k, v)
+        highs.append(quality_rules.fences(quality_rules.sketches(texts)).where("source = 'small'").first()["symbols_high"])
+    assert highs[2] == highs[3] == highs[4] == highs[5] == 14 and highs[0] == 0
+
+
+def test_values_keep_ten_bits(spark):
+    got = spark.range(5000).select("id", quality_rules.rounded(F.col("id")).alias("v")).collect()
+    assert all(r["v"] <= r["id"] <= r["v"] * (1 + 1 / 512) for r in got) and all(r["v"] == r["id"] for r in got[:1024])
+
+
 def test_rules_of_no_rows(no_docs):
     assert quality_rules.judged(no_docs).count() == 0
 
