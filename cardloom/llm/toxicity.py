@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -48,18 +49,25 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STEMS if len(word) >= n)]
 
 
+def names_of(word: str) -> list[int]:
+    """The word's terms by their 63-bit hashes, which is how they are known from here on."""
+    return [xxhash.xxh3_64_intdigest(t) >> 1 for t in terms_of(word)]
+
+
 class Vectors:
-    """Texts as unit vectors over the terms of the examples."""
+    """Texts as unit vectors over the terms of the examples: names, sorted, and the weight of each."""
 
-    def __init__(self, vocabulary: dict[str, int], weight: np.ndarray):
-        self.vocabulary, self.weight, self._known = vocabulary, weight, {}
+    def __init__(self, names: np.ndarray, weight: np.ndarray):
+        self.names, self.weight, self._known = names, weight, {}
 
     def terms(self, word: str) -> list[int]:
         ts = self._known.get(word)
         if ts is None:
-            if len(self._known) > 200_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
-            ts = self._known[word] = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
+            names = np.asarray(names_of(word), np.int64)
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            ts = self._known[word] = at[self.names[at] == names].tolist()
         return ts
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +228,10 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for text, label in zip(b["text"], b["label"], strict=True):
-            counts[label].update({t for w in words_of(text) for t in terms_of(w)})
-    terms = list(counts[0].keys() | counts[1].keys())
+            counts[label].update({t for w in words_of(text) for t in names_of(w)})
+    terms = np.fromiter(counts[0].keys() | counts[1].keys(), np.int64)
     for i in range(0, len(terms), 10_000):
-        part = terms[i : i + 10_000]
+        part = terms[i : i + 10_000].tolist()
         yield pd.DataFrame({"term": part, "zeros": [counts[0][t] for t in part], "ones": [counts[1][t] for t in part]})
 
 
@@ -241,11 +249,10 @@ def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, out[some]])], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row for each term
-    out = np.zeros(len(vectors.weight), np.int64)
-    terms = found["term"].to_numpy()
-    out[terms[terms >= 0]] = found["n"].to_numpy()[terms >= 0]
-    return int(found["n"][terms < 0].sum()), out
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    terms, n, out = found["term"].to_numpy(), found["n"].to_numpy(), np.zeros(len(vectors.weight), np.int64)
+    out[terms[terms >= 0]] = n[terms >= 0]
+    return int(n[terms < 0].sum()), out
 
 
 def relevance(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -263,42 +270,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     rate = have.get(1, 0) / max(1, have.get(0, 0) + have.get(1, 0))
     if not ones or not zeros:
         return Model(None, None, None, float(rate))
-    counted = texts.mapInPandas(_count_terms, "term string, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    counted = counted.toPandas().sort_values("term", kind="stable")  # the terms of the examples
+    counted = texts.mapInPandas(_count_terms, "term long, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    counted = counted.toArrow().sort_by("term")  # the terms of the examples
     if not len(counted):
         return Model(None, None, None, float(rate))
     share = {0: have[0] / zeros, 1: have[1] / ones}  # an example stands for so many
-    vectors = Vectors({t: i for i, t in enumerate(counted["term"])}, relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
+    vectors = Vectors(counted["term"].to_numpy(), relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
     n, df = document_counts(docs, vectors)
-    vectors = Vectors(vectors.vocabulary, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
+    vectors = Vectors(vectors.names, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def to_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [held.value.of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "terms": [t.tobytes() for t, _ in got], "weights": [w.tobytes() for _, w in got]})
+            yield pd.DataFrame({"name": b["name"], "doc_id": b["doc_id"], "label": b["label"], "terms": [t.astype(np.int32).tobytes() for t, _ in got], "weights": [w.tobytes() for _, w in got]})
 
-    rows = cut(texts.mapInPandas(to_vectors, "doc_id long, label int, terms binary, weights binary"), "toxic-vectors")
-    full = rows.where(F.length("terms") > 0).orderBy("doc_id", "terms", "weights").toPandas()
+    rows = cut(texts.withColumn("name", F.md5("text")).mapInPandas(to_vectors, "name string, doc_id long, label int, terms binary, weights binary"), "toxic-vectors")
+    full = rows.where(F.length("terms") > 0).toArrow().sort_by("name")
     if not len(full):
         return Model(None, None, None, float(rate))
-    unpacked = [(np.frombuffer(t, np.int64), np.frombuffer(w)) for t, w in zip(full["terms"], full["weights"], strict=True)]
+    unpacked = [(np.frombuffer(t.as_py(), np.int32), np.frombuffer(w.as_py())) for t, w in zip(full["terms"], full["weights"], strict=True)]
     index = BlockMaxIndex(unpacked, full["label"].to_numpy(), full["doc_id"].to_numpy(), len(vectors.weight))
-    places = np.empty(len(full), np.int64)
-    places[index.order] = np.arange(len(full))
-    tried = docs.sparkSession.sparkContext.broadcast(index)
+    names = full["name"].to_pylist()
+    places = {names[i]: place for place, i in enumerate(index.order.tolist())}
+    del full, unpacked
+    tried = docs.sparkSession.sparkContext.broadcast((index, places))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, places = tried.value
         for b in batches:
-            got = [vote(tried.value, *tried.value.nearest(np.frombuffer(t, np.int64), np.frombuffer(w), NEIGHBOURS, int(at))) for t, w, at in zip(b["terms"], b["weights"], b["place"], strict=True)]
-            yield pd.DataFrame({"place": b["place"], "share": [g[0] for g in got], "mass": [g[1] for g in got]})
+            at = [places[x] for x in b["name"]]
+            got = [vote(index, *index.nearest(np.frombuffer(t, np.int32), np.frombuffer(w), NEIGHBOURS, p)) for t, w, p in zip(b["terms"], b["weights"], at, strict=True)]
+            yield pd.DataFrame({"place": at, "share": [g[0] for g in got], "mass": [g[1] for g in got]})
 
     # each example voted on without itself, in tasks; those without terms have the empty vote
-    own = docs.sparkSession.createDataFrame(pd.DataFrame({"terms": full["terms"], "weights": full["weights"], "place": places}), "terms binary, weights binary, place long")
-    got = own.repartition(32).mapInPandas(votes, "place long, share double, mass double").toPandas().sort_values("place")
-    bare = rows.where(F.length("terms") == 0).groupBy("label").count().toPandas()
-    y = np.r_[index.labels, *(np.full(c, float(v)) for v, c in zip(bare["label"], bare["count"], strict=True))]
-    x = [*zip(got["share"], got["mass"], strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
+    got = rows.where(F.length("terms") > 0).repartition(32, "name").mapInPandas(votes, "place long, share double, mass double").toArrow().sort_by("place")
+    bare = {r["label"]: r["count"] for r in rows.where(F.length("terms") == 0).groupBy("label").count().collect()}
+    y = np.r_[index.labels, *(np.full(bare.get(c, 0), float(c)) for c in (0, 1))]
+    x = [*zip(got["share"].to_numpy(), got["mass"].to_numpy(), strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
     return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate))
 
 

@@ -68,10 +68,12 @@ def test_block_max_gives_the_exact_neighbours():
 def test_all_terms_of_the_examples_are_indexed(labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels)
-    words = {t for r in docs.collect() for w in toxicity.words_of(r["text"]) for t in toxicity.terms_of(w)}
-    assert set(model.vectors.vocabulary) == words and (model.vectors.weight[[model.vectors.vocabulary[x] for x in ("vile", "rotten", "nasty")]] > np.median(model.vectors.weight)).all()
+    words = {t for r in docs.collect() for w in toxicity.words_of(r["text"]) for t in toxicity.names_of(w)}
+    assert set(model.vectors.names.tolist()) == words and len(model.vectors.weight) == len(words)
+    at = [model.vectors.terms(x)[0] for x in ("vile", "rotten", "nasty")]
+    assert (model.vectors.weight[at] > np.median(model.vectors.weight)).all()
     n, df = toxicity.document_counts(docs, model.vectors)
-    assert n == 400 and df[model.vectors.vocabulary["vile"]] == sum("vile" in r["text"].split() for r in docs.collect())
+    assert n == 400 and df[at[0]] == sum("vile" in r["text"].split() for r in docs.collect())
 
 
 def test_the_same_model_whatever_the_order_of_rows(spark, labelled):
