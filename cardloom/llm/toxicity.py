@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,10 @@ from .shared import cut, fold
 
 #: Examples of each class, neighbours that vote, examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
-#: Lengths of word beginnings that are terms, beside whole words; z at which a term's relevance is one half.
-STEMS, HALF_Z = (4, 5, 6, 7), 6.0
+#: Lengths of word beginnings that are terms, beside whole words (5 alone finds as many toxic texts as 4 to 7); z at which a term's relevance is one half.
+STEMS, HALF_Z = (5,), 6.0
+#: Words whose terms a task remembers.
+REMEMBERED = 200_000
 
 _WORDS = re.compile(r"\w+")
 
@@ -58,38 +61,41 @@ class Vectors:
     """Texts as unit vectors over the terms of the examples: names, sorted, and the weight of each."""
 
     def __init__(self, names: np.ndarray, weight: np.ndarray):
-        self.names, self.weight, self._known = names, weight, {}
-
-    def terms(self, word: str) -> list[int]:
-        ts = self._known.get(word)
-        if ts is None:
-            if len(self._known) > 100_000:
-                self._known.clear()
-            names = np.asarray(names_of(word), np.int64)
-            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-            ts = self._known[word] = at[self.names[at] == names].tolist()
-        return ts
+        self.names, self.weight, self._known = names, weight.astype(np.float32), {}
+
+    def terms(self, words: list[str]) -> list[list[int]]:
+        """The known terms of each word; the first REMEMBERED words that a task meets, the common ones, are looked up once."""
+        known = self._known
+        if fresh := [w for w in words if w not in known]:
+            names = [names_of(w) for w in fresh]
+            flat = np.fromiter(chain.from_iterable(names), np.int64)
+            at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
+            at = iter(np.where(self.names[at] == flat, at, -1).tolist())
+            found = {w: [t for t in islice(at, len(ns)) if t >= 0] for w, ns in zip(fresh, names, strict=True)}
+            if len(known) >= REMEMBERED:
+                return [known[w] if w in known else found[w] for w in words]
+            known.update(found)
+        return [known[w] for w in words]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and how often it has each."""
-        ids, times = [], []
-        for w, n in words_of(text).items():
-            ts = self.terms(w)
-            ids += ts
-            times += [n] * len(ts)
-        terms, at = np.unique(np.asarray(ids, np.int64), return_inverse=True)
-        return terms, np.bincount(at, times, len(terms)) if len(ids) else np.zeros(0)
+        words = words_of(text)
+        terms = self.terms(list(words))
+        ids = np.fromiter(chain.from_iterable(terms), np.int64)
+        terms, at = np.unique(ids, return_inverse=True), np.repeat(np.fromiter(words.values(), np.int64), list(map(len, terms)))
+        return terms[0], np.bincount(terms[1], at, len(terms[0]))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; none if it has no term with a weight."""
         terms, times = self.counts(text)
-        weights = (1 + np.log(times)) * self.weight[terms]
+        weights = (1 + np.log(np.maximum(times, 1))) * self.weight[terms]
         terms, weights = terms[weights > 0], weights[weights > 0]
         return terms, weights / np.sqrt(weights @ weights) if len(weights) else weights
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers from each start to before its end, one after the other."""
+    starts, ends = starts.astype(np.int64), ends.astype(np.int64)
     n = ends - starts
     out = np.ones(int(n.sum()), np.int64)
     some = n > 0
@@ -109,22 +115,22 @@ class BlockMaxIndex:
         self.order = np.asarray(sorted(range(len(rows)), key=lambda i: (lead[i][0], -lead[i][1], int(ids[i]), i)), np.int64)
         self.labels, self.ids, self.blocks = labels[self.order].astype(float), ids[self.order], -(-max(1, len(rows)) // BLOCK)
         term = np.concatenate([rows[i][0] for i in self.order]).astype(np.int32)
-        place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(rows[i][0]) for i in self.order])
+        place = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) < 1 << 16 else np.int32), [len(rows[i][0]) for i in self.order])
         by_term = np.argsort(term, kind="stable")  # places stay in order
-        term, self.place, self.weight = term[by_term], place[by_term], np.concatenate([rows[i][1] for i in self.order])[by_term]
+        term, self.place, self.weight = term[by_term], place[by_term], np.concatenate([rows[i][1] for i in self.order]).astype(np.float32)[by_term]
         block = self.place // BLOCK
         at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
         #: Of each term its blocks; of each of these its postings, number and largest weight; each term's largest weight.
-        self.lists = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int64)
-        self.postings, self.block, self.most = np.r_[at, len(term)].astype(np.int64), block[at], np.maximum.reduceat(self.weight, at)
-        self.top = np.zeros(terms)
+        self.lists = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
+        self.postings, self.block, self.most = np.r_[at, len(term)].astype(np.int32), block[at], np.maximum.reduceat(self.weight, at)
+        self.top = np.zeros(terms, np.float32)
         np.maximum.at(self.top, term[at], self.most)
         #: Lists that hold a quarter of the examples or more are kept as rows of weights too.
         sizes = self.postings[self.lists[1:]] - self.postings[self.lists[:-1]]
         full = np.flatnonzero(4 * sizes >= len(rows))
-        self.row = np.full(terms, -1)
+        self.row = np.full(terms, -1, np.int32)
         self.row[full] = np.arange(len(full))
-        self.full = np.zeros((len(full), len(rows)))
+        self.full = np.zeros((len(full), len(rows)), np.float32)
         for r, t in enumerate(full.tolist()):
             own = slice(self.postings[self.lists[t]], self.postings[self.lists[t + 1]])
             self.full[r, self.place[own]] = self.weight[own]
@@ -245,11 +251,12 @@ def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]
         for b in batches:
             n += b.num_rows
             for text in b.column(0):
-                out[np.unique(np.asarray([t for w in set(_WORDS.findall((text.as_py() or "").lower())) for t in v.terms(w)], np.int64))] += 1
+                out[np.fromiter({t for ts in v.terms(list(set(_WORDS.findall((text.as_py() or "").lower())))) for t in ts}, np.int64)] += 1
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, out[some]])], names=["term", "n"])
 
     found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    held.destroy()
     terms, n, out = found["term"].to_numpy(), found["n"].to_numpy(), np.zeros(len(vectors.weight), np.int64)
     out[terms[terms >= 0]] = n[terms >= 0]
     return int(n[terms < 0].sum()), out
@@ -286,6 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
             yield pd.DataFrame({"name": b["name"], "doc_id": b["doc_id"], "label": b["label"], "terms": [t.astype(np.int32).tobytes() for t, _ in got], "weights": [w.tobytes() for _, w in got]})
 
     rows = cut(texts.withColumn("name", F.md5("text")).mapInPandas(to_vectors, "name string, doc_id long, label int, terms binary, weights binary"), "toxic-vectors")
+    held.destroy()
     full = rows.where(F.length("terms") > 0).toArrow().sort_by("name")
     if not len(full):
         return Model(None, None, None, float(rate))
@@ -305,6 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
 
     # each example voted on without itself, in tasks; those without terms have the empty vote
     got = rows.where(F.length("terms") > 0).repartition(32, "name").mapInPandas(votes, "place long, share double, mass double").toArrow().sort_by("place")
+    tried.destroy()
     bare = {r["label"]: r["count"] for r in rows.where(F.length("terms") == 0).groupBy("label").count().collect()}
     y = np.r_[index.labels, *(np.full(bare.get(c, 0), float(c)) for c in (0, 1))]
     x = [*zip(got["share"].to_numpy(), got["mass"].to_numpy(), strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
