@@ -156,7 +156,7 @@ class BlockMaxIndex:
         least = np.partition(scores, n - k)[n - k] if n > k else 0.0
         found = np.flatnonzero((scores > 0) & (scores >= least))
         found = found[np.lexsort((found, -scores[found]))[:k]]
-        return found, scores[found]
+        return found, np.minimum(scores[found], 1.0)
 
     def _added(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
         """scores with what these terms add, for lists only in ``blocks`` if these are given."""
