@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PHONE = r"\(?[0-9]{3}\)?[ ./-]{1,2}[0-9]{3}[ ./-][0-9]{4}"
+#: Three, three and four digits; what stands between them may be missing (fixed value).
+PHONE = r"\(?[0-9]{3}\)?\s*[-./]?\s*[0-9]{3}\s*[-./]?\s*[0-9]{4}"
 
 
 def _found(c: Column, pattern: str, group: int = 0) -> Column:
@@ -27,12 +28,10 @@ def pages(total: Column, size: int, least: int = 1) -> Column:
 
 
 def money(c: Column) -> Column:
-    """``675.00`` from ``$675.00``, ``675-00`` or ``$675``; letters O between digits are zeros."""
-    clean = c
-    for _ in range(2):  # a zero may follow a zero
-        clean = F.regexp_replace(clean, r"(?<=[0-9$.])[Oo]", "0")
-    cents = F.regexp_replace(_found(clean, r"\$?\s?([0-9]+[.-][0-9]{2})(?![0-9])", 1), "-", ".")
-    return F.coalesce(cents, _found(clean, r"\$\s?([0-9]+)", 1))
+    """``675.00`` from ``$675.00``, ``675 . 00`` or ``675-00``, else ``675`` from ``$675``; amounts have two to four digits before
+    the cents, and letters O are zeros."""
+    clean, cents = F.translate(c, "Oo", "00"), r"\$?\s*([0-9]{2,4})\s*[.-]\s*([0-9]{2})\b"
+    return F.coalesce(F.concat(_found(clean, cents, 1), F.lit("."), _found(clean, cents, 2)), _found(clean, r"\$\s*([0-9]{2,4})\b", 1))
 
 
 def phone(c: Column) -> Column:

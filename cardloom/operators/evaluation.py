@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.dates import normal_date
 from ..functions.numbers import ratio
 from ..functions.text import normal_name
+from .review import last_of
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """Prediction records: normalized truth and prediction, and whether they match. Blank equals blank; an error never matches."""
+    """Prediction records: normalized truth and prediction, and whether they match. Blank equals blank, and a date that
+    can't be read is blank; an error never matches."""
     out = rows
     for side in ("gt", "pred"):
-        out = out.withColumn(f"normalized_{side}_name", normal_name(F.col(f"{side}_deceased_name"))).withColumn(f"normalized_{side}_dod", F.coalesce(normal_date(F.col(f"{side}_date_of_death")), F.lower(F.trim(F.col(f"{side}_date_of_death")))))
+        out = out.withColumn(f"normalized_{side}_name", normal_name(F.col(f"{side}_deceased_name"))).withColumn(f"normalized_{side}_dod", F.coalesce(normal_date(F.col(f"{side}_date_of_death")), F.lit("")))
     sound = F.trim(F.coalesce("error", F.lit(""))) == ""
     out = out.withColumn("name_match", sound & (F.col("normalized_gt_name") == F.col("normalized_pred_name"))).withColumn("dod_match", sound & (F.col("normalized_gt_dod") == F.col("normalized_pred_dod")))
     return out.withColumn("exact_match", F.col("name_match") & F.col("dod_match"))
 
 
 def adjudicated(predictions: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Predictions with a person's opinion in place of the machine's where there is one. opinions: unique by card and model."""
-    o = opinions.select(F.col("card_id").alias("__c"), F.col("model_id").alias("__m"), "human_name_correct", "human_dod_correct")
+    """Predictions with a person's opinion in place of the machine's where there is one; of several on one card and
+    model the last read."""
+    last = last_of(opinions.select("card_id", "model_id", "human_name_correct", "human_dod_correct", F.monotonically_increasing_id().alias("row")), ["card_id", "model_id"], "row")
+    o = last.select(F.col("card_id").alias("__c"), F.col("model_id").alias("__m"), "human_name_correct", "human_dod_correct")
     out = predictions.join(o, (F.col("card_id") == F.col("__c")) & (F.col("model_id") == F.col("__m")), "left")
     out = out.withColumn("name_match", F.coalesce("human_name_correct", "name_match")).withColumn("dod_match", F.coalesce("human_dod_correct", "dod_match"))
     return out.withColumn("exact_match", F.col("name_match") & F.col("dod_match")).select(predictions.columns)
@@ -30,11 +34,11 @@ def adjudicated(predictions: DataFrame, opinions: DataFrame) -> DataFrame:
 
 def _measures() -> list[Column]:
     n, right = F.count("*"), lambda c: F.count_if(F.col(c))
-    ms = F.col("latency_ms")
+    ms, bad = F.col("latency_ms"), F.count_if(F.trim(F.coalesce("error", F.lit(""))) != "")
     return [
         n.alias("total"), right("name_match").alias("name_correct"), right("dod_match").alias("dod_correct"), right("exact_match").alias("exact_correct"),
         ratio(right("name_match"), n).alias("name_accuracy"), ratio(right("dod_match"), n).alias("dod_accuracy"), ratio(right("exact_match"), n).alias("exact_accuracy"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg(ms).alias("latency_avg"), F.percentile(ms, F.lit(0.5)).alias("latency_p50"),
+        bad.alias("errors"), ratio(bad, n).alias("error_rate"), F.avg(ms).alias("latency_avg"), F.percentile(ms, F.lit(0.5)).alias("latency_p50"),
         F.percentile(ms, F.lit(0.95)).alias("latency_p95"), F.min(ms).alias("latency_min"), F.max(ms).alias("latency_max"), F.sum(ms).alias("latency_total"),
     ]
 

@@ -20,7 +20,7 @@ def matching(
     cards: DataFrame, *, video_id: object = None, status: str | None = None, status_in: str | None = None, min_confidence: float | None = None,
     max_confidence: float | None = None, q: str | None = None, text: str = "deceased_name", died_from: str | None = None, died_to: str | None = None,
 ) -> DataFrame:
-    """Rows that meet all the conditions given. In ``q`` percent and underscore are wild; dates compare as ISO text."""
+    """Rows that meet all the conditions given. In ``q`` percent and underscore are wild, a backslash stands for itself; dates compare as ISO text."""
     found: list[Column] = []
     if video_id not in (None, ""):
         found.append(F.col("video_id") == video_id)
@@ -33,7 +33,7 @@ def matching(
     if max_confidence is not None:
         found.append(F.col("confidence_score") <= max_confidence)
     if q:
-        found.append(F.lower(F.col(text)).like(f"%{q.lower()}%"))
+        found.append(F.lower(F.col(text)).like("%" + q.lower().replace("\\", "\\\\") + "%"))
     if died_from:
         found.append(F.col("date_of_death") >= died_from)
     if died_to:

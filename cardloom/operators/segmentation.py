@@ -25,9 +25,9 @@ def _past() -> WindowSpec:
 
 
 def streak(condition: Column) -> Column:
-    """How many rows in a row up to this one meet a condition."""
+    """How many rows in a row up to this one meet a condition; null (a first frame has no motion) doesn't."""
     row = F.row_number().over(_order())
-    return row - F.coalesce(F.max(F.when(~condition, F.col("__row"))).over(_past()), F.lit(0))
+    return row - F.coalesce(F.max(F.when(~F.coalesce(condition, F.lit(False)), F.col("__row"))).over(_past()), F.lit(0))
 
 
 def streaks(frames: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
@@ -79,7 +79,7 @@ def judged(found: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
     """candidates with decision (null while a duplicate check is due), needs_review and extraction_confidence."""
     short, blurry = F.col("frames") < p.min_frames, F.col("sharpness") < p.blur
     decision = F.when(short | F.col("frame_number").isNull(), "rejected_short_stable").when(blurry, "rejected_blur")
-    review = (F.col("frames") < max(p.low_confidence_frames, p.min_frames)) | F.col("eof") | F.col("fallback")
+    review = (F.col("frames") < max(p.low_confidence_frames, p.min_frames)) | F.col("eof") | F.col("fallback") | F.coalesce(blurry, F.lit(False))
     return found.withColumn("decision", decision).withColumn("needs_review", review).withColumn("extraction_confidence", F.when(review, "low").otherwise("high"))
 
 

@@ -34,7 +34,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     died = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int")), "yyyy-MM-dd")
     return joined.select(
         F.col("doc_id").alias("card_id"), F.col("source").alias("video_id"), seq.alias("sequence_index"), ((F.col("n_chars") % 1000) / F.lit(1000.0)).alias("confidence_score"),
-        status.alias("review_status"), (F.col("doc_id") % 3).cast("int").alias("review_version"), F.substring("text", 1, 40).alias("deceased_name"), died.alias("date_of_death"), F.lit(None).cast("string").alias("reviewed_by"),
+        status.alias("review_status"), (F.col("doc_id") % 3).cast("int").alias("review_version"), F.col("text").alias("deceased_name"), died.alias("date_of_death"), F.lit(None).cast("string").alias("reviewed_by"),
     )
 
 
@@ -83,7 +83,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "frames": "SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS frame_number, round(value / 6, 6) AS motion, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS sharpness, event_id * 2654435761 % 4294967296 AS hash FROM events",
     "cards": "SELECT conv_id * 1000 + turn AS card_id, conv_id AS video_id, turn + 1 AS sequence_index, role AS image_path, text AS raw_text FROM conversations",
-    "results": "SELECT d.doc_id AS card_id, source AS video_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id)::INT AS sequence_index, (n_chars % 1000) / 1000.0::DOUBLE AS confidence_score, CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'corrected' ELSE 'pending' END AS review_status, (d.doc_id % 3)::INT AS review_version, substr(text, 1, 40) AS deceased_name, strftime(DATE '1990-01-01' + (d.doc_id % 9000)::INT, '%Y-%m-%d') AS date_of_death, NULL::VARCHAR AS reviewed_by FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "results": "SELECT d.doc_id AS card_id, source AS video_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id)::INT AS sequence_index, (n_chars % 1000) / 1000.0::DOUBLE AS confidence_score, CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'corrected' ELSE 'pending' END AS review_status, (d.doc_id % 3)::INT AS review_version, text AS deceased_name, strftime(DATE '1990-01-01' + (d.doc_id % 9000)::INT, '%Y-%m-%d') AS date_of_death, NULL::VARCHAR AS reviewed_by FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "videos": "SELECT c_custkey AS video_id, c_name AS filename, c_acctbal AS file_size_bytes, c_nationkey AS resolution_w FROM customer",
     "jobs": "SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderpriority AS job_type, o_orderdate AS created_at FROM orders",
     "predictions": "SELECT doc_id AS card_id, model_id, CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty_bucket, (doc_id * 7 + model_no) % 5 <> 0 AS name_match, (doc_id * 3 + model_no) % 4 <> 0 AS dod_match, (doc_id * 7 + model_no) % 5 <> 0 AND (doc_id * 3 + model_no) % 4 <> 0 AS exact_match, ((doc_id * 13 + model_no * 50) % 997)::DOUBLE AS latency_ms, CASE WHEN (doc_id + model_no) % 17 = 0 THEN 'timeout' END AS error FROM labels, (VALUES ('alpha', 1), ('beta', 2), ('gamma', 3)) m(model_id, model_no)",

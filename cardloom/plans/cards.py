@@ -118,12 +118,12 @@ def export_rows(spark: SparkSession, d: str) -> DataFrame:
     return A.cards(spark, d).where("image_path = 'user'").join(v, F.col("video_id") == F.col("v"), "left").select("video_id", "sequence_index", "raw_text", F.coalesce("filename", F.lit("")).alias("filename"))
 
 
-_SLUG = "substr(coalesce(nullif(regexp_replace(regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'UNKNOWN'), 1, {1})"
+_SLUG = "substr(coalesce(nullif(regexp_replace(regexp_replace(upper(replace(coalesce({0}, ''), 'ß', 'ss')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'UNKNOWN'), 1, {1})"
 
 
-@query(sql(f"SELECT card_id, {_SLUG.format('deceased_name', 80)} || '_' || {_SLUG.format('date_of_death', 20)} || '__card_' || CASE WHEN sequence_index < 1000 THEN lpad(sequence_index::VARCHAR, 3, '0') ELSE substr(sequence_index::VARCHAR, 1, 3) END || '.jpg' AS file_name FROM results WHERE review_status IN ('approved', 'corrected') AND deceased_name SIMILAR TO '[ -~]*'", "results"))
+@query(sql(f"SELECT card_id, {_SLUG.format('deceased_name', 80)} || '_' || {_SLUG.format('date_of_death', 20)} || '__card_' || printf('%03d', sequence_index) || '.jpg' AS file_name FROM results WHERE review_status IN ('approved', 'corrected')", "results"))
 def export_file_names(spark: SparkSession, d: str) -> DataFrame:
-    rows = review.matching(A.results(spark, d), status_in="approved,corrected").where(F.col("deceased_name").rlike("^[ -~]*$"))
+    rows = review.matching(A.results(spark, d), status_in="approved,corrected")
     return rows.select("card_id", text.export_name(F.col("deceased_name"), F.col("date_of_death"), F.col("sequence_index"), F.lit(".jpg")).alias("file_name"))
 
 

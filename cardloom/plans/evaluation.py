@@ -23,8 +23,8 @@ def query(oracle: str | None = None):
     return add
 
 
-_DOUBLES = ("name_accuracy", "dod_accuracy", "exact_accuracy", "latency_avg", "latency_p50", "latency_p95", "latency_min", "latency_max", "latency_total")
-_MEASURES = "count(*) AS total, count(*) FILTER (name_match) AS name_correct, count(*) FILTER (dod_match) AS dod_correct, count(*) FILTER (exact_match) AS exact_correct, round(count(*) FILTER (name_match) / count(*)::DOUBLE, 6) AS name_accuracy, round(count(*) FILTER (dod_match) / count(*)::DOUBLE, 6) AS dod_accuracy, round(count(*) FILTER (exact_match) / count(*)::DOUBLE, 6) AS exact_accuracy, count(error) AS errors, round(avg(latency_ms), 6) AS latency_avg, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, round(min(latency_ms), 6) AS latency_min, round(max(latency_ms), 6) AS latency_max, round(sum(latency_ms), 6) AS latency_total"
+_DOUBLES = ("name_accuracy", "dod_accuracy", "exact_accuracy", "error_rate", "latency_avg", "latency_p50", "latency_p95", "latency_min", "latency_max", "latency_total")
+_MEASURES = "count(*) AS total, count(*) FILTER (name_match) AS name_correct, count(*) FILTER (dod_match) AS dod_correct, count(*) FILTER (exact_match) AS exact_correct, round(count(*) FILTER (name_match) / count(*)::DOUBLE, 6) AS name_accuracy, round(count(*) FILTER (dod_match) / count(*)::DOUBLE, 6) AS dod_accuracy, round(count(*) FILTER (exact_match) / count(*)::DOUBLE, 6) AS exact_accuracy, count(*) FILTER (trim(coalesce(error, '')) <> '') AS errors, round(count(*) FILTER (trim(coalesce(error, '')) <> '') / count(*)::DOUBLE, 6) AS error_rate, round(avg(latency_ms), 6) AS latency_avg, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, round(min(latency_ms), 6) AS latency_min, round(max(latency_ms), 6) AS latency_max, round(sum(latency_ms), 6) AS latency_total"
 _JUDGED = f"adjudicated AS (SELECT p.card_id, p.model_id, difficulty_bucket, latency_ms, error, coalesce(human_name_correct, name_match) AS name_match, coalesce(human_dod_correct, dod_match) AS dod_match, coalesce(human_name_correct, name_match) AND coalesce(human_dod_correct, dod_match) AS exact_match FROM predictions p LEFT JOIN adjudications a ON p.card_id = a.card_id AND p.model_id = a.model_id)"
 _WITH = f"WITH predictions AS ({A.SQL['predictions']}), adjudications AS ({A.SQL['adjudications']}), {_JUDGED} "
 
@@ -42,9 +42,9 @@ def eval_model_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluation.summary(_adjudicated(spark, d), "model_id"))
 
 
-@query(sql(f"SELECT model_id, difficulty_bucket, {_MEASURES} FROM predictions GROUP BY model_id, difficulty_bucket", "predictions"))
+@query(_WITH + f"SELECT model_id, difficulty_bucket, {_MEASURES} FROM adjudicated GROUP BY model_id, difficulty_bucket")
 def eval_bucket_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluation.summary(A.predictions(spark, d), "model_id", "difficulty_bucket"))
+    return _rounded(evaluation.summary(_adjudicated(spark, d), "model_id", "difficulty_bucket"))
 
 
 @query(sql("SELECT model_id, difficulty_bucket, count(*) AS total, count(*) FILTER (exact_match) AS exact_correct FROM predictions GROUP BY GROUPING SETS ((model_id), (model_id, difficulty_bucket))", "predictions"))

@@ -27,7 +27,7 @@ def query(oracle: str | None = None):
 
 
 _V = "PARTITION BY video_id ORDER BY frame_number"
-_STREAKS = f"streaks AS (SELECT *, rn - coalesce(max(CASE WHEN NOT motion >= 12 THEN rn END) OVER ({_V}), 0) AS high_streak, rn - coalesce(max(CASE WHEN NOT motion <= 6 THEN rn END) OVER ({_V}), 0) AS low_streak FROM (SELECT *, row_number() OVER ({_V}) AS rn FROM frames))"
+_STREAKS = f"streaks AS (SELECT *, rn - coalesce(max(CASE WHEN NOT coalesce(motion >= 12, false) THEN rn END) OVER ({_V}), 0) AS high_streak, rn - coalesce(max(CASE WHEN NOT coalesce(motion <= 6, false) THEN rn END) OVER ({_V}), 0) AS low_streak FROM (SELECT *, row_number() OVER ({_V}) AS rn FROM frames))"
 _MEMBERS = f"""{_STREAKS},
 events2 AS (SELECT *, CASE WHEN high_streak >= 2 THEN 'E' WHEN low_streak >= 3 THEN 'X' END AS event FROM streaks),
 latched AS (SELECT *, coalesce(max(CASE WHEN event = 'E' THEN 1 ELSE 0 END) OVER ({_V}) = 1 AND last_value(event IGNORE NULLS) OVER ({_V}) = 'X', false) AS stable FROM events2),
@@ -60,7 +60,7 @@ def frame_best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.candidates(A.frames(spark, d), SHORT).select("video_id", "segment", "frame_number", "local_motion", "sharpness", "fallback")
 
 
-@query(_with(_CHOSEN, "SELECT video_id, segment, CASE WHEN frames < 4 OR frame_number IS NULL THEN 'rejected_short_stable' WHEN sharpness < 20 THEN 'rejected_blur' END AS decision, frames < 6 OR eof OR fallback AS needs_review FROM chosen"))
+@query(_with(_CHOSEN, "SELECT video_id, segment, CASE WHEN frames < 4 OR frame_number IS NULL THEN 'rejected_short_stable' WHEN sharpness < 20 THEN 'rejected_blur' END AS decision, frames < 6 OR eof OR fallback OR coalesce(sharpness < 20, false) AS needs_review FROM chosen"))
 def frame_judgement(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.judged(segmentation.candidates(A.frames(spark, d), SHORT), SHORT).select("video_id", "segment", "decision", "needs_review")
 

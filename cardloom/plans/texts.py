@@ -28,7 +28,7 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.posexplode(text.lines(F.col("text"))).alias("line_no", "line"))
 
 
-@query("SELECT doc_id AS card_id, regexp_extract(text, '\\(?[0-9]{3}\\)?[ ./-]{1,2}[0-9]{3}[ ./-][0-9]{4}') AS phone FROM documents WHERE regexp_matches(text, '\\(?[0-9]{3}\\)?[ ./-]{1,2}[0-9]{3}[ ./-][0-9]{4}')")
+@query("SELECT doc_id AS card_id, regexp_extract(text, '\\(?[0-9]{3}\\)?\\s*[-./]?\\s*[0-9]{3}\\s*[-./]?\\s*[0-9]{4}') AS phone FROM documents WHERE regexp_matches(text, '\\(?[0-9]{3}\\)?\\s*[-./]?\\s*[0-9]{3}\\s*[-./]?\\s*[0-9]{4}')")
 def text_phone(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("card_id"), numbers.phone(F.col("text")).alias("phone")).where("phone is not null")
 
@@ -76,7 +76,7 @@ def text_name_standardize(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select(k.alias("id"), text.standard_name(shown).alias("name"))
 
 
-@query("SELECT doc_id AS card_id, " + " + ".join(f"contains(lower(text), '{x}')::INT" for x in text.LABELS) + " AS hits FROM documents")
+@query("SELECT doc_id AS card_id, " + " + ".join(f"regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_]){x.replace(' ', chr(92) + 's+')}($|[^\\p{{L}}\\p{{N}}_])', 'i')::INT" for x in text.LABELS) + " AS hits FROM documents")
 def text_label_hits(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("card_id"), text.label_hits(F.col("text")).alias("hits"))
 
@@ -100,7 +100,7 @@ def field_score(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     value = F.when(k % 10 == 0, " ").when(k % 5 == 1, "soon").otherwise("2021-10-16")
     support = F.slice(F.array(*[(k % 100) / F.lit(100.0)] * 3), 1, (k % 4).cast("int"))
-    return A.table(spark, d, "labels").select(k.alias("card_id"), F.round(scoring.field_score(value, support, scoring.SHAPES["date_of_death"]), 6).cast("double").alias("score"))
+    return A.table(spark, d, "labels").select(k.alias("card_id"), F.round(scoring.field_score(value, support, r"\d{4}-\d{2}-\d{2}"), 6).cast("double").alias("score"))
 
 
 @query("SELECT doc_id AS card_id, CASE WHEN n = 0 THEN 0.0 ELSE round(least(greatest(m / w - CASE WHEN a THEN 0.0 ELSE 0.12 END - CASE WHEN b THEN 0.0 ELSE 0.10 END - CASE WHEN c THEN 0.0 ELSE 0.06 END - CASE WHEN n < 4 THEN 0.05 ELSE 0.0 END, 0.0), 1.0), 6) END::DOUBLE AS score FROM (SELECT doc_id, a, b, c, a::INT + b::INT + c::INT + e::INT AS n, 1.25 * a::INT + 1.1 * b::INT + c::INT + 0.65 * e::INT AS w, (1.25 * a::INT + 1.1 * b::INT + c::INT * 0.5 + 0.65 * e::INT * 0.5) * (doc_id % 90 + 10) / 100.0::DOUBLE AS m FROM (SELECT doc_id, doc_id % 2 = 0 AS a, doc_id % 3 = 0 AS b, doc_id % 5 = 0 AS c, doc_id % 7 = 0 AS e FROM labels))")
@@ -122,7 +122,7 @@ def orientation_pick(spark: SparkSession, d: str) -> DataFrame:
     return turned.groupBy("card_id").agg(F.max_by("rotation", F.struct(score, -F.col("rotation"))).alias("rotation"))
 
 
-@query("SELECT p_partkey AS id, 'PARKS, Carl' AS deceased_name, '2021-10-16' AS date_of_death, CASE WHEN p_partkey % 2 = 0 THEN '2021-10-20' END AS date_of_burial, (p_partkey % 90 + 10)::VARCHAR AS age, 'F' AS sex, p_size || '.00' AS grave_fee FROM part")
+@query("SELECT p_partkey AS id, 'PARKS, Carl' AS deceased_name, '2021-10-16' AS date_of_death, CASE WHEN p_partkey % 2 = 0 THEN '2021-10-20' END AS date_of_burial, (p_partkey % 90 + 10)::VARCHAR AS age, 'F' AS sex, CASE WHEN p_size > 9 THEN p_size || '.00' END AS grave_fee FROM part")
 def extract_fields(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     card = F.concat_ws("\n", F.lit("PARKS, Carl"), F.lit("Date of Death Qctober 16, 202]"), F.when(k % 2 == 0, "Date of Burial 10/20/2021"), F.concat(F.lit("Sex F  Age "), (k % 90 + 10).cast("string")), F.concat(F.lit("Grave Fee: $"), F.col("p_size").cast("string"), F.lit(".00")))

@@ -48,7 +48,7 @@ def lockouts(attempts: DataFrame, *, failures: int = 5, seconds: int = 60, locke
         recent, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
         rows = []
         for r in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
-            recent = [x for x in recent if x > r.at - seconds]
+            recent = [x for x in recent if x >= r.at - seconds]
             refused = r.at < until
             if not refused:
                 recent = [] if r.ok else [*recent, r.at]

@@ -16,7 +16,7 @@ def run(spark, f, values, kind="string"):
 @pytest.mark.parametrize(
     ("f", "cases"),
     [
-        (dates.iso_date, {"October 16, 2021": "2021-10-16", "Qctober 16, 202]": "2021-10-16", "3-20-41": "2041-03-20", "3/20/51": "1951-03-20", "2/30/2001": None, "Feb 29 2000": "2000-02-29", "soon": None, "1/2/123": None}),
+        (dates.iso_date, {"October 16, 2021": "2021-10-16", "Qctober 16, 202]": "2021-10-16", "3-20-41": "2041-03-20", "3/20/51": "1951-03-20", "2/30/2001": None, "Feb 29 2000": "2000-02-29", "soon": None, "1/2/123": None, "October 30,2021": "2021-10-30", "October 30 , 2021": "2021-10-30", "Dec 12, 199]": "1991-12-12", "10/30/19Z1": "1921-10-30"}),
         (dates.normal_date, {"2021-10-16": "2021-10-16", "  ": "", None: "", "10/30/2021": "2021-10-30", "2021-30-10": None}),
         (dates.repaired_compact, {"35-2094": "3-20-94", "3-20-94": "3-20-94"}),
         (text.standard_name, {"Parks, Carl jr. (owner)": "PARKS, Carl, Jr", "Mr. John Q. Public": "PUBLIC, John Q", "madonna": "MADONNA"}),
@@ -24,8 +24,8 @@ def run(spark, f, values, kind="string"):
         (lambda c: text.slug(c, 6), {"Smith, John": "SMITH_", None: "UNKNOW", "--": "UNKNOW"}),
         (text.outer_json, {"```json\n{\"a\": 1}\n```": '{"a": 1}', "none": None}),
         (text.base_name, {"C:\\a\\b.mp4": "b.mp4", "x/": "upload", None: "upload"}),
-        (numbers.money, {"$675.00": "675.00", "675-00": "675.00", "$675": "675", "6O0.OO": "600.00", "none": None}),
-        (numbers.phone, {"call (404) 555-1234 now": "(404) 555-1234", "404.555.1234": "404.555.1234", "12": None}),
+        (numbers.money, {"$675.00": "675.00", "675-00": "675.00", "$675": "675", "6O0.OO": "600.00", "none": None, "675 . 00": "675.00", "$5.00": None, "fee $ 40": "40"}),
+        (numbers.phone, {"call (404) 555-1234 now": "(404) 555-1234", "404.555.1234": "404.555.1234", "12": None, "(404)784-2878": "(404)784-2878", "4045551234": "4045551234", "404 - 555 - 1234": "404 - 555 - 1234"}),
         (numbers.optional_flag, {"Yes": True, "f": False, " ": None, None: None}),
         (numbers.service_number, {"SVC No. 8O47": "8047", "svc 49,711": "49,711", "x": None}),
         (numbers.age, {"Age 6)": "61", "age: 73": "73", "": None}),
@@ -91,3 +91,27 @@ def test_export_names_keep_all_digits_of_a_number(spark):
     name = lambda c: text.export_name(F.lit("Doe, Jo"), F.lit("1990-01-01"), c, F.lit(".jpg"))
     numbers_ = {7: "007", 123: "123", 999: "999", 1000: "1000", 1234: "1234", 12345: "12345"}
     assert run(spark, name, list(numbers_), "int") == [f"DOE_JO_1990_01_01__card_{n}.jpg" for n in numbers_.values()]
+
+
+def test_labels_are_whole_words(spark):
+    assert run(spark, text.label_hits, ["Date  of Death x\nSEX m AGE 3", "sections and pages", None]) == [3, 0, None]
+    assert run(spark, text.is_label_like, ["Grave Fee: 3", "Cox"]) == [True, False]
+
+
+def test_order_of_the_template(spark):
+    card = "PARKS, Carl\nDate of Death x\nDate of Burial y\nDescription z\nSex M Age 3\nUndertaker Cox\nSVC No 8047"
+    back = "\n".join(reversed(card.split("\n")[1:]))
+    got = run(spark, scoring.template_order, [card, back, "", None, "Date of Death, x", "Sex m Age 7"])
+    assert [round(x, 6) for x in got] == [0.48, -0.3, 0.0, 0.0, 0.0, 0.05]
+
+
+def test_caps_of_scores_without_words(spark):
+    rows = [("deceased_name", "x", 0.9), ("svc_no", "x", 0.9), ("phone", "x", 0.9), ("sex", "x", 0.9), ("sex", " ", 0.9), ("relation", "Owner", 0.9), ("age", "3", 0.1)]
+    df = spark.createDataFrame(rows, "f string, v string, c double")
+    got = [r[0] for r in df.select(scoring.heuristic_score(F.col("f"), F.col("v"), F.col("c"))).collect()]
+    assert got == [0.82, 0.68, 0.60, 0.72, 0.0, 0.25, 0.1]
+
+
+def test_mean_over_the_fields_that_are_there(spark):
+    df = spark.sql("SELECT map('owner_name', 0.5D, 'svc_no', 1.0D, 'other', 9.0D) AS m UNION ALL SELECT map('x', 1.0D)")
+    assert [round(r[0], 6) for r in df.select(scoring.weighted_score(F.col("m"))).collect()] == [round((0.05 + 0.08) / 0.18, 6), 0.0]

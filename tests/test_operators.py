@@ -4,7 +4,7 @@ import random
 
 import pytest
 from cardloom import schemas
-from cardloom.operators import review, segmentation, words
+from cardloom.operators import evaluation, review, segmentation, words
 from cardloom.params import Backstop, Segmentation
 from cardloom.sources import connectors, files
 from pyspark.sql import functions as F
@@ -143,3 +143,35 @@ def test_connectors_keep_errors_in_their_rows(spark):
     assert again == {"1": None, "2": None, "3": None}
     out = connectors.recognized(df, maker(b"bad"), backoff=0.0).withColumn("sequence_index", F.col("card_id").cast("int"))
     assert tuple(connectors.batch_outcome(out).first()) == (2, 1, "unreadable")
+
+
+def test_first_frames_without_motion_are_neither_high_nor_low(spark):
+    f = spark.createDataFrame([(1, 1, None), (1, 2, 20.0), (1, 3, 20.0), (1, 4, 1.0)], "video_id long, frame_number int, motion double")
+    got = [(r["high_streak"], r["low_streak"]) for r in segmentation.streaks(f).orderBy("frame_number").collect()]
+    assert got == [(0, 0), (1, 0), (2, 0), (0, 1)]
+
+
+def test_blurry_windows_need_review(spark):
+    found = spark.createDataFrame([(1, 30, False, False, 5, 10.0), (2, 30, False, False, 5, 90.0)], "segment int, frames int, eof boolean, fallback boolean, frame_number int, sharpness double")
+    got = {r["segment"]: (r["decision"], r["needs_review"]) for r in segmentation.judged(found).collect()}
+    assert got == {1: ("rejected_blur", True), 2: (None, False)}
+
+
+def test_the_last_opinion_counts_and_blank_errors_are_none(spark):
+    p = spark.createDataFrame([("c", "m", False, False, False, 1.0, " ")], "card_id string, model_id string, name_match boolean, dod_match boolean, exact_match boolean, latency_ms double, error string")
+    o = spark.createDataFrame([("c", "m", False, True), ("c", "m", True, None)], "card_id string, model_id string, human_name_correct boolean, human_dod_correct boolean").coalesce(1)
+    rows = evaluation.adjudicated(p, o).collect()
+    assert [(r["name_match"], r["dod_match"]) for r in rows] == [(True, False)]
+    assert evaluation.summary(p, "model_id").first()["errors"] == 0
+
+
+def test_dates_that_cannot_be_read_are_blank(spark):
+    df = spark.createDataFrame([("a", "a", "unknown", "??", None)], "gt_deceased_name string, pred_deceased_name string, gt_date_of_death string, pred_date_of_death string, error string")
+    r = evaluation.compared(df).first()
+    assert (r["normalized_gt_dod"], r["normalized_pred_dod"], r["dod_match"]) == ("", "", True)
+
+
+def test_a_backslash_in_a_search_stands_for_itself(spark):
+    df = spark.createDataFrame([("a\\b",), ("ab",), ("a\\xb",)], "deceased_name string")
+    assert sorted(r[0] for r in review.matching(df, q="A\\_b").collect()) == ["a\\xb"]
+    assert sorted(r[0] for r in review.matching(df, q="\\b").collect()) == ["a\\b"]
