@@ -38,8 +38,8 @@ from .shared import cut, fold
 EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
 #: Lengths of word beginnings that are terms, beside whole words (5 alone finds as many toxic texts as 4 to 7); z at which a term's relevance is one half.
 STEMS, HALF_Z = (5,), 6.0
-#: Words whose terms a task remembers.
-REMEMBERED = 200_000
+#: Words whose terms a task remembers; texts that are scored together.
+REMEMBERED, TOGETHER = 200_000, 64
 
 _WORDS = re.compile(r"\w+")
 
@@ -88,9 +88,10 @@ class Vectors:
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; none if it has no term with a weight."""
         terms, times = self.counts(text)
-        weights = (1 + np.log(np.maximum(times, 1))) * self.weight[terms]
+        weights = (1 + np.log(np.maximum(times, 1))) * self.weight[terms].astype(float)
         terms, weights = terms[weights > 0], weights[weights > 0]
-        return terms, weights / np.sqrt(weights @ weights) if len(weights) else weights
+        # multiples of 2^-24: products and sums of such are exact in double precision, whatever their order
+        return terms, np.round(weights / np.sqrt(weights @ weights) * 2.0**24) / 2.0**24 if len(weights) else weights
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -125,22 +126,35 @@ class BlockMaxIndex:
         self.postings, self.block, self.most = np.r_[at, len(term)].astype(np.int32), block[at], np.maximum.reduceat(self.weight, at)
         self.top = np.zeros(terms, np.float32)
         np.maximum.at(self.top, term[at], self.most)
-        #: Lists that hold a quarter of the examples or more are kept as rows of weights too.
+        #: Lists that hold an eighth of the examples or more are kept as rows of weights instead, for all blocks.
         sizes = self.postings[self.lists[1:]] - self.postings[self.lists[:-1]]
-        full = np.flatnonzero(4 * sizes >= len(rows))
+        full = np.flatnonzero(8 * sizes >= len(rows))
         self.row = np.full(terms, -1, np.int32)
         self.row[full] = np.arange(len(full))
-        self.full = np.zeros((len(full), len(rows)), np.float32)
+        self.full, self._full = np.zeros((len(full), len(rows)), np.float32), None
         for r, t in enumerate(full.tolist()):
             own = slice(self.postings[self.lists[t]], self.postings[self.lists[t + 1]])
             self.full[r, self.place[own]] = self.weight[own]
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the longest lists add to the scores of several texts: a row for each text, a column for each example."""
+        query = np.zeros((len(vectors), len(self.full)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            query[i, row[row >= 0]] = weights[row >= 0]
+        if self._full is None:
+            self._full = self.full.astype(float)
+        return query @ self._full
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a common term; ties go to the earlier place."""
         n = len(self.labels)
+        scores = (self.common([(terms, weights)])[0] if common is None else common).astype(float)
+        listed = self.row[terms] < 0
+        terms, weights = terms[listed], weights[listed]
         by_impact = np.argsort(-weights * self.top[terms], kind="stable")
         head, rest = by_impact[: max(32, len(terms) // 8)], by_impact[max(32, len(terms) // 8) :]
-        scores = self._added(np.zeros(n), terms[head], weights[head])
+        scores = self._added(scores, terms[head], weights[head])
         if leave is not None:
             scores[leave] = 0
         if len(rest):
@@ -149,7 +163,11 @@ class BlockMaxIndex:
             bounds = np.bincount(self.block[entries], self.most[entries] * own, self.blocks) + np.maximum.reduceat(scores, np.arange(0, n, BLOCK))
             least = np.partition(scores, n - k)[n - k] if n > k else 0.0
             left = bounds * (1 + 1e-9) + 1e-12 >= least
-            scores = self._added(scores, terms[rest], weights[rest], left if 2 * left.sum() < self.blocks else None)
+            if 2 * left.sum() < self.blocks:
+                on = left[self.block[entries]]
+                scores = self._postings(scores, self.postings[entries[on]], self.postings[entries[on] + 1], own[on])
+            else:
+                scores = self._added(scores, terms[rest], weights[rest])
             scores[~np.repeat(left, BLOCK)[:n]] = 0
             if leave is not None:
                 scores[leave] = 0
@@ -158,17 +176,10 @@ class BlockMaxIndex:
         found = found[np.lexsort((found, -scores[found]))[:k]]
         return found, np.minimum(scores[found], 1.0)
 
-    def _added(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
-        """scores with what these terms add, for lists only in ``blocks`` if these are given."""
-        row = self.row[terms]
-        scores = scores + weights[row >= 0] @ self.full[row[row >= 0]]
-        terms, weights = terms[row < 0], weights[row < 0]
-        starts, ends = self.lists[terms], self.lists[terms + 1]
-        first, last = self.postings[starts], self.postings[ends]
-        if blocks is not None:
-            entries, weights = _ranges(starts, ends), np.repeat(weights, ends - starts)
-            on = blocks[self.block[entries]]
-            first, last, weights = self.postings[entries[on]], self.postings[entries[on] + 1], weights[on]
+    def _added(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return self._postings(scores, self.postings[self.lists[terms]], self.postings[self.lists[terms + 1]], weights)
+
+    def _postings(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
         at = _ranges(first, last)
         return scores + np.bincount(self.place[at], self.weight[at] * np.repeat(weights, last - first), len(scores))
 
@@ -206,14 +217,18 @@ class Model:
     def __init__(self, vectors: Vectors | None, index: BlockMaxIndex | None, coefficients: np.ndarray | None, rate: float):
         self.vectors, self.index, self.coefficients, self.rate = vectors, index, coefficients, rate
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Score, and as evidence the ids and cosines of the nearest examples."""
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Score of each text, and as evidence the ids and cosines of its nearest examples."""
         if self.index is None:
-            return self.rate, [], []
-        terms, weights = self.vectors.of(text)
-        places, scores = self.index.nearest(terms, weights, NEIGHBOURS) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        p = 1 / (1 + np.exp(-float((_traits([vote(self.index, places, scores)]) @ self.coefficients)[0])))
-        return float(p), self.index.ids[places].tolist(), scores.tolist()
+            return [(self.rate, [], [])] * len(texts)
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            vectors = [self.vectors.of(t) for t in texts[i : i + TOGETHER]]
+            for (terms, weights), common in zip(vectors, self.index.common(vectors), strict=True):
+                places, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common=common) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
+                p = 1 / (1 + np.exp(-float((_traits([vote(self.index, places, cosines)]) @ self.coefficients)[0])))
+                out.append((float(p), self.index.ids[places].tolist(), cosines.tolist()))
+        return out
 
 
 def sampled_labels(labels: DataFrame, label: str, n: int) -> tuple[DataFrame, dict[int, int]]:
@@ -307,8 +322,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, places = tried.value
         for b in batches:
-            at = [places[x] for x in b["name"]]
-            got = [vote(index, *index.nearest(np.frombuffer(t, np.int32), np.frombuffer(w), NEIGHBOURS, p)) for t, w, p in zip(b["terms"], b["weights"], at, strict=True)]
+            at, got = [places[x] for x in b["name"]], []
+            vectors = [(np.frombuffer(t, np.int32), np.frombuffer(w)) for t, w in zip(b["terms"], b["weights"], strict=True)]
+            for i in range(0, len(vectors), TOGETHER):
+                common = index.common(vectors[i : i + TOGETHER])
+                got += [vote(index, *index.nearest(t, w, NEIGHBOURS, p, c)) for (t, w), p, c in zip(vectors[i : i + TOGETHER], at[i : i + TOGETHER], common, strict=True)]
             yield pd.DataFrame({"place": at, "share": [g[0] for g in got], "mass": [g[1] for g in got]})
 
     # each example voted on without itself, in tasks; those without terms have the empty vote
@@ -327,7 +345,7 @@ def score(docs: DataFrame, model: Model, *, evidence: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            got = [m.score(t.as_py()) for t in b.column(1)]
+            got = m.scores(b.column(1).to_pylist())
             p = pa.array([g[0] for g in got], pa.float64())
             cols = [b.column(0), p, pa.array([int(g[0] >= 0.5) for g in got], pa.int32())]
             if evidence:
@@ -343,7 +361,7 @@ def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = pa.array([int(held.value.score(t.as_py())[0] >= 0.5) for t in b.column(at)], pa.int32())
+            marks = pa.array([int(got[0] >= 0.5) for got in held.value.scores(b.column(at).to_pylist())], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
