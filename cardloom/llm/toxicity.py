@@ -4,10 +4,9 @@ The examples are a bounded sample of labelled texts. Their terms, all of them, a
 the mark in inflected languages). A term weighs 1 + log of its count, times its idf over all documents, times its relevance: from
 0 to 1 and rising smoothly with the two-sample z of its share among the examples of either class, so that the
 prose around the mark, most of the terms, doesn't drown it; no term is left out. Examples lie in posting lists of each term,
-like ones together, in blocks whose largest weight is noted (a block-max index). A text reads the
-lists of its weightiest terms; what the rest can add in a block at most, by the noted maxima, tells which examples may still
-be among its nearest, and these are scored exactly, so the neighbours are the exact
-ones. Their votes, weighted by similarity, become a probability by logistic calibration on the examples themselves, each voted
+like ones together, in blocks whose largest weight is noted (a block-max index). A text reads the lists of its weightiest terms
+and its short lists, whose blocks hold few postings; what the long ones can add in a block at most, by the noted maxima, tells
+which examples may still be among its nearest, and these are scored exactly, so the neighbours are the exact ones. Their votes, weighted by similarity, become a probability by logistic calibration on the examples themselves, each voted
 on without itself. Ids and cosines of the neighbours are the evidence.
 
 Cases: null and empty texts, and texts without a term of an example, have no neighbours and get the calibrated score
@@ -20,9 +19,9 @@ gives an empty result; other columns of the input, whatever their names, are not
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections import ChainMap, Counter
+from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +39,8 @@ EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
 STEMS, HALF_Z = (5,), 6.0
 #: Words whose terms a task remembers; texts that are scored together.
 REMEMBERED, TOGETHER = 200_000, 64
+#: Postings a block from which on a list's blocks are tried by their maxima before they are read; lists read whole in any case.
+LONG, HEAD = 5, 32
 
 _WORDS = re.compile(r"\w+")
 
@@ -63,27 +64,33 @@ class Vectors:
     def __init__(self, names: np.ndarray, weight: np.ndarray):
         self.names, self.weight, self._known = names, weight.astype(np.float32), {}
 
-    def terms(self, words: list[str]) -> list[list[int]]:
-        """The known terms of each word; the first REMEMBERED words that a task meets, the common ones, are looked up once."""
-        known = self._known
+    def terms(self, words: Collection[str]) -> np.ndarray:
+        """A row for each word: as many columns as a word can have terms, -1 for what it lacks or no example has. The first
+        REMEMBERED words that a task meets, the common ones, are looked up once."""
+        known, width = self._known, 1 + len(STEMS)
         if fresh := [w for w in words if w not in known]:
-            names = [names_of(w) for w in fresh]
-            flat = np.fromiter(chain.from_iterable(names), np.int64)
+            names = [(*names_of(w), *[-1] * width)[:width] for w in fresh]
+            flat = np.fromiter(chain.from_iterable(names), np.int64, len(names) * width)
             at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
-            at = iter(np.where(self.names[at] == flat, at, -1).tolist())
-            found = {w: [t for t in islice(at, len(ns)) if t >= 0] for w, ns in zip(fresh, names, strict=True)}
+            found = dict(zip(fresh, map(tuple, np.where(self.names[at] == flat, at, -1).reshape(-1, width).tolist()), strict=True))
             if len(known) >= REMEMBERED:
-                return [known[w] if w in known else found[w] for w in words]
-            known.update(found)
-        return [known[w] for w in words]
+                known = ChainMap(found, known)
+            else:
+                known.update(found)
+        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64, len(words) * width).reshape(-1, width)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and how often it has each."""
         words = words_of(text)
-        terms = self.terms(list(words))
-        ids = np.fromiter(chain.from_iterable(terms), np.int64)
-        terms, at = np.unique(ids, return_inverse=True), np.repeat(np.fromiter(words.values(), np.int64), list(map(len, terms)))
-        return terms[0], np.bincount(terms[1], at, len(terms[0]))
+        ids = self.terms(words)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), ids.shape[1])
+        ids = ids.ravel()
+        by_id = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
+        if not len(by_id):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, times = ids[by_id], times[by_id]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return ids[first], np.add.reduceat(times, first)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; none if it has no term with a weight."""
@@ -94,17 +101,11 @@ class Vectors:
         return terms, np.round(weights / np.sqrt(weights @ weights) * 2.0**24) / 2.0**24 if len(weights) else weights
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All numbers from each start to before its end, one after the other."""
-    starts, ends = starts.astype(np.int64), ends.astype(np.int64)
-    n = ends - starts
-    out = np.ones(int(n.sum()), np.int64)
-    some = n > 0
-    first = np.cumsum(n[some])[:-1]
-    if len(out):
-        out[0] = starts[some][0]
-        out[first] = starts[some][1:] - ends[some][:-1] + 1
-    return np.cumsum(out)
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to before its end, one after the other, and how many each start has."""
+    n = (ends - starts).astype(np.int64)
+    before = np.cumsum(n) - n
+    return np.arange(n.sum()) + np.repeat(starts - before, n), n
 
 
 class BlockMaxIndex:
@@ -131,7 +132,7 @@ class BlockMaxIndex:
         full = np.flatnonzero(8 * sizes >= len(rows))
         self.row = np.full(terms, -1, np.int32)
         self.row[full] = np.arange(len(full))
-        self.full, self._full = np.zeros((len(full), len(rows)), np.float32), None
+        self.full, self._wide = np.zeros((len(full), len(rows)), np.float32), None
         for r, t in enumerate(full.tolist()):
             own = slice(self.postings[self.lists[t]], self.postings[self.lists[t + 1]])
             self.full[r, self.place[own]] = self.weight[own]
@@ -142,9 +143,13 @@ class BlockMaxIndex:
         for i, (terms, weights) in enumerate(vectors):
             row = self.row[terms]
             query[i, row[row >= 0]] = weights[row >= 0]
-        if self._full is None:
-            self._full = self.full.astype(float)
-        return query @ self._full
+        return query @ self._own()[0]
+
+    def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A task's own copies in the types in which sums are made: the longest lists, places and weights of all postings."""
+        if self._wide is None:
+            self._wide = self.full.astype(float), self.place.astype(np.intp), self.weight.astype(float)
+        return self._wide
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a common term; ties go to the earlier place."""
@@ -152,22 +157,26 @@ class BlockMaxIndex:
         scores = (self.common([(terms, weights)])[0] if common is None else common).astype(float)
         listed = self.row[terms] < 0
         terms, weights = terms[listed], weights[listed]
-        by_impact = np.argsort(-weights * self.top[terms], kind="stable")
-        head, rest = by_impact[: max(32, len(terms) // 8)], by_impact[max(32, len(terms) // 8) :]
-        scores = self._added(scores, terms[head], weights[head])
+        entries, ends = self.lists[terms], self.lists[terms + 1]
+        first, last = self.postings[entries], self.postings[ends]
+        far = last - first >= LONG * (ends - entries)
+        if len(terms) > HEAD:  # the weightiest lists are read whole: they set the score that others must reach
+            impact = weights * self.top[terms]
+            far &= impact < np.partition(impact, len(impact) - HEAD)[len(impact) - HEAD]
+        scores = self._added(scores, first[~far], last[~far], weights[~far])
         if leave is not None:
             scores[leave] = 0
-        if len(rest):
-            starts, ends = self.lists[terms[rest]], self.lists[terms[rest] + 1]
-            entries, own = _ranges(starts, ends), np.repeat(weights[rest], ends - starts)
-            bounds = np.bincount(self.block[entries], self.most[entries] * own, self.blocks) + np.maximum.reduceat(scores, np.arange(0, n, BLOCK))
+        if far.any():
+            at, times = _ranges(entries[far], ends[far])
+            own, block = np.repeat(weights[far], times), self.block[at]
+            bounds = np.bincount(block, self.most[at] * own, self.blocks) + np.maximum.reduceat(scores, np.arange(0, n, BLOCK))
             least = np.partition(scores, n - k)[n - k] if n > k else 0.0
             left = bounds * (1 + 1e-9) + 1e-12 >= least
             if 2 * left.sum() < self.blocks:
-                on = left[self.block[entries]]
-                scores = self._postings(scores, self.postings[entries[on]], self.postings[entries[on] + 1], own[on])
+                on = left[block]
+                scores = self._added(scores, self.postings[at[on]], self.postings[at[on] + 1], own[on])
             else:
-                scores = self._added(scores, terms[rest], weights[rest])
+                scores = self._added(scores, first[far], last[far], weights[far])
             scores[~np.repeat(left, BLOCK)[:n]] = 0
             if leave is not None:
                 scores[leave] = 0
@@ -176,12 +185,10 @@ class BlockMaxIndex:
         found = found[np.lexsort((found, -scores[found]))[:k]]
         return found, np.minimum(scores[found], 1.0)
 
-    def _added(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return self._postings(scores, self.postings[self.lists[terms]], self.postings[self.lists[terms + 1]], weights)
-
-    def _postings(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at = _ranges(first, last)
-        return scores + np.bincount(self.place[at], self.weight[at] * np.repeat(weights, last - first), len(scores))
+    def _added(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        _, place, weight = self._own()
+        at, times = _ranges(first, last)
+        return scores + np.bincount(place[at], weight[at] * np.repeat(weights, times), len(scores))
 
 
 def vote(index: BlockMaxIndex, places: np.ndarray, scores: np.ndarray) -> tuple[float, float]:
@@ -266,7 +273,8 @@ def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]
         for b in batches:
             n += b.num_rows
             for text in b.column(0):
-                out[np.fromiter({t for ts in v.terms(list(set(_WORDS.findall((text.as_py() or "").lower())))) for t in ts}, np.int64)] += 1
+                ids = v.terms(set(_WORDS.findall((text.as_py() or "").lower()))).ravel()
+                out[np.unique(ids[ids >= 0])] += 1
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, out[some]])], names=["term", "n"])
 
