@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .shared import cut, fold
 
@@ -94,7 +94,9 @@ class Vectors:
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; none if it has no term with a weight."""
-        terms, times = self.counts(text)
+        return self.weighted(*self.counts(text))
+
+    def weighted(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(np.maximum(times, 1))) * self.weight[terms].astype(float)
         terms, weights = terms[weights > 0], weights[weights > 0]
         # multiples of 2^-24: products and sums of such are exact in double precision, whatever their order
@@ -224,13 +226,15 @@ class Model:
     def __init__(self, vectors: Vectors | None, index: BlockMaxIndex | None, coefficients: np.ndarray | None, rate: float):
         self.vectors, self.index, self.coefficients, self.rate = vectors, index, coefficients, rate
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
-        """Score of each text, and as evidence the ids and cosines of its nearest examples."""
+    def scores(self, b: pa.RecordBatch, columns: list[int]) -> list[tuple[float, list[int], list[float]]]:
+        """Score of each row, and as evidence the ids and cosines of its nearest examples. The columns hold a text, or the
+        terms and times that were read of it."""
         if self.index is None:
-            return [(self.rate, [], [])] * len(texts)
+            return [(self.rate, [], [])] * b.num_rows
         out = []
-        for i in range(0, len(texts), TOGETHER):
-            vectors = [self.vectors.of(t) for t in texts[i : i + TOGETHER]]
+        for i in range(0, b.num_rows, TOGETHER):
+            rows = zip(*(b.column(c).slice(i, TOGETHER).to_pylist() for c in columns), strict=True)
+            vectors = [self.vectors.of(*r) if len(r) == 1 else self.vectors.weighted(*unpacked(*r)) for r in rows]
             for (terms, weights), common in zip(vectors, self.index.common(vectors), strict=True):
                 places, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common=common) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
                 p = 1 / (1 + np.exp(-float((_traits([vote(self.index, places, cosines)]) @ self.coefficients)[0])))
@@ -263,26 +267,58 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "zeros": [counts[0][t] for t in part], "ones": [counts[1][t] for t in part]})
 
 
+def packed(terms: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+    """Terms, which ascend, by their distances, and times as bytes that compress well."""
+    return np.diff(terms, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()
+
+
+def unpacked(terms: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(terms, np.int32), dtype=np.int64), np.frombuffer(times, np.int32)
+
+
+def term_columns(columns: list[str]) -> list[str]:
+    """Names, clear of the others, of the columns that hold the terms and times of a text."""
+    free = "_" * max(map(len, columns), default=0)
+    return [f"{free}terms", f"{free}times"]
+
+
+def _read(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """The columns that docs had at first, and those that scoring reads: the terms if they are there, else the text."""
+    first, last = docs.columns[:-2], docs.columns[-2:]
+    return (first, last) if last == term_columns(first) else (docs.columns, ["text"])
+
+
+def with_terms(docs: DataFrame, vectors: Vectors) -> DataFrame:
+    """docs with the terms of each text, written, so that texts are taken apart once."""
+    held, at, names = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index("text"), term_columns(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [packed(*held.value.counts(t)) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[i] for g in got], pa.binary()) for i in (0, 1))], names=[*b.schema.names, *names])
+
+    out = cut(docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, BinaryType()) for n in names)])), "toxic-terms")
+    held.destroy()
+    return out
+
+
 def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]:
-    """The number of all documents, and of those that hold each term."""
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
+    """The number of all documents, and of those that hold each term, from the terms of each."""
+    read, known = docs if _read(docs)[1] != ["text"] else with_terms(docs, vectors), len(vectors.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, n = held.value, 0
-        out = np.zeros(len(v.weight), np.int64)
+        n, out = 0, np.zeros(known, np.int64)
         for b in batches:
             n += b.num_rows
-            for text in b.column(0):
-                ids = v.terms(set(_WORDS.findall((text.as_py() or "").lower()))).ravel()
-                out[np.unique(ids[ids >= 0])] += 1
+            for t in b.column(0):
+                out[np.cumsum(np.frombuffer(t.as_py(), np.int32))] += 1  # each term of a text stands there once
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, out[some]])], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
-    held.destroy()
-    terms, n, out = found["term"].to_numpy(), found["n"].to_numpy(), np.zeros(len(vectors.weight), np.int64)
-    out[terms[terms >= 0]] = n[terms >= 0]
-    return int(n[terms < 0].sum()), out
+    found = read.select(_read(read)[1][0]).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term
+    at, n, out = found["term"].to_numpy(), found["n"].to_numpy(), np.zeros(known, np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), out
 
 
 def relevance(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -294,18 +330,24 @@ def relevance(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, label); only ids in both are examples."""
+    return fitted(docs.select("doc_id", "text"), labels, label, examples)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> tuple[Model, DataFrame]:
+    """As fit, and docs with the terms that were read of each text, for scoring; docs as they are where there are no terms."""
     sample, have = sampled_labels(labels, label, examples)
     texts = cut(distinct_texts(docs, sample), "toxic-examples")
     ones, zeros = (lambda r: (r["ones"] or 0, r["n"] - (r["ones"] or 0)))(texts.agg(F.sum("label").alias("ones"), F.count("*").alias("n")).first())
     rate = have.get(1, 0) / max(1, have.get(0, 0) + have.get(1, 0))
     if not ones or not zeros:
-        return Model(None, None, None, float(rate))
+        return Model(None, None, None, float(rate)), docs
     counted = texts.mapInPandas(_count_terms, "term long, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     counted = counted.toArrow().sort_by("term")  # the terms of the examples
     if not len(counted):
-        return Model(None, None, None, float(rate))
+        return Model(None, None, None, float(rate)), docs
     share = {0: have[0] / zeros, 1: have[1] / ones}  # an example stands for so many
     vectors = Vectors(counted["term"].to_numpy(), relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
+    docs = with_terms(docs, vectors)
     n, df = document_counts(docs, vectors)
     vectors = Vectors(vectors.names, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
     held = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -319,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     held.destroy()
     full = rows.where(F.length("terms") > 0).toArrow().sort_by("name")
     if not len(full):
-        return Model(None, None, None, float(rate))
+        return Model(None, None, None, float(rate)), docs
     unpacked = [(np.frombuffer(t.as_py(), np.int32), np.frombuffer(w.as_py())) for t, w in zip(full["terms"], full["weights"], strict=True)]
     index = BlockMaxIndex(unpacked, full["label"].to_numpy(), full["doc_id"].to_numpy(), len(vectors.weight))
     names = full["name"].to_pylist()
@@ -343,40 +385,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     bare = {r["label"]: r["count"] for r in rows.where(F.length("terms") == 0).groupBy("label").count().collect()}
     y = np.r_[index.labels, *(np.full(bare.get(c, 0), float(c)) for c in (0, 1))]
     x = [*zip(got["share"].to_numpy(), got["mass"].to_numpy(), strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
-    return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate))
+    return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate)), docs
 
 
 def score(docs: DataFrame, model: Model, *, evidence: bool = False) -> DataFrame:
-    """doc_id, score, predicted for each document; with evidence also example_ids and cosines of its neighbours."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, score, predicted for each document; with evidence also example_ids and cosines of its neighbours. docs may hold
+    the terms that fit read."""
+    held, (_, read) = docs.sparkSession.sparkContext.broadcast(model), _read(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            got = m.scores(b.column(1).to_pylist())
+            got = m.scores(b, list(range(1, b.num_columns)))
             p = pa.array([g[0] for g in got], pa.float64())
             cols = [b.column(0), p, pa.array([int(g[0] >= 0.5) for g in got], pa.int32())]
             if evidence:
                 cols += [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", "example_ids", "cosines"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int" + ", example_ids array<long>, cosines array<double>" * evidence)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *read).mapInArrow(run, "doc_id long, score double, predicted int" + ", example_ids array<long>, cosines array<double>" * evidence)
 
 
 def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
-    """docs with one more column: 1 if the score of its text is 0.5 or more, else 0."""
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """docs, without the terms that fit read, with one more column: 1 if the score of its text is 0.5 or more, else 0."""
+    held, (own, read) = docs.sparkSession.sparkContext.broadcast(model), _read(docs)
+    at, n = [docs.columns.index(c) for c in read], len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = pa.array([int(got[0] >= 0.5) for got in held.value.scores(b.column(at).to_pylist())], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, name])
+            marks = pa.array([int(got[0] >= 0.5) for got in held.value.scores(b, at)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], marks], names=[*b.schema.names[:n], name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, IntegerType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:n], StructField(name, IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, evidence: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from labels whose fold isn't ``held`` only."""
-    model = fit(docs, labels.where(fold(F.col("doc_id"), folds) != held))
-    out = score(docs, model, evidence=evidence)
+    model, read = fitted(docs.select("doc_id", "text"), labels.where(fold(F.col("doc_id"), folds) != held))
+    out = score(read, model, evidence=evidence)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), *[c for c in out.columns if c != "doc_id"])
