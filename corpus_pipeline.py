@@ -23,7 +23,8 @@ SHINGLE, SIMILAR = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half. A null or empty text is no reason to go."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), FOLDS) != 0)
-    return toxicity.flagged(docs, toxicity.fit(docs, labels), "__toxic").where("__toxic = 0").drop("__toxic")
+    model, read = toxicity.fitted(docs, labels)
+    return toxicity.flagged(read, model, "__toxic").where("__toxic = 0").drop("__toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
