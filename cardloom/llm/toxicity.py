@@ -288,23 +288,26 @@ def _read(docs: DataFrame) -> tuple[list[str], list[str]]:
     return (first, last) if last == term_columns(first) else (docs.columns, ["text"])
 
 
-def with_terms(docs: DataFrame, vectors: Vectors) -> DataFrame:
-    """docs with the terms of each text, written, so that texts are taken apart once."""
-    held, at, names = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index("text"), term_columns(docs.columns)
+def with_terms(docs: DataFrame, vectors: Vectors, keep: list[str] | None = None) -> DataFrame:
+    """docs, or those of its columns that are to be kept, with the terms of each text, written, so that texts are taken apart once."""
+    held, at = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index("text")
+    own = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    fields = [docs.schema.fields[i] for i in own]
+    names = term_columns([f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [packed(*held.value.counts(t)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[i] for g in got], pa.binary()) for i in (0, 1))], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in own), *(pa.array([g[i] for g in got], pa.binary()) for i in (0, 1))], names=[*(f.name for f in fields), *names])
 
-    out = cut(docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, BinaryType()) for n in names)])), "toxic-terms")
+    out = cut(docs.mapInArrow(run, StructType([*fields, *(StructField(n, BinaryType()) for n in names)])), "toxic-terms")
     held.destroy()
     return out
 
 
 def document_counts(docs: DataFrame, vectors: Vectors) -> tuple[int, np.ndarray]:
     """The number of all documents, and of those that hold each term, from the terms of each."""
-    read, known = docs if _read(docs)[1] != ["text"] else with_terms(docs, vectors), len(vectors.weight)
+    read, known = docs if _read(docs)[1] != ["text"] else with_terms(docs, vectors, []), len(vectors.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, out = 0, np.zeros(known, np.int64)
@@ -330,11 +333,12 @@ def relevance(zeros: np.ndarray, ones: np.ndarray, n0: int, n1: int) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, label); only ids in both are examples."""
-    return fitted(docs.select("doc_id", "text"), labels, label, examples)[0]
+    return fitted(docs.select("doc_id", "text"), labels, label, examples, [])[0]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> tuple[Model, DataFrame]:
-    """As fit, and docs with the terms that were read of each text, for scoring; docs as they are where there are no terms."""
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """As fit, and docs, or the columns to be kept, with the terms that were read of each text, for scoring; docs as they are
+    where there are no terms."""
     sample, have = sampled_labels(labels, label, examples)
     texts = cut(distinct_texts(docs, sample), "toxic-examples")
     ones, zeros = (lambda r: (r["ones"] or 0, r["n"] - (r["ones"] or 0)))(texts.agg(F.sum("label").alias("ones"), F.count("*").alias("n")).first())
@@ -347,7 +351,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: i
         return Model(None, None, None, float(rate)), docs
     share = {0: have[0] / zeros, 1: have[1] / ones}  # an example stands for so many
     vectors = Vectors(counted["term"].to_numpy(), relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
-    docs = with_terms(docs, vectors)
+    docs = with_terms(docs, vectors, keep)
     n, df = document_counts(docs, vectors)
     vectors = Vectors(vectors.names, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
     held = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -421,6 +425,6 @@ def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, evidence: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from labels whose fold isn't ``held`` only."""
-    model, read = fitted(docs.select("doc_id", "text"), labels.where(fold(F.col("doc_id"), folds) != held))
+    model, read = fitted(docs.select("doc_id", "text"), labels.where(fold(F.col("doc_id"), folds) != held), keep=["doc_id"])
     out = score(read, model, evidence=evidence)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), *[c for c in out.columns if c != "doc_id"])
