@@ -98,3 +98,19 @@ def repaired_compact(c: Column) -> Column:
     """``35-2094``: a numeric date whose first hyphen was lost, month and day of one digit or two."""
     p = r"^([0-9])([0-9]{1,2})-([0-9]{2})([0-9]{2})$"
     return F.when(c.rlike(p), F.concat_ws("-", F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 3), F.regexp_extract(c, p, 4))).otherwise(c)
+
+
+_NAMES = "january|february|march|april|may|june|july|august|september|october|november|december|" + "|".join(MONTHS)
+_SPELLED, _SHORT = rf"(?i)^({_NAMES})\s+([0-9]{{1,2}}),\s+([0-9]{{4}})$", r"^([0-9]{1,2})(?:/([0-9]{1,2})/|-([0-9]{1,2})-)([0-9]{4}|[0-9]{2})$"
+
+
+def any_form(c: Column) -> Column:
+    """A text that is a date as a whole, in numbers or with its month spelled out or cut to three letters, as ISO; other texts
+    trimmed, blanks null. Years of two digits from 69 on are in the 1900s."""
+
+    def read(t: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(_found(t, _SPELLED, 1), 1, 3))).cast("int")
+        day = F.coalesce(_found(t, _SHORT, 2), _found(t, _SHORT, 3)).cast("int")
+        return F.coalesce(_iso(_found(t, _SPELLED, 3).cast("int"), month, _found(t, _SPELLED, 2).cast("int")), let(_found(t, _SHORT, 4), lambda y: _iso(full_year(y, 69), _found(t, _SHORT, 1).cast("int"), day)), t)
+
+    return F.when(F.trim(c) != "", let(F.trim(c), read))

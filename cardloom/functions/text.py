@@ -146,3 +146,9 @@ def without_address(c: Column) -> Column:
     """A name line without the address that follows it."""
     street = r"\s+[0-9]{1,5}\s+.*\b(street|st|avenue|ave|road|rd|drive|dr|lane|ln|place|pl|court|ct|boulevard|blvd|way|terrace)\b.*$"
     return F.trim(F.regexp_replace(F.regexp_replace(c, f"(?i){street}", ""), r"\s+[0-9]{5}(-[0-9]{4})?\s*$", ""))
+
+
+def image_url(path: Column, root: str) -> Column:
+    """The address under which a file below ``root`` is served; null for files elsewhere and for paths that climb."""
+    below = F.substr(path, F.lit(len(root.rstrip("/")) + 2))
+    return F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~path.rlike(r"(^|/)\.\.(/|$)"), F.concat(F.lit("/static/frames/"), below))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..functions.bind import let
+from ..functions.scoring import acceptable
 from ..functions.text import blank_to_null, is_label_line, lines, outer_json, standard_name, without_address
 from ..params import ALIASES, FIELDS
 
@@ -63,8 +64,9 @@ def canonical(fields: Column) -> Column:
 
 
 def merged_missing(fields: Column, more: Column) -> Column:
-    """fields, with values of ``more`` where it has none."""
-    return F.map_zip_with(fields, more, lambda k, a, b: F.coalesce(blank_to_null(a), b))
+    """fields, each blank one filled from ``more`` if what that has is acceptable; other keys of ``more`` are left out."""
+    fill = lambda k, b: F.when(acceptable(k, b), b)
+    return F.transform_values(fields, lambda k, a: F.coalesce(blank_to_null(a), fill(k, F.try_element_at(more, k)), a))
 
 
 def answer_fields(answer: Column, required: tuple[str, ...]) -> Column:

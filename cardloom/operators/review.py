@@ -126,3 +126,29 @@ def with_defaults(left: DataFrame, right: DataFrame, keys: list[str], columns: d
     on = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
     joined = left.join(marked, on, "left")
     return joined.select(*[c for c in left.columns if c not in columns], *[F.coalesce(F.col(f"__v_{c}"), v).alias(c) for c, v in columns.items()])
+
+
+def jobs_matching(jobs: DataFrame, status: str | None = None, job_type: str | None = None) -> DataFrame:
+    for name, value in (("status", status), ("job_type", job_type)):
+        jobs = jobs if value is None else jobs.where(F.col(name) == value)
+    return jobs
+
+
+def swept(jobs: DataFrame, videos: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, videos) after a restart: running jobs have failed, and so have the videos in processing that they worked on."""
+    running = F.coalesce(F.col("status") == "running", F.lit(False))
+    hit = jobs.where(running).select(F.col("video_id").alias("__v")).distinct()
+    out = jobs.withColumn("error_message", F.when(running, F.lit(reason)).otherwise(F.col("error_message"))).withColumn("status", F.when(running, "failed").otherwise(F.col("status")))
+    marked = videos.join(hit, F.col("video_id") == F.col("__v"), "left")
+    lost = F.col("__v").isNotNull() & (F.col("status") == "processing")
+    return out, marked.withColumn("status", F.when(lost, "failed").otherwise(F.col("status"))).select(videos.columns)
+
+
+def with_failures(current: DataFrame, failed: DataFrame, fields: list[str]) -> DataFrame:
+    """Results after failed recognitions (card_id, error; one a card): no confidence, flagged, fields null, the message kept;
+    cards without a result get one."""
+    f = failed.select(F.col("card_id").alias("__id"), F.col("error").alias("__error"))
+    out = current.join(f, F.col("card_id") == F.col("__id"), "full")
+    bad = F.col("__id").isNotNull()
+    new = {"card_id": F.coalesce("card_id", "__id"), "confidence_score": F.when(bad, 0.0).otherwise(F.col("confidence_score")), "review_status": F.when(bad, "flagged").otherwise(F.col("review_status")), "error_message": F.when(bad, F.col("__error")).otherwise(F.col("error_message"))}
+    return out.select(*[new[c].alias(c) if c in new else F.when(~bad, F.col(c)).alias(c) if c in fields else F.col(c) for c in current.columns])

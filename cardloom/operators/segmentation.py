@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import hamming
+from ..functions.geometry import hamming, mean_difference
 from ..params import Backstop, Segmentation
 
 
@@ -24,6 +24,12 @@ def _past() -> WindowSpec:
     return _order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def with_motion(frames: DataFrame, pixels: str) -> DataFrame:
+    """frames with motion: the mean absolute difference of an array of gray values to that of the frame before; null for a
+    video's first frame."""
+    return frames.withColumn("motion", mean_difference(F.col(pixels), F.lag(pixels).over(_order())))
+
+
 def streak(condition: Column) -> Column:
     """How many rows in a row up to this one meet a condition; null (a first frame has no motion) doesn't."""
     row = F.row_number().over(_order())

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import best_match, nearest_height, right_of
+from ..functions.bind import let
+from ..functions.dates import iso_date
+from ..functions.geometry import best_match, in_band, nearest_height, right_of
+from ..functions.text import token
 
 
 def matched_boxes(pages: DataFrame) -> DataFrame:
@@ -65,3 +68,19 @@ def clustered_lines(pages: DataFrame, tolerance: float = 12.0) -> DataFrame:
 
     out = pages.select("card_id", "words").mapInPandas(run, "card_id long, lines array<string>")
     return out.select("card_id", F.posexplode("lines").alias("line_no", "text"))
+
+
+def date_of_death(words: Column, slack: int = 18, gap: int = 4) -> Column:
+    """ISO date from a page's words: those right of the surest word that names the death, in its band of heights, up to a word
+    that names burial or birth. The first of equally sure words counts."""
+
+    def read(anchor: Column) -> Column:
+        right = F.filter(in_band(words, anchor[1] - slack, anchor[3] + slack), lambda w: w["bbox"][0] >= anchor[2] + gap)
+        other = lambda w: token(w["text"]).rlike("burial|birth|^dob$")
+        end = lambda r: F.array_position(F.transform(r, other), F.lit(True)).cast("int")
+        near = let(right, lambda r: F.slice(r, 1, F.when(end(r) > 0, end(r) - 1).otherwise(F.size(r))))
+        return iso_date(F.array_join(F.transform(near, lambda w: w["text"]), " "))
+
+    named = F.filter(words, lambda w: F.contains(token(w["text"]), F.lit("death")))
+    surest = F.array_max(F.transform(named, lambda w, i: F.struct(w["confidence"].alias("c"), (-i).alias("i"), w["bbox"].alias("bbox"))))
+    return let(surest["bbox"], read)

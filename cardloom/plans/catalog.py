@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cards, evaluation, frames, streams, texts
+from . import cards, evaluation, frames, records, streams, texts
 
-_PARTS = (evaluation, cards, texts, frames, streams)
+_PARTS = (evaluation, cards, texts, frames, records, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

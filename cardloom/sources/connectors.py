@@ -33,21 +33,28 @@ def retried(call: Callable[[], tuple], tries: int = 3, backoff: float = 1.0, jit
     raise ValueError("tries must be positive")
 
 
-def recognized(images: DataFrame, make: Callable[[], Recognizer], *, tries: int = 3, backoff: float = 1.0) -> DataFrame:
-    """images (card_id, content) with raw_text, confidence, latency_ms and error."""
+def recognized(images: DataFrame, make: Callable[[], Recognizer], second: Callable[[], Recognizer] | None = None, *, tries: int = 3, backoff: float = 1.0) -> DataFrame:
+    """images (card_id, content) with raw_text, confidence, latency_ms and error. What the first engine fails on is read by
+    the second in the same task, so that no image is sent to an engine twice."""
+
+    def attempt(engine: Recognizer, content: bytes) -> tuple:
+        try:
+            text, confidence = retried(lambda: engine.read(content), tries, backoff)
+            return text, float(confidence), None
+        except Exception as e:  # noqa: BLE001  whatever an engine raises belongs to its row
+            return None, 0.0, str(e) or type(e).__name__
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = make()
+        engine, other = make(), None
         for b in batches:
             rows = []
             for content in b["content"]:
                 began = time.perf_counter()
-                try:
-                    text, confidence = retried(lambda content=content: engine.read(content), tries, backoff)
-                    rows.append((text, float(confidence), None))
-                except Exception as e:  # noqa: BLE001  whatever an engine raises belongs to its row
-                    rows.append((None, 0.0, str(e) or type(e).__name__))
-                rows[-1] += ((time.perf_counter() - began) * 1000,)
+                got = attempt(engine, content)
+                if got[2] is not None and second is not None:
+                    other = other or second()
+                    got = attempt(other, content)
+                rows.append((*got, (time.perf_counter() - began) * 1000))
             out = pd.DataFrame(rows, columns=["raw_text", "confidence", "error", "latency_ms"])
             out.insert(0, "card_id", b["card_id"].to_numpy())
             yield out
@@ -57,11 +64,7 @@ def recognized(images: DataFrame, make: Callable[[], Recognizer], *, tries: int
 
 def with_fallback(images: DataFrame, first: Callable[[], Recognizer], second: Callable[[], Recognizer] | None, **how) -> DataFrame:
     """Rows that fail with the first engine go to the second, if there is one."""
-    done = recognized(images, first, **how)
-    if second is None:
-        return done
-    failed = images.join(done.where(F.col("error").isNotNull()).select("card_id"), "card_id", "left_semi")
-    return done.where(F.col("error").isNull()).unionByName(recognized(failed, second, **how))
+    return recognized(images, first, second, **how)
 
 
 def tesseract_words(rows: DataFrame) -> DataFrame:
