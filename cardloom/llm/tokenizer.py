@@ -35,9 +35,10 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """``ids(text)`` gives a text's ids as a numpy array, special strings handled as the file's library does by default."""
+    """``ids(text)`` gives a text's ids as a numpy array, special strings handled as the file's library does by default, or
+    with ``plain`` read as the text that they are."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._fast = self._own = self._piece = None
         if path.endswith(".model"):
@@ -52,7 +53,8 @@ class Encoder:
         self._own.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._special = [t["content"] for t in spec.get("added_tokens") or []]
+        self._own.encode_special_tokens = plain
+        self._special = [] if plain else [t["content"] for t in spec.get("added_tokens") or []]
         if self._is_plain_byte_bpe(spec):
             import tiktoken
 
@@ -84,6 +86,23 @@ class Encoder:
         return np.asarray(self._own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of a text that each id stands for; none for those that stand for no bytes."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace("\u2581", " ").encode() for i in range(m.get_piece_size())]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters, special = _byte_alphabet(), {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    out = [b""] * (1 + max([*spec["model"]["vocab"].values(), *special.values()]))
+    for k, v in spec["model"]["vocab"].items():
+        if k not in special:
+            out[v] = bytes(letters[c] for c in k)
+    return out
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
