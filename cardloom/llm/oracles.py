@@ -52,3 +52,22 @@ every AS (SELECT measure, q10 AS a10, q90 AS a90 FROM ({_quantiles("(SELECT meas
 bad AS (SELECT DISTINCT doc_id FROM long l JOIN own f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure JOIN every e ON e.measure = l.measure WHERE {_beyond()})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """
+
+# CRC-32 of the id's digits, bit by bit: a step is a character, or -1 for a shift
+_CRC = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+parts AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(sha256(role) || text) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM parts),
+paths AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM c UNION ALL SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth), words FROM turns),
+nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY depth, path),
+children AS (SELECT left(path, -64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.path = n.path),
+sums AS (SELECT path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT left(path, 64 * unnest(range(depth + 1))) AS path, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * words AS saved FROM own) GROUP BY path),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, path FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own o JOIN sums s ON s.path = o.path LEFT JOIN nodes p ON o.depth > 0 AND p.path = left(o.path, -64) LEFT JOIN ends e ON e.path = o.path
+"""

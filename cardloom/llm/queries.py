@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, mixing, near_dedup, oracles, packing, pii, quality_crf, quality_rules, token_counts, toxicity
+from . import alignment, ann, html_extract, licenses, mixing, near_dedup, oracles, packing, pii, prefix_trie, quality_crf, quality_rules, token_counts, toxicity
 from .shared import shared_folder, table
 
 #: Where the public tokenizer files lie.
@@ -70,6 +70,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_crf": op2_quality_crf,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_html": op9_html,
     "op10_ann": op10_ann,
+    "op11_alignment": op11_alignment,
+    "op12_licenses": op12_licenses,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY_RULES, "op8_near_dedup": oracles.NEAR_DEDUP}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY_RULES, "op8_near_dedup": oracles.NEAR_DEDUP, "op13_prefix_trie": oracles.PREFIX_TRIE}
