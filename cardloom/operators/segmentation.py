@@ -1,19 +1,22 @@
 """Stable captures from ordered frame measurements: hysteresis segments, best frames, removal of repeats.
 
-Without the backstop everything is windows over (video_id, frame_number): one shuffle by video, which all windows share.
+Without the backstop everything but repeats is windows over (video_id, frame_number): one shuffle by video, which all windows
+share. Repeats and the backstop depend on decisions before them: there a video's rows pass in order, one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geometry import hamming, mean_difference
+from ..functions.geometry import mean_difference
 from ..params import Backstop, Segmentation
+from ..schemas import struct_of
+from .tracker import Log, Tracker
 
 
 def _order() -> WindowSpec:
@@ -89,24 +92,49 @@ def judged(found: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
     return found.withColumn("decision", decision).withColumn("needs_review", review).withColumn("extraction_confidence", F.when(review, "low").otherwise("high"))
 
 
+def _in_order(frames: DataFrame, key: str, order: str, columns: list[str], visit: Callable, schema: str) -> DataFrame:
+    """``visit(key)`` makes a pair of functions for each key: one takes its rows one by one, in order, the other ends it; both
+    give rows. Rows come sorted and are read as a stream, so a key of any length is never held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, current, step, end = to_arrow_schema(struct_of(schema)), None, None, None
+        for b in batches:
+            out: list[dict] = []
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if step is None or k != current:
+                    out += end() if end else []
+                    current, (step, end) = k, visit(k)
+                out += step(*row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=to)
+        if end and (out := list(end())):
+            yield pa.RecordBatch.from_pylist(out, schema=to)
+
+    return frames.repartition(F.col(key)).sortWithinPartitions(key, order).select(key, *columns).mapInArrow(run, schema)
+
+
 def without_repeats(rows: DataFrame, key: str, order: str, distance: int) -> DataFrame:
     """rows (key, order, hash) with accepted, sequence_index and the distance to the last accepted row before.
 
-    A row is a repeat if its hash is nearer than ``distance`` to the last accepted one, which only accepted rows move: a
-    fold over the ordered rows of a key.
+    A row is a repeat if its hash is nearer than ``distance`` to the last accepted one, which only accepted rows move. A null
+    hash is at no distance and accepted.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("hash").alias("h"))))
-    empty = F.array().cast("array<struct<o:int,ok:boolean,n:int,d:int>>")
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), empty.alias("out"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def visit(k):
+        last, n = None, 0
+
+        def step(o, bits):
+            nonlocal last, n
+            d = None if last is None or bits is None else ((last ^ bits) & (1 << 64) - 1).bit_count()
+            ok = d is None or d >= distance
+            if ok:
+                last, n = bits, n + 1
+            return [{key: k, order: o, "accepted": ok, "sequence_index": n if ok else None, "duplicate_distance": d}]
 
-    def step(s: Column, x: Column) -> Column:
-        d = hamming(s["last"], x["h"])
-        ok = F.coalesce(d >= distance, F.lit(True))
-        n = s["n"] + ok.cast("int")
-        row = F.struct(x["o"].cast("int").alias("o"), ok.alias("ok"), F.when(ok, n).alias("n"), d.alias("d"))
-        return F.struct(F.when(ok, x["h"]).otherwise(s["last"]).alias("last"), n.alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
+        return step, lambda: []
 
-    return rows.groupBy(key).agg(items.alias("items")).select(key, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.ok").alias("accepted"), F.col("r.n").alias("sequence_index"), F.col("r.d").alias("duplicate_distance"))
+    return _in_order(rows, key, order, [order, "hash"], visit, f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean, sequence_index int, duplicate_distance int")
 
 
 def decisions(frames: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
@@ -119,88 +147,26 @@ def decisions(frames: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
     return out.withColumn("decision", final).drop("__v", "__s", "accepted")
 
 
-class Tracker:
-    """The segmenter as a state machine, frame by frame: for streams, and for batches with the backstop."""
-
-    def __init__(self, p: Segmentation = Segmentation(), backstop: Backstop | None = None):
-        self.p, self.b = p, backstop
-        self.mode, self.high, self.low, self.segment = "idle", 0, 0, 0
-        self.seed: list[tuple] = []
-        self.window: list[tuple] = []
-        self.anchor: np.ndarray | None = None
-        self.positive = self.checked = 0
-
-    def push(self, frame: int, motion: float, sharpness: float, cells: np.ndarray | None = None) -> Iterator[dict]:
-        """Takes the next frame; yields each window that ends with it."""
-        p, row = self.p, (frame, motion, sharpness, cells)
-        self.high = self.high + 1 if motion >= p.enter else 0
-        self.low = self.low + 1 if motion <= p.exit else 0
-        self.seed = [*self.seed, row][-max(p.exit_frames, self.b.seed if self.b else 0) :]
-        if self.mode == "stable":
-            if self.high >= p.enter_frames:
-                yield self._closed(False)
-                self.mode = "moving"
-                return
-            self.window.append(row)
-            if self.b and cells is not None:
-                yield from self._backstop(frame, cells)
-        elif self.high >= p.enter_frames:
-            self.mode = "moving"
-        elif self.mode == "moving" and self.low >= p.exit_frames:
-            self._open(self.seed[-p.exit_frames :])
-
-    def _open(self, rows: list[tuple]) -> None:
-        self.mode, self.window = "stable", list(rows)
-        self.segment += 1
-        self.anchor, self.positive, self.checked = None, 0, 0
-
-    def _backstop(self, frame: int, cells: np.ndarray) -> Iterator[dict]:
-        b, n = self.b, len(self.window)
-        if n < b.start or n - self.checked < b.interval and self.checked:
-            return
-        self.checked = n
-        if self.anchor is None:
-            self.anchor = cells
-            return
-        if int((np.abs(cells - self.anchor) >= b.cell_change).sum()) < b.cells:
-            self.anchor, self.positive = cells, 0
-            return
-        self.positive += 1
-        if self.positive >= b.checks:
-            tail = self.window[-b.seed :]
-            self.window = self.window[: -b.seed]
-            yield self._closed(False)
-            self._open(tail)
-
-    def finish(self) -> Iterator[dict]:
-        """The window in which the frames end."""
-        if self.mode == "stable" and self.window:
-            yield self._closed(True)
-            self.mode = "idle"
-
-    def _closed(self, eof: bool) -> dict:
-        p, w = self.p, self.window
-        inner = [(f, round((m + w[i + 2][1]) / 2, 6), s) for i, (f, m, s, _) in enumerate(w[1:-1])]
-        calm = [x for x in inner if x[1] <= p.candidate_motion]
-        pick = min(calm, key=lambda x: (x[1], -x[2], x[0])) if calm else min(inner, key=lambda x: (round(-(x[2] - p.fallback_weight * x[1]), 6), x[1], -x[2], x[0])) if inner else (None, None, None)
-        return {"segment": self.segment, "first_frame": w[0][0], "final_frame": w[-1][0], "frames": len(w), "eof": eof, "fallback": not calm and bool(inner), "frame_number": pick[0], "local_motion": pick[1], "sharpness": pick[2]}
-
-
-TRACKED = "video_id long, segment int, first_frame int, final_frame int, frames int, eof boolean, fallback boolean, frame_number int, local_motion double, sharpness double"
+WINDOWS = "segment int, first_frame int, final_frame int, frames int, eof boolean, fallback boolean, frame_number int, local_motion double, sharpness double, hash long"
+LOGGED = f"{WINDOWS}, decision string, sequence_index int, needs_review boolean, extraction_confidence string, duplicate_distance int, duplicate_of_frame_number int"
 
 
 def tracked(frames: DataFrame, p: Segmentation = Segmentation(), backstop: Backstop | None = None) -> DataFrame:
-    """Windows by the state machine, with the backstop if asked for. frames may hold cells (array<double>): a video's frames
-    form one group, as the backstop's resets depend on its own past decisions."""
-    columns = ["video_id", "frame_number", "motion", "sharpness", *(["cells"] if "cells" in frames.columns else [])]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, out = Tracker(p, backstop), []
-        for r in pdf.sort_values("frame_number").itertuples(index=False):
-            out += t.push(r.frame_number, r.motion, r.sharpness, np.asarray(r.cells) if "cells" in columns else None)
-        out += t.finish()
-        df = pd.DataFrame(out, columns=["segment", "first_frame", "final_frame", "frames", "eof", "fallback", "frame_number", "local_motion", "sharpness"])
-        df.insert(0, "video_id", pdf["video_id"].iloc[0])
-        return df
-
-    return frames.select(columns).groupBy("video_id").applyInPandas(run, TRACKED)
+    """Windows by the state machine with their decisions, with the backstop if asked for.
+
+    frames: video_id, frame_number, motion, sharpness, and if there are such hash and cells (array<double>).
+    """
+    for name, kind in (("hash", "long"), ("cells", "array<double>")):
+        if name not in frames.columns:
+            frames = frames.withColumn(name, F.lit(None).cast(kind))
+
+    def visit(video):
+        machine, log = Tracker(p, backstop), Log(p)
+
+        def step(*row):
+            return [{"video_id": video} | log.decided(w) for w in machine.push(*row)]
+
+        return step, lambda: [{"video_id": video} | log.decided(w) for w in machine.finish()]
+
+    kind = frames.schema["video_id"].dataType.simpleString()
+    return _in_order(frames, "video_id", "frame_number", ["frame_number", "motion", "sharpness", "hash", "cells"], visit, f"video_id {kind}, {LOGGED}")

@@ -35,6 +35,7 @@ class Backstop:
     cells: int = 2
     checks: int = 2
     seed: int = 6
+    grid: int = 16
 
 
 @dataclass(frozen=True)

@@ -65,9 +65,17 @@ def frame_judgement(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.judged(segmentation.candidates(A.frames(spark, d), SHORT), SHORT).select("video_id", "segment", "decision", "needs_review")
 
 
-@query()
+_DECISIONS = f"""WITH RECURSIVE frames AS ({A.SQL['frames']}), {_CHOSEN},
+judged AS (SELECT *, CASE WHEN frames < 4 OR frame_number IS NULL THEN 'rejected_short_stable' WHEN sharpness < 20 THEN 'rejected_blur' END AS decision, frames < 6 OR eof OR fallback OR coalesce(sharpness < 20, false) AS needs_review FROM chosen),
+due AS (SELECT j.video_id, segment, hash, row_number() OVER (PARTITION BY j.video_id ORDER BY segment) AS k FROM judged j JOIN frames f ON f.video_id = j.video_id AND f.frame_number = j.frame_number WHERE decision IS NULL),
+fold AS (SELECT video_id, segment, k, hash AS last, true AS ok, 1 AS n FROM due WHERE k = 1
+  UNION ALL SELECT due.video_id, due.segment, due.k, CASE WHEN x.ok THEN due.hash ELSE fold.last END, x.ok, fold.n + x.ok::INT FROM fold JOIN due ON due.video_id = fold.video_id AND due.k = fold.k + 1, LATERAL (SELECT bit_count(xor(due.hash, fold.last)) >= 6 AS ok) x)
+SELECT j.video_id, j.segment, coalesce(decision, CASE WHEN ok THEN 'accepted' ELSE 'rejected_dedup' END) AS decision, CASE WHEN ok THEN n END AS sequence_index, frame_number, needs_review FROM judged j LEFT JOIN fold f ON f.video_id = j.video_id AND f.segment = j.segment"""
+
+
+@query(_DECISIONS)
 def frame_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The whole decision log; frame_judgement and frame_dedup check its two halves by SQL."""
+    """The whole decision log."""
     return segmentation.decisions(A.frames(spark, d), SHORT).select("video_id", "segment", "decision", "sequence_index", "frame_number", "needs_review")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from .params import FIELDS
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<int>": T.ArrayType(T.IntegerType())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType())}
 
 
 def struct_of(text: str) -> T.StructType:

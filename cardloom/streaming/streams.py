@@ -1,64 +1,53 @@
-"""The ordered operators over unbounded input."""
+"""Login limits and windowed counts over unbounded input; the segmenter is in ``segments``."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.segmentation import TRACKED, Tracker
-from ..params import Segmentation
 
+class Limiter(StatefulProcessor):
+    """State of a client: its recent failures and until when it is locked out; it goes when neither can matter any more."""
 
-def segment_stream(frames: DataFrame, p: Segmentation = Segmentation()) -> DataFrame:
-    """Windows of each video as they end. frames: video_id, frame_number, motion, sharpness, final (true on a video's last
-    frame, which closes its open window). A video's frames must arrive in order across batches; inside one they're sorted.
+    def __init__(self, failures: int, seconds: float, locked: float):
+        self._failures, self._seconds, self._locked = failures, seconds, locked
 
-    State is one bounded tracker for each video: a few frames and counters, and the frames of the open window.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("attempts", "recent array<double>, until double, timer long")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = pickle.loads(state.get[0]) if state.exists else Tracker(p)
-        out, final = [], False
-        for r in pd.concat(list(batches)).sort_values("frame_number").itertuples(index=False):
-            out += t.push(int(r.frame_number), float(r.motion), float(r.sharpness))
-            if r.final:
-                out += t.finish()
-                final = True
-        if final:
-            state.remove()
-        else:
-            state.update((pickle.dumps(t),))
-        df = pd.DataFrame(out, columns=["segment", "first_frame", "final_frame", "frames", "eof", "fallback", "frame_number", "local_motion", "sharpness"])
-        df.insert(0, "video_id", key[0])
-        yield df
-
-    return frames.groupBy("video_id").applyInPandasWithState(run, TRACKED, "tracker binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def lockouts(attempts: DataFrame, *, failures: int = 5, seconds: int = 60, locked: int = 900) -> DataFrame:
-    """Attempts (client, at seconds, ok) with whether each was refused: so many failures within so many seconds lock a
-    client out for a while; a success clears them; refused attempts are not recorded."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
-            recent = [x for x in recent if x >= r.at - seconds]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recent, until, timer = self._state.get() if self._state.exists() else ([], 0.0, None)
+        recent, out = list(recent), []
+        for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples(index=False):
+            recent = [x for x in recent if x >= r.at - self._seconds]
             refused = r.at < until
             if not refused:
                 recent = [] if r.ok else [*recent, r.at]
-                if len(recent) >= failures:
-                    until, recent = r.at + locked, []
-            rows.append((key[0], r.at, bool(r.ok), refused))
-        state.update((recent, until))
-        yield pd.DataFrame(rows, columns=["client", "at", "ok", "refused"])
-
-    return attempts.groupBy("client").applyInPandasWithState(run, "client long, at double, ok boolean, refused boolean", "recent array<double>, until double", "append", GroupStateTimeout.NoTimeout)
+                if len(recent) >= self._failures:
+                    until, recent = r.at + self._locked, []
+            out.append((key[0], r.at, bool(r.ok), refused))
+        if timer is not None:
+            self._handle.deleteTimer(timer)
+        timer = int(1000 * max([until, out[-1][1], *(x + self._seconds for x in recent)])) + 1
+        self._handle.registerTimer(timer)
+        self._state.update((recent, until, timer))
+        yield pd.DataFrame(out, columns=["client", "at", "ok", "refused"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._state.clear()
+        return iter([])
+
+
+def lockouts(attempts: DataFrame, *, failures: int = 5, seconds: int = 60, locked: int = 900, late: str = "0 seconds") -> DataFrame:
+    """Attempts (client, at seconds, ok) with whether each was refused: so many failures within so many seconds lock a
+    client out for a while; a success clears them; refused attempts are not recorded. Attempts later than the watermark are dropped."""
+    timed = attempts.select("client", "at", "ok", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("client").transformWithStateInPandas(Limiter(failures, seconds, locked), "client long, at double, ok boolean, refused boolean", "Append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
