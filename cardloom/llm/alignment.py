@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ TOGETHER, LINKS = 2_000, 1_000_000
 REMEMBERED = 2_000_000
 #: An id of the second tokenizer in a pair's code.
 BITS = 20
+LOW = (1 << BITS) - 1
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 BLOCKS = f"block long, doc_id array<long>, {', '.join(f'{c} array<int>' for c in COUNTS)}, groups_sha256 array<string>, distinct array<int>, at array<int>, times array<int>, pairs array<long>, docs array<int>"
@@ -74,9 +76,14 @@ class Transducer:
             self._leads.append(name[0])
         return self._states[name]
 
+    def _after(self, state: int, token: int) -> int:
+        """``_step``, remembered."""
+        after = self._next[state << BITS | token] = self._step(state, token)
+        return after
+
     def _alone(self, code: int) -> str:
         """The text of the group that one token of each side closes, empty if they don't; remembered for both steps at once."""
-        x, y = code >> BITS, code & (1 << BITS) - 1
+        x, y = code >> BITS, code & LOW
         at = self._step(0, x)
         closes = at > 0 and self._leads[at] and self._step(at, y) == 0
         return f"{x}|{y}" if closes else ""
@@ -87,44 +94,44 @@ class Transducer:
             self._next.clear()
             self._pairs.clear()
         get, pair, leads = self._next.get, self._pairs.get, self._leads
-        i = j = 0
-        n, m = len(a), len(b)
-        groups, links = [], []
-        while i < n and j < m:
-            code = a[i] << BITS | b[j]
+        left, right = iter([x << BITS for x in a]), iter(b)
+        groups, links, more = [], [], 0
+        closed, linked = groups.append, links.append
+        for code in map(or_, left, right):  # a token of each side from the empty suffix
             alone = pair(code)
             if alone is None:
                 alone = self._pairs[code] = self._alone(code)
             if alone:
-                groups.append(alone)
-                links.append(code)
-                i += 1
-                j += 1
+                closed(alone)
+                linked(code)
                 continue
-            state, k, h = 0, i, j
-            while True:
+            x, y = code & ~LOW, code & LOW
+            xs, ys, held = [x >> BITS], [y], True  # y is read, but not yet taken
+            state = get(x >> BITS)
+            if state is None:
+                state = self._after(0, x >> BITS)
+            while state > 0:
                 if leads[state]:
-                    if j == m:
-                        return None
-                    token = b[j]
-                    j += 1
+                    if not held:
+                        if (y := next(right, -1)) < 0:
+                            return None
+                        ys.append(y)
+                    held, token = False, y
                 else:
-                    if i == n:
+                    if (x := next(left, -1)) < 0:
                         return None
-                    token = a[i]
-                    i += 1
-                if state:
-                    links.append(a[i - 1] << BITS | b[j - 1])
+                    token = x >> BITS
+                    xs.append(token)
+                linked(x | y)
                 key = state << BITS | token
-                state = get(key)
-                if state is None:
-                    state = self._next[key] = self._step(key >> BITS, token)
-                if state <= 0:
-                    break
+                after = get(key)
+                state = self._after(state, token) if after is None else after
             if state < 0:
                 return None
-            groups.append(",".join(map(str, a[k:i])) + "|" + ",".join(map(str, b[h:j])))
-        return (groups, links) if i == n and j == m else None
+            more += len(xs) - 1
+            closed(",".join(map(str, xs)) + "|" + ",".join(map(str, ys)))
+        # where one side has no more tokens map() may have taken one of the other
+        return (groups, links) if len(groups) + more == len(a) and next(right, None) is None else None
 
 
 @lru_cache(maxsize=2)
@@ -141,7 +148,7 @@ def _blocks(a_path: str, b_path: str):
 
         def aligned(text: str) -> tuple[tuple, np.ndarray, np.ndarray]:
             spaced = " " + text
-            a, b = enc_a.ids(spaced).tolist(), enc_b.ids(text).tolist()
+            a, b = enc_a.listed(spaced), enc_b.listed(text)
             if b"".join([a_bytes[i] for i in a]) != spaced.encode() or (found := machine.align(a, b)) is None:  # b's bytes are then a's
                 return (0, 0, 0, 0, ""), nothing, nothing
             groups, links = found

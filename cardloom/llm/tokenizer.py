@@ -85,6 +85,14 @@ class Encoder:
             return self._fast.encode_to_numpy(text, disallowed_special=())
         return np.asarray(self._own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def listed(self, text: str) -> list[int]:
+        """As ``ids``, as a list."""
+        if self._piece:
+            return self._piece.encode(text, num_threads=1)
+        if self._fast and not any(s in text for s in self._special) and not ODD_SPACE.search(text):
+            return self._fast.encode_ordinary(text)
+        return self._own.encode(text, add_special_tokens=False).ids
+
 
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of a text that each id stands for; none for those that stand for no bytes."""
