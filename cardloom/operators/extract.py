@@ -10,6 +10,7 @@ from ..functions.bind import let
 from ..functions.scoring import acceptable
 from ..functions.text import blank_to_null, is_label_line, lines, outer_json, standard_name, without_address
 from ..params import ALIASES, FIELDS
+from . import layout
 
 _DEATH, _BURIAL = r"(?i)date\s+of\s+death", r"(?i)date\s+of\s+burial"
 _STOPS = "date of burial|date of birth|description|sex|age|undertaker"
@@ -88,3 +89,23 @@ def answer_text(response: Column) -> Column:
 
 def extracted(cards: DataFrame, text: str = "raw_text") -> DataFrame:
     return cards.withColumn("fields", all_fields(F.col(text))).select(*cards.columns, "fields.*")
+
+
+def of_cards(cards: DataFrame) -> DataFrame:
+    """cards with read_from and the canonical fields, each card read from what it has: ``answer`` (map of fields), else ``words``, by
+    layout, else ``raw_text``, of which only name and date of death are taken. Cards with nothing have nulls.
+
+    Rows are split by what they have, so that no card is read twice.
+    """
+    none = F.lit(None).cast("string")
+    has = F.when(F.size(F.coalesce("answer", F.create_map().cast("map<string,string>"))) > 0, "fields").when(F.coalesce(F.size("words"), F.lit(0)) > 0, "words")
+    cards = cards.withColumn("read_from", F.coalesce(has, F.when(blank_to_null(F.col("raw_text")).isNotNull(), "text"), F.lit("nothing")))
+    keep = cards.columns
+    given = cards.where("read_from = 'fields'").withColumn("__c", canonical(F.col("answer"))).select(*keep, *[F.col("__c")[f].alias(f) for f in FIELDS])
+    text = cards.where("read_from = 'text'").withColumn("__m", minimal_fields(F.col("raw_text"))).select(*keep, *[(F.col(f"__m.{f}") if f in ("deceased_name", "date_of_death") else none).alias(f) for f in FIELDS])
+    nothing = cards.where("read_from = 'nothing'").select(*keep, *[none.alias(f) for f in FIELDS])
+    laid = layout.parsed(cards.where("read_from = 'words'"))
+    value = lambda f: F.col(f"fields.{f}.value")
+    same = {ALIASES.get(f, f): value(f) for f in layout.FIELDS}
+    placed = laid.select(*keep, *[same.get(f, none).alias(f) for f in FIELDS])
+    return given.unionByName(text).unionByName(nothing).unionByName(placed)

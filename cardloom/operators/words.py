@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.dates import iso_date
 from ..functions.geometry import best_match, in_band, nearest_height, right_of
+from ..functions.page import lines, texts
 from ..functions.text import token
 
 
@@ -43,31 +43,8 @@ def nearest_to(pages: DataFrame, y: float, most: int) -> DataFrame:
 
 
 def clustered_lines(pages: DataFrame, tolerance: float = 12.0) -> DataFrame:
-    """(card_id, line_no, text): words by height, each joining the first line whose mean height is near enough.
-
-    The running means make membership depend on the order, so a page's words are read in sequence, in Arrow batches.
-    """
-
-    def lines_of(words: list) -> list[str]:
-        lines: list[list] = []  # mean, words
-        for w in sorted(words, key=lambda w: (w["bbox"][1], w["bbox"][0])):
-            y = (w["bbox"][1] + w["bbox"][3]) / 2
-            for line in lines:
-                if abs(y - line[0]) <= tolerance:
-                    line[1].append(w)
-                    line[0] += (y - line[0]) / len(line[1])
-                    break
-            else:
-                lines.append([y, [w]])
-        lines.sort(key=lambda x: x[0])
-        return [" ".join(w["text"] for w in sorted(ws, key=lambda w: w["bbox"][0])) for _, ws in lines]
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"card_id": b["card_id"], "lines": [lines_of(list(w)) for w in b["words"]]})
-
-    out = pages.select("card_id", "words").mapInPandas(run, "card_id long, lines array<string>")
-    return out.select("card_id", F.posexplode("lines").alias("line_no", "text"))
+    """(card_id, line_no, text): words by height, each joining the first line whose mean height is near enough."""
+    return pages.select("card_id", F.posexplode(texts(lines(F.col("words"), tolerance))).alias("line_no", "text"))
 
 
 def date_of_death(words: Column, slack: int = 18, gap: int = 4) -> Column:

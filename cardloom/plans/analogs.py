@@ -65,11 +65,15 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").cast("int").alias("segment"), sign_bits(F.col("embedding")).alias("hash"))
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each document: its words with boxes (line by line, word by word), and four boxes to match."""
-    lines = F.split("text", "\n")
+def page_words(text: Column) -> Column:
+    """A text's words with boxes, line by line, word by word."""
     word = lambda w, y, x: F.struct(w.alias("text"), (F.length(w) * 7 % 100).cast("int").alias("confidence"), F.array(x * 60, y * 20, x * 60 + F.length(w) * 5, y * 20 + 12).alias("bbox"))
-    every = F.flatten(F.transform(lines, lambda line, y: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w, x: word(w, y, x))))
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line, y: F.transform(F.filter(F.split(line, " "), lambda w: w != ""), lambda w, x: word(w, y, x))))
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each document: its words with boxes, and four boxes to match."""
+    every = page_words(F.col("text"))
     k = (F.col("doc_id") % 7).cast("int")
     support = F.array(*[F.array(k * 3 + i * 60, F.lit(i % 2 * 20 + 1), k * 3 + i * 60 + 30, F.lit(i % 2 * 20 + 13)) for i in range(4)])
     return table(spark, d, "documents").select(F.col("doc_id").alias("card_id"), every.alias("words"), support.alias("support"))

@@ -125,9 +125,3 @@ def word_band_right_of_anchor(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH words AS ({A.SQL['words']}) SELECT d.doc_id AS card_id, n.text, n.confidence FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY abs((y1 + y2) / 2.0 - 50), word_no) AS r FROM words WHERE abs((y1 + y2) / 2.0 - 50) <= 10) n ON d.doc_id = n.card_id AND r = 1")
 def word_nearest_height(spark: SparkSession, d: str) -> DataFrame:
     return words.nearest_to(A.words(spark, d), 50.0, 10)
-
-
-@query()
-def word_lines_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Words grouped to lines again; tests hold it against the lines they came from."""
-    return words.clustered_lines(A.words(spark, d))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_folder
 from ..streaming import segments, streams
 from . import analogs as A
 from .frames import _CHOSEN, _DECISIONS, SHORT, _with
@@ -19,21 +18,10 @@ ORACLES: dict[str, str] = {}
 BATCHES = 6
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share. Without spark.checkpoint.dir only a local session has one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cardloom-")
-    return f"{found.rstrip('/')}/cardloom/stream-{uuid.uuid4().hex}"
-
-
 def in_batches(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``make`` over a stream of files. Each part is written when all before it have been read, by a query that starts anew
     from its checkpoint, so that state is carried over between batches and between runs."""
-    base = stream_folder(spark)
+    base = new_folder(spark, "stream")
     for k, v in segments.STATE_STORE.items():
         spark.conf.set(k, v)
     out = None
