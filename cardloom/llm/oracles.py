@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BITS, MEASURES, PRIOR, SLACK, SPREADS
+from .quality_rules import BITS, LEAST, MEASURES, PRIOR, SLACK, SPREADS
 
 _SPLIT = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -23,15 +23,15 @@ _SCALES = {"symbols": "n_symbols * 1000 / word_chars", "repeats": "n_repeat_word
 def _beyond() -> str:
     tests = []
     for k, below in MEASURES.items():
-        tests.append(f"(l.measure = '{k}' AND l.value > greatest(q50 + {SPREADS} * (q50 - q25), least(q90, a90)) + {SLACK[k]})")
+        tests.append(f"(l.measure = '{k}' AND l.value > q50 + {SPREADS} * greatest(q50 - q25, q50 // {LEAST}) + {SLACK[k]})")
         if below:
-            tests.append(f"(l.measure = '{k}' AND l.value < least(q50 - {SPREADS} * (q75 - q50), greatest(q10, a10)) - {SLACK[k]})")
+            tests.append(f"(l.measure = '{k}' AND l.value < q50 - {SPREADS} * greatest(q75 - q50, q50 // {LEAST}) - {SLACK[k]})")
     return " OR ".join(tests)
 
 
 def _quantiles(source: str, by: str) -> str:
     reached = lambda q: f"min(CASE WHEN up * 100 >= total * {q} THEN value END) AS q{q}"
-    return f"SELECT {by}measure, {', '.join(map(reached, (10, 25, 50, 75, 90)))} FROM (SELECT {by}measure, value, sum(n) OVER (PARTITION BY {by}measure ORDER BY value) AS up, sum(n) OVER (PARTITION BY {by}measure) AS total FROM {source}) GROUP BY ALL"
+    return f"SELECT {by}measure, {', '.join(map(reached, (25, 50, 75)))} FROM (SELECT {by}measure, value, sum(n) OVER (PARTITION BY {by}measure ORDER BY value) AS up, sum(n) OVER (PARTITION BY {by}measure) AS total FROM {source}) GROUP BY ALL"
 
 
 QUALITY_RULES = f"""
@@ -48,8 +48,7 @@ mixed AS (SELECT lang, source, measure, value, sum(n) AS n FROM (
   SELECT s.lang, s.source, s.measure, s.value, n * total AS n FROM sketch s JOIN (SELECT DISTINCT lang, measure, total FROM wide) w ON s.lang IS NOT DISTINCT FROM w.lang AND s.measure = w.measure
   UNION ALL SELECT w.lang, g.source, w.measure, w.value, n * {PRIOR} FROM wide w JOIN (SELECT DISTINCT lang, source, measure FROM sketch) g ON g.lang IS NOT DISTINCT FROM w.lang AND g.measure = w.measure) GROUP BY ALL),
 own AS ({_quantiles("mixed", "lang, source, ")}),
-every AS (SELECT measure, q10 AS a10, q90 AS a90 FROM ({_quantiles("(SELECT measure, value, sum(n) AS n FROM sketch GROUP BY ALL)", "")})),
-bad AS (SELECT DISTINCT doc_id FROM long l JOIN own f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure JOIN every e ON e.measure = l.measure WHERE {_beyond()})
+bad AS (SELECT DISTINCT doc_id FROM long l JOIN own f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure WHERE {_beyond()})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """
 
@@ -61,7 +60,8 @@ WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS tex
 c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
 parts AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
   UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
-turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(sha256(role) || text) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM parts),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(sha256(role) || text) AS digest, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM parts),
 paths AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM c UNION ALL SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth), words FROM turns),
 nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM paths GROUP BY depth, path),
 children AS (SELECT left(path, -64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),

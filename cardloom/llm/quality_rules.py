@@ -6,10 +6,10 @@ merge by adding counts, and the result doesn't depend on the order of merging. S
 merged into one per language and one of all texts. A group is judged by its own sketch with its language's mixed in, which weighs
 as much as PRIOR texts, whatever the sizes: one rule for all, in which a growing source outweighs its language.
 
-The upper fence lies SPREADS times the distance from the lower quartile to the median above the median, so junk among
-up to half of a source can't move it; where that is under the upper decile it is raised to it, but no further than the upper decile
-of all texts. The lower fence mirrors this. A text is rejected if it lies beyond a fence by more than a few single events
-(symbols, repeated windows, lines) or standard errors are worth in a text of its size. Texts join their fences.
+The upper fence lies SPREADS times the distance from the lower quartile to the median above the median, which counts as a 32nd of the median at
+least: it is taken from the lower half of a group only, so high junk in up to nearly half of it, in one source or in all of them at once, can't lift it beyond
+what the clean texts' own spread allows. The lower fence mirrors this. A text is rejected if it lies beyond a fence by more than a
+few single events (symbols, repeated windows, lines) or standard errors are worth in a text of its size. Texts join their fences.
 
 Cases: a null text has no words; texts without words fail the base rules and are no part of any sketch; null languages
 and sources are groups of their own; null or repeated ids and repeated rows each keep their row; an empty table gives
@@ -28,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Texts that a language's sketch weighs as in that of a source; distances from quartile to median from median to fence.
 PRIOR, SPREADS = 20, 9
+#: A distance counts as this part of the median at least.
+LEAST = 32
 #: Measure: whether low values are rejected too.
 MEASURES = {"symbols": False, "repeats": False, "lines": False, "length": True}
 #: What a text may be beyond a fence: events times the unit of the scale over its size, for length standard errors of mean word length.
@@ -126,27 +128,26 @@ def mixed_in(sketch: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """by, measure, q10, q25, q50, q75, q90: the values at which these shares of a group are reached."""
+    """by, measure, q25, q50, q75: the values at which these shares of a group are reached."""
     group = Window.partitionBy(*by, "measure")
     up = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     out = sketch.select(*by, "measure", "value", up.alias("up"), F.sum("n").over(group).alias("total"))
     reached = lambda q: F.min(F.when(F.col("up") * 100 >= F.col("total") * q, F.col("value"))).alias(f"q{q}")
-    return out.groupBy(*by, "measure").agg(*[reached(q) for q in (10, 25, 50, 75, 90)])
+    return out.groupBy(*by, "measure").agg(*[reached(q) for q in (25, 50, 75)])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source and for each measure its lower and upper fence: one row for each group."""
     own = quantiles(mixed_in(sketch), "lang", "source")
-    every = quantiles(merged(sketch)).select(F.col("measure").alias("m"), F.col("q10").alias("a10"), F.col("q90").alias("a90"))  # a row for each measure
-    both = own.join(F.broadcast(every), F.col("measure") == F.col("m"))
-    high = F.greatest(F.col("q50") + SPREADS * (F.col("q50") - F.col("q25")), F.least("q90", "a90"))
-    low = F.least(F.col("q50") - SPREADS * (F.col("q75") - F.col("q50")), F.greatest("q10", "a10"))
+    least = F.floor(F.col("q50") / LEAST)
+    high = F.col("q50") + SPREADS * F.greatest(F.col("q50") - F.col("q25"), least)
+    low = F.col("q50") - SPREADS * F.greatest(F.col("q75") - F.col("q50"), least)
     cases = []
     for k, below in MEASURES.items():
         cases.append(F.max(F.when(F.col("measure") == k, high)).alias(f"{k}_high"))
         if below:
             cases.append(F.max(F.when(F.col("measure") == k, low)).alias(f"{k}_low"))
-    return both.groupBy("lang", "source").agg(*cases)
+    return own.groupBy("lang", "source").agg(*cases)
 
 
 def judged(docs: DataFrame) -> DataFrame:
