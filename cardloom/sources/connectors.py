@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -67,6 +68,68 @@ def with_fallback(images: DataFrame, first: Callable[[], Recognizer], second: Ca
     return recognized(images, first, second, **how)
 
 
+class Model(Protocol):
+    """Made at most once in each task; reads one image and gives the fields of its answer."""
+
+    def answer(self, image: bytes) -> dict[str, object]: ...
+
+
+ANSWER = "deceased_name string, date_of_death string, usage_json string, raw_text string, latency_ms double, error string"
+
+
+def checked_answer(got: object) -> tuple[str, str, str, str]:
+    """An answer's fields, if it has the form that is asked for: a name and a date as texts, blank ones as null."""
+    if not isinstance(got, dict):
+        raise ValueError(f"the answer is {type(got).__name__}, not fields")
+    if lacking := [k for k in ("deceased_name", "date_of_death") if k not in got]:
+        raise ValueError(f"the answer lacks {', '.join(lacking)}")
+    texts = [got[k] for k in ("deceased_name", "date_of_death")]
+    if wrong := [type(t).__name__ for t in texts if t is not None and not isinstance(t, str)]:
+        raise ValueError(f"the answer has {wrong[0]} where a text belongs")
+    return *((t or "").strip() for t in texts), json.dumps(got.get("usage") or {}, sort_keys=True), str(got.get("raw_text") or "")
+
+
+def routed(cards: DataFrame, makers: dict[str, Callable[[], Model]], *, tries: int = 3, backoff: float = 1.0) -> DataFrame:
+    """cards (card_id, model_id, content) with what the model that each row names answers: ANSWER.
+
+    A task makes a model when a row first asks for it and keeps it to its end. A model that can't be made, is unknown, fails or
+    answers in another form is an error of its rows; the others go on. Latency covers all tries. Rows of a model may be spread
+    over any number of tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool: dict[str, Model | Exception] = {}
+
+        def model_of(name: str) -> Model:
+            if name not in pool:
+                try:
+                    pool[name] = makers[name]()
+                except KeyError:
+                    pool[name] = ValueError(f"no model is named {name}")
+                except Exception as e:  # noqa: BLE001  a model that can't be made is an error of its rows
+                    pool[name] = e
+            if isinstance(pool[name], Exception):
+                raise pool[name]
+            return pool[name]
+
+        for b in batches:
+            rows = []
+            for name, content in zip(b["model_id"], b["content"], strict=True):
+                began = time.perf_counter()
+                try:
+                    got, error = retried(lambda: checked_answer(model_of(name).answer(content)), tries, backoff), None  # noqa: B023
+                except Exception as e:  # noqa: BLE001  whatever a model raises belongs to its row
+                    got, error = ("", "", "{}", ""), str(e) or type(e).__name__
+                rows.append((*got, (time.perf_counter() - began) * 1000, error))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+            out.insert(0, "model_id", b["model_id"].to_numpy())
+            out.insert(0, "card_id", b["card_id"].to_numpy())
+            yield out
+
+    kind = cards.schema["card_id"].dataType.simpleString()
+    return cards.select("card_id", "model_id", "content").mapInPandas(run, f"card_id {kind}, model_id string, {ANSWER}")
+
+
 def tesseract_words(rows: DataFrame) -> DataFrame:
     """Raw word rows of a local engine (text, conf, left, top, width, height, ...) as words with boxes; blanks and -1 go."""
     good = (F.col("conf") != -1) & (F.trim(F.coalesce("text", F.lit(""))) != "")
