@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cards, evaluation, frames, layouts, records, streams, texts
+from . import cards, evaluation, frames, layouts, operations, records, streams, texts
 
-_PARTS = (evaluation, cards, texts, frames, layouts, records, streams)
+_PARTS = (evaluation, cards, texts, frames, layouts, operations, records, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

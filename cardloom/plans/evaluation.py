@@ -83,3 +83,42 @@ def eval_normalized_match(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 2, "someone else").otherwise(F.concat(F.lit("  smith,   JOHN "), F.col("doc_id"))).alias("pred_deceased_name"), shown.alias("pred_date_of_death"), F.lit(None).cast("string").alias("error"),
     )
     return evaluation.compared(rows).select("card_id", "name_match", "dod_match", "exact_match")
+
+
+def _line(cols: list[str]) -> str:
+    return "'| ' || " + " || ' | ' || ".join(cols) + " || ' |'"
+
+
+_PCT, _MS = "printf('%.2f%%', {0} * 100)", "printf('%.1f', {0})"
+_P = {c: _PCT.format(c) for c in ("exact_accuracy", "name_accuracy", "dod_accuracy", "error_rate")}
+_M = {c: _MS.format(c) for c in ("latency_avg", "latency_p50", "latency_p95")}
+
+
+@query(
+    _WITH.rstrip() + f", s AS (SELECT model_id, {_MEASURES} FROM adjudicated GROUP BY model_id), b AS (SELECT model_id, difficulty_bucket, {_MEASURES} FROM adjudicated GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY exact_correct / total::DOUBLE DESC, name_correct / total::DOUBLE DESC, dod_correct / total::DOUBLE DESC, errors, latency_avg NULLS LAST, model_id) AS rank FROM s), "
+    "ls AS (SELECT 0 AS p, '' AS m, i AS q, '' AS k, line FROM (VALUES (0, '# Model comparison'), (1, ''), (2, 'Generated: 2024-01-01T00:00:00Z'), (3, ''), (4, '## Ranking'), (5, ''), (6, '| Rank | Model | Exact | Name | DoD | Errors | Avg RT (ms) | P95 RT (ms) |'), (7, '| --- | --- | ---: | ---: | ---: | ---: | ---: | ---: |')) t(i, line) "
+    f"UNION ALL SELECT 1, '', rank, '', {_line(['rank', 'model_id', _P['exact_accuracy'], _P['name_accuracy'], _P['dod_accuracy'], 'errors', _M['latency_avg'], _M['latency_p95']])} FROM r "
+    "UNION ALL SELECT 2, '', i, '', line FROM (VALUES (0, ''), (1, '## Per-Model Buckets'), (2, '')) t(i, line) "
+    f"UNION ALL SELECT 3, model_id, i, '', line FROM (SELECT model_id, unnest(['### ' || model_id, '', 'Overall: exact=' || {_P['exact_accuracy']} || ', name=' || {_P['name_accuracy']} || ', dod=' || {_P['dod_accuracy']} || ', errors=' || errors || '/' || total || ' (' || {_P['error_rate']} || '), roundtrip avg=' || {_M['latency_avg']} || 'ms p50=' || {_M['latency_p50']} || 'ms p95=' || {_M['latency_p95']} || 'ms', '', '| Bucket | Exact | Name | DoD | Errors | Error Rate | N |', '| --- | ---: | ---: | ---: | ---: | ---: | ---: |', '']) AS line, unnest([0, 1, 2, 3, 4, 5, 7]) AS i FROM r) "
+    f"UNION ALL SELECT 3, model_id, 6, difficulty_bucket, {_line(['difficulty_bucket', _P['exact_accuracy'], _P['name_accuracy'], _P['dod_accuracy'], 'errors', _P['error_rate'], 'total'])} FROM b) "
+    "SELECT (row_number() OVER (ORDER BY p, m, q, k) - 1)::INT AS line_no, line FROM ls"
+)
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the report."""
+    return evaluation.report_lines(evaluation.report(_adjudicated(spark, d)), "Model comparison", "2024-01-01T00:00:00Z")
+
+
+@query("SELECT count(*) AS total, round(avg((doc_id % 3 <> 2)::INT), 6) AS name_accuracy, round(avg((doc_id % 4 <> 1)::INT), 6) AS dod_accuracy, round(avg((doc_id % 4 = 2)::INT), 6) AS dod_blank_ok_rate FROM labels")
+def eval_two_fields(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = A.table(spark, d, "labels").select(F.lit("A, B").alias("gt_deceased_name"), F.when(k % 3 == 2, "C").otherwise(" A, B ").alias("pred_deceased_name"), F.when(k % 4 != 2, "2001-02-03").alias("gt_date_of_death"), F.when(k % 4 == 2, " ").when(k % 4 != 1, "2001-02-03").alias("pred_date_of_death"))
+    out = evaluation.two_field_accuracy(rows)
+    return out.select("total", *[F.round(c, 6).alias(c) for c in ("name_accuracy", "dod_accuracy", "dod_blank_ok_rate")])
+
+
+@query("SELECT o_orderpriority AS grp, round(quantile_cont(o_totalprice::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(o_totalprice::DOUBLE, 0.999), 6) AS p999, round(min(o_totalprice)::DOUBLE, 6) AS p0 FROM orders GROUP BY 1")
+def eval_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks over many different values."""
+    out = evaluation.percentiles(A.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p50": 0.5, "p999": 0.999, "p0": 0.0}, ranges=64)
+    return out.select(F.col("o_orderpriority").alias("grp"), *[F.round(c, 6).alias(c) for c in ("p50", "p999", "p0")])
