@@ -20,11 +20,20 @@ def meet(a: Column, b: Column) -> Column:
     return (a[0] < b[2]) & (a[1] < b[3]) & (a[2] > b[0]) & (a[3] > b[1])
 
 
-def best_match(box: Column, words: Column, least: float = 0.3) -> Column:
-    """struct<iou, at, confidence> of the word (struct with bbox and confidence) that covers a box best; the first on ties."""
-    placed = F.transform(words, lambda w, i: F.struct(w["bbox"].alias("bbox"), i.alias("i"), w["confidence"].alias("confidence")))
-    near = F.filter(placed, lambda w: meet(box, w["bbox"]))
-    scored = F.transform(near, lambda w: F.struct(iou(box, w["bbox"]).alias("iou"), (-w["i"]).alias("at"), w["confidence"].alias("confidence")))
+def around(boxes: Column) -> Column:
+    """The box around all boxes; null if there are none."""
+    edge = lambda i, of: of(F.transform(boxes, lambda b: b[i]))
+    return F.array(edge(0, F.array_min), edge(1, F.array_min), edge(2, F.array_max), edge(3, F.array_max))
+
+
+def within_reach(words: Column, boxes: Column) -> Column:
+    """array<struct<bbox, i, confidence>> of the words that share an area with the box around all boxes: no other can match one of them."""
+    return let(around(boxes), lambda box: F.filter(F.transform(words, lambda w, i: F.when(meet(box, w["bbox"]), F.struct(w["bbox"].alias("bbox"), i.alias("i"), w["confidence"].alias("confidence")))), lambda w: w.isNotNull()))
+
+
+def best_match(box: Column, near: Column, least: float = 0.3) -> Column:
+    """struct<iou, at, confidence> of the word (of ``within_reach``) that covers a box best; the first on ties."""
+    scored = F.transform(F.filter(near, lambda w: meet(box, w["bbox"])), lambda w: F.struct(iou(box, w["bbox"]).alias("iou"), (-w["i"]).alias("at"), w["confidence"].alias("confidence")))
     return let(F.array_max(scored), lambda top: F.when(top["iou"] >= least, F.struct(top["iou"].alias("iou"), (-top["at"]).alias("at"), top["confidence"].alias("confidence"))))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.dates import iso_date
-from ..functions.geometry import best_match, in_band, nearest_height, right_of
+from ..functions.geometry import best_match, in_band, nearest_height, right_of, within_reach
 from ..functions.page import lines, texts
 from ..functions.text import token
 
@@ -17,9 +17,9 @@ def matched_boxes(pages: DataFrame) -> DataFrame:
 
     The boxes and words of a page meet inside its row; nothing is joined across pages.
     """
-    box = F.posexplode("support").alias("box_no", "box")
-    out = pages.select("card_id", "words", box)
-    return out.withColumn("m", best_match(F.col("box"), F.col("words"))).select("card_id", "box_no", F.col("m.iou").alias("iou"), F.col("m.at").alias("word_no"), F.col("m.confidence").alias("confidence"))
+    near = pages.select("card_id", "support", within_reach(F.col("words"), F.col("support")).alias("near"))  # one pass over a page's words
+    out = near.select("card_id", "near", F.posexplode("support").alias("box_no", "box"))
+    return out.withColumn("m", best_match(F.col("box"), F.col("near"))).select("card_id", "box_no", F.col("m.iou").alias("iou"), F.col("m.at").alias("word_no"), F.col("m.confidence").alias("confidence"))
 
 
 def support_confidence(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,15 @@ class Review:
     review: float = 0.70
     page_size: int = 50
 
+    def __post_init__(self) -> None:
+        for name in ("auto_approve", "review"):
+            if not 0.0 <= getattr(self, name) <= 1.0:  # also false for what is no number
+                raise ValueError(f"{name} must be from 0 to 1")
+
+    def updated(self, **changes: float) -> Review:
+        """These thresholds with some changed, checked."""
+        return replace(self, **changes)
+
 
 #: The structured fields of a card, in canonical order (fixed values).
 FIELDS = (

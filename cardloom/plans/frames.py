@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import pixels
 from ..functions.geometry import hamming, sign_bits
 from ..operators import segmentation, words
 from ..params import Backstop, Segmentation
@@ -89,10 +90,10 @@ def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.without_repeats(A.hashes(spark, d), "video_id", "segment", 24).select("video_id", "segment", "accepted", "sequence_index")
 
 
-@query("SELECT vec_id, bit_count(h)::INT AS bits FROM (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << (63 - i) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings)")
+@query("SELECT vec_id, len(list_filter(range(1, 65), lambda i: (embedding[i] > 0) <> (i % 2 = 0)))::INT AS bits FROM embeddings")
 def hash_distance(spark: SparkSession, d: str) -> DataFrame:
-    e = A.table(spark, d, "embeddings")
-    return e.select("vec_id", hamming(sign_bits(F.slice("embedding", 2, 63)), F.lit(0).cast("long")).alias("bits"))
+    """Of the signs of all 64 components from a hash of which every second bit is set."""
+    return A.table(spark, d, "embeddings").select("vec_id", hamming(sign_bits(F.col("embedding")), F.lit(0x5555555555555555).cast("long")).alias("bits"))
 
 
 @query()
@@ -125,3 +126,24 @@ def word_band_right_of_anchor(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH words AS ({A.SQL['words']}) SELECT d.doc_id AS card_id, n.text, n.confidence FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY abs((y1 + y2) / 2.0 - 50), word_no) AS r FROM words WHERE abs((y1 + y2) / 2.0 - 50) <= 10) n ON d.doc_id = n.card_id AND r = 1")
 def word_nearest_height(spark: SparkSession, d: str) -> DataFrame:
     return words.nearest_to(A.words(spark, d), 50.0, 10)
+
+
+_GRAY = "g AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor(abs(v::DOUBLE) * 200) % 256) AS g FROM embeddings)"
+_LAPLACE = "list_transform(range(64), lambda i: g[abs(i // 8 - 1) * 8 + i % 8 + 1] + g[(7 - abs(7 - (i // 8 + 1))) * 8 + i % 8 + 1] + g[i // 8 * 8 + abs(i % 8 - 1) + 1] + g[i // 8 * 8 + (7 - abs(7 - (i % 8 + 1))) + 1] - 4 * g[i + 1])"
+_SMALL = "list_transform(range(20), lambda k: round_even((list_sum(list_transform(range(8), lambda i: g[k // 5 * 16 + i + 1] * greatest(least(i + 1.0::DOUBLE, (k % 5 + 1) * 1.6::DOUBLE) - greatest(i::DOUBLE, k % 5 * 1.6::DOUBLE), 0))) / 1.6::DOUBLE + list_sum(list_transform(range(8), lambda i: g[k // 5 * 16 + 8 + i + 1] * greatest(least(i + 1.0::DOUBLE, (k % 5 + 1) * 1.6::DOUBLE) - greatest(i::DOUBLE, k % 5 * 1.6::DOUBLE), 0))) / 1.6::DOUBLE) / 2, 0))"
+_HIST = "list_transform(range(16), lambda k: len(list_filter(g, lambda v: least(floor(v / 16), 15) = k))::DOUBLE)"
+
+
+@query(
+    f"WITH {_GRAY}, m AS (SELECT vec_id, label, list_var_pop({_LAPLACE}) AS sharp, {_SMALL} AS s, {_HIST} AS h FROM g), "
+    "n AS (SELECT *, list_transform(h, lambda c: c / sqrt(list_sum(list_transform(h, lambda x: x * x)))) AS hn FROM m), p AS (SELECT *, lag(hn) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM n) "
+    "SELECT vec_id, round(sharp, 6) AS sharpness, array_to_string(list_transform(range(16), lambda i: (s[i // 4 * 5 + i % 4 + 2] > s[i // 4 * 5 + i % 4 + 1])::INT), '') AS bits, "
+    "CASE WHEN b IS NOT NULL THEN round(sqrt(greatest(1 - list_sum(list_transform(list_zip(hn, b), lambda x: sqrt(x[1] * x[2]))) / sqrt(list_sum(hn) * list_sum(b)), 0)), 5) END AS moved FROM p"
+)
+def pixel_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Sharpness, bits of the difference hash, and the distance of histograms from the picture before, of pictures of 8 by 8."""
+    e = A.table(spark, d, "embeddings").where("embedding IS NOT NULL").withColumn("g", F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 200).cast("double") % 256))
+    e = e.withColumn("px", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("g", y * 8 + 1, 8))).withColumn("h", pixels.histogram(F.col("px"), 16))
+    before = F.lag("h").over(Window.partitionBy("label").orderBy("vec_id"))
+    bits = F.array_join(F.transform(pixels.difference_bits(F.col("px"), 4), lambda b: b.cast("int")), "")
+    return e.withColumn("b", before).select("vec_id", F.round(pixels.sharpness(F.col("px")), 6).alias("sharpness"), bits.alias("bits"), F.round(pixels.histogram_distance(F.col("h"), F.col("b")), 5).alias("moved"))

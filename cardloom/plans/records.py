@@ -9,6 +9,7 @@ from ..functions import dates, scoring, text
 from ..operators import review, segmentation, words
 from . import analogs as A
 from .analogs import sql
+from .layouts import forms
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,33 +86,28 @@ def result_failures(spark: SparkSession, d: str) -> DataFrame:
     return review.with_failures(now, failed, ["deceased_name", "date_of_death"])
 
 
-#: Field, value, and whether the value may fill a blank field.
-_OFFERED = (
-    ("deceased_name", "SMITH, John", True), ("deceased_name", "  ", False), ("date_of_death", "10/16/2021", False), ("date_of_burial", "soon", False),
-    ("address", "12 Elm St", True), ("address", "12 Elm", False), ("address", "10/16/2021", False), ("owner_address", "owner of lot 5", False),
-    ("relation", "son", True), ("relation", "October 16, 2021", False), ("care_of", "Relation: son", False), ("undertaker", "Undertaker", False),
-    ("undertaker", "Hills & Co", True), ("grave_type", "Description adult", False), ("type_of_grave", "adult", True), ("board_of_health_no", "--", False),
-    ("board_of_health_no", "12", True), ("phone", "10/16/2021", True),
-)
+_OFFERED = """offers AS (SELECT p_partkey, unnest(['deceased_name', 'date_of_death', 'address', 'owner_address', 'relation', 'care_of', 'undertaker', 'grave_type', 'board_of_health_no', 'phone']) AS field,
+  unnest([p_name, strftime(DATE '2021-01-01' + (p_partkey % 300)::INT, '%m/%d/%Y'), (p_partkey % 900) || ' Elm', (p_partkey % 900) || ' Elm Street', CASE WHEN p_partkey % 3 = 0 THEN 'son' ELSE strftime(DATE '2021-01-01' + (p_partkey % 300)::INT, '%B %d, %Y') END, CASE WHEN p_partkey % 2 = 0 THEN 'Relation: son' ELSE p_brand END, CASE WHEN p_partkey % 4 = 0 THEN 'Undertaker' ELSE p_brand END, CASE WHEN p_partkey % 5 = 0 THEN 'Description ' || p_type ELSE p_type END, CASE WHEN p_partkey % 6 = 0 THEN '--' ELSE p_size::VARCHAR END, CASE WHEN p_partkey % 7 = 0 THEN '  ' ELSE '10/16/2021' END]) AS offered FROM part),
+read AS (SELECT *, trim(coalesce(offered, '')) AS t FROM offers),
+seen AS (SELECT *, regexp_matches(t, '^([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[A-Za-z]+\\s+[0-9]{1,2},\\s*[0-9]{2,4})$') AS dated, regexp_matches(lower(t), 'date of|description|undertaker|grave fee|type of grave|relation|owner') AS labelled, field IN ('owner_address', 'address') AS placed FROM read)
+SELECT p_partkey AS id, field, CASE WHEN t = '' OR field IN ('date_of_death', 'date_of_burial') THEN false WHEN placed AND (dated OR labelled OR length(t) < 8) THEN false WHEN field IN ('care_of', 'relation') AND (dated OR labelled) THEN false WHEN field IN ('type_of_grave', 'grave_type') AND starts_with(lower(t), 'description') THEN false WHEN field = 'undertaker' AND labelled THEN false WHEN field = 'board_of_health_no' AND NOT regexp_matches(t, '[0-9A-Za-z]') THEN false ELSE true END AS accepted FROM seen"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{v}', {ok})" for f, v, ok in _OFFERED) + ") t(field, offered, accepted)")
+@query("WITH " + _OFFERED)
 def fallback_acceptance(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in _OFFERED], "field string, offered string")
-    return rows.select("field", "offered", scoring.acceptable(F.col("field"), F.col("offered")).alias("accepted"))
-
-
-#: Words (text, confidence, left, top) of four pages, each word 40 wide and 12 high, and the date of death that they state.
-_PAGES = (
-    ((("Date", 90, 0, 20), ("of", 90, 50, 20), ("Death", 90, 100, 20), ("October", 80, 200, 24), ("16,", 80, 250, 24), ("2021", 80, 300, 24)), "2021-10-16"),
-    ((("Death", 60, 0, 20), ("1/2/1950", 80, 50, 20), ("death", 95, 0, 200), ("3/4/1960", 80, 50, 210), ("Burial", 80, 100, 200), ("5/6/1961", 80, 150, 200)), "1960-03-04"),
-    ((("Death", 90, 0, 20), ("Birth", 90, 50, 20), ("1/2/1950", 80, 100, 20)), None),
-    ((("Name", 90, 0, 20), ("1/2/1950", 80, 100, 20)), None),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if iso is None else repr(iso)})" for i, (_, iso) in enumerate(_PAGES)) + ") t(card_id, date_of_death)")
+    """Which of ten values that an engine offers for each part may fill a blank field."""
+    k = F.col("p_partkey")
+    day = F.date_add(F.lit("2021-01-01").cast("date"), (k % 300).cast("int"))
+    offers = {
+        "deceased_name": F.col("p_name"), "date_of_death": F.date_format(day, "MM/dd/yyyy"), "address": F.concat(k % 900, F.lit(" Elm")), "owner_address": F.concat(k % 900, F.lit(" Elm Street")),
+        "relation": F.when(k % 3 == 0, "son").otherwise(F.date_format(day, "MMMM dd, yyyy")), "care_of": F.when(k % 2 == 0, "Relation: son").otherwise(F.col("p_brand")), "undertaker": F.when(k % 4 == 0, "Undertaker").otherwise(F.col("p_brand")),
+        "grave_type": F.when(k % 5 == 0, F.concat(F.lit("Description "), "p_type")).otherwise(F.col("p_type")), "board_of_health_no": F.when(k % 6 == 0, "--").otherwise(F.col("p_size").cast("string")), "phone": F.when(k % 7 == 0, "  ").otherwise("10/16/2021"),
+    }
+    rows = A.table(spark, d, "part").select(k.alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("offered")) for f, v in offers.items()])).alias("o"))
+    return rows.select("id", "o.field", scoring.acceptable(F.col("o.field"), F.col("o.offered")).alias("accepted"))
+
+
+@query("SELECT doc_id AS card_id, CASE WHEN doc_id % 3 = 0 THEN strftime(DATE '1970-01-01' + (doc_id % 17000)::INT, '%Y-%m-%d') END AS date_of_death FROM documents")
 def words_date_of_death(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, [(t, c, [x, y, x + 40, y + 12]) for t, c, x, y in ws]) for i, (ws, _) in enumerate(_PAGES)]
-    pages = spark.createDataFrame(rows, "card_id long, words array<struct<text: string, confidence: int, bbox: array<int>>>")
-    return pages.select("card_id", words.date_of_death(F.col("words")).alias("date_of_death"))
+    """Of the forms: right of the word that names the death; a word that names the burial ends what is looked at."""
+    return forms(spark, d).select("card_id", words.date_of_death(F.col("words")).alias("date_of_death"))

@@ -59,13 +59,13 @@ def text_date_iso(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "orders").select(k.alias("id"), dates.iso_date(_shown_date(k, F.col("o_orderdate"))).alias("iso"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 50 > 27 THEN (1900 + o_orderkey % 50) ELSE (2000 + o_orderkey % 50) END || '-' || strftime(o_orderdate, '%m-%d') AS iso FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 50 > 27 THEN (1900 + o_orderkey % 50) ELSE (2000 + o_orderkey % 50) END || '-' || CASE WHEN strftime(o_orderdate, '%m-%d') = '02-29' THEN '02-28' ELSE strftime(o_orderdate, '%m-%d') END AS iso FROM orders")
 def text_century_fix(spark: SparkSession, d: str) -> DataFrame:
-    """Years read from two digits that would lie ahead of 2026 go back a century."""
-    k, md = F.col("o_orderkey"), F.date_format("o_orderdate", "MM-dd")
-    iso = F.concat((k % 50 + 2000).cast("string"), F.lit("-"), md)
+    """Years read from two digits that would lie ahead of 2026 go back a century. Leap days count as the day before."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "MM-dd")
+    iso = F.concat((k % 50 + 2000).cast("string"), F.lit("-"), F.when(day == "02-29", "02-28").otherwise(day))
     raw = F.when(k % 2 == 0, F.concat(F.lit("3/4/"), F.lpad((k % 50).cast("string"), 2, "0"))).otherwise(iso)
-    return A.table(spark, d, "orders").where(md != "02-29").select(k.alias("id"), dates.century_fixed(iso, raw, 2026).alias("iso"))
+    return A.table(spark, d, "orders").select(k.alias("id"), dates.century_fixed(iso, raw, 2026).alias("iso"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN upper(regexp_replace(split_part(p_brand, ' ', 1), '[^A-Za-z]', '', 'g')) || ', John Paul' WHEN 1 THEN 'PARKS, Carl, Jr' ELSE 'O''NEIL, Mary' END AS name FROM part")
@@ -103,13 +103,14 @@ def field_score(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "labels").select(k.alias("card_id"), F.round(scoring.field_score(value, support, r"\d{4}-\d{2}-\d{2}"), 6).cast("double").alias("score"))
 
 
-@query("SELECT doc_id AS card_id, CASE WHEN n = 0 THEN 0.0 ELSE round(least(greatest(m / w - CASE WHEN a THEN 0.0 ELSE 0.12 END - CASE WHEN b THEN 0.0 ELSE 0.10 END - CASE WHEN c THEN 0.0 ELSE 0.06 END - CASE WHEN n < 4 THEN 0.05 ELSE 0.0 END, 0.0), 1.0), 6) END::DOUBLE AS score FROM (SELECT doc_id, a, b, c, a::INT + b::INT + c::INT + e::INT AS n, 1.25 * a::INT + 1.1 * b::INT + c::INT + 0.65 * e::INT AS w, (1.25 * a::INT + 1.1 * b::INT + c::INT * 0.5 + 0.65 * e::INT * 0.5) * (doc_id % 90 + 10) / 100.0::DOUBLE AS m FROM (SELECT doc_id, doc_id % 2 = 0 AS a, doc_id % 3 = 0 AS b, doc_id % 5 = 0 AS c, doc_id % 7 = 0 AS e FROM labels))")
+@query("SELECT doc_id AS card_id, CASE WHEN n = 0 THEN 0.0 ELSE round(least(greatest(m / w - CASE WHEN a OR o THEN 0.0 ELSE 0.12 END - CASE WHEN b THEN 0.0 ELSE 0.10 END - CASE WHEN c THEN 0.0 ELSE 0.06 END - CASE WHEN n < 4 THEN 0.05 ELSE 0.0 END, 0.0), 1.0), 6) END::DOUBLE AS score FROM (SELECT doc_id, a, b, c, o, a::INT + b::INT + c::INT + e::INT + o::INT AS n, 1.25 * a::INT + 1.25 * o::INT + 1.1 * b::INT + c::INT + 0.65 * e::INT AS w, (1.25 * a::INT + 1.25 * o::INT + 1.1 * b::INT + c::INT * 0.5 + 0.65 * e::INT * 0.5) * (doc_id % 90 + 10) / 100.0::DOUBLE AS m FROM (SELECT doc_id, doc_id % 2 = 0 AS a, doc_id % 3 = 0 AS b, doc_id % 5 = 0 AS c, doc_id % 7 = 0 AS e, doc_id % 11 < 3 AS o FROM labels))")
 def card_score(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     base = (k % 90 + 10) / F.lit(100.0)
-    has = {"deceased_name": k % 2 == 0, "date_of_death": k % 3 == 0, "description": k % 5 == 0, "sex": k % 7 == 0}
-    values = {f: F.when(has[f], "x") if f in has else F.lit("") for f in scoring.CORE_WEIGHTS}
-    scores = {f: base * (0.5 if f in ("description", "sex") else 1.0) for f in scoring.CORE_WEIGHTS}
+    has = {"deceased_name": k % 2 == 0, "owner_name": k % 11 < 3, "date_of_death": k % 3 == 0, "description": k % 5 == 0, "sex": k % 7 == 0}
+    names = ["owner_name", *scoring.CORE_WEIGHTS]
+    values = {f: F.when(has[f], "x") if f in has else F.lit("") for f in names}
+    scores = {f: base * (0.5 if f in ("description", "sex") else 1.0) for f in names}
     return A.table(spark, d, "labels").select(k.alias("card_id"), F.round(scoring.card_score(values, scores), 6).cast("double").alias("score"))
 
 
@@ -122,12 +123,47 @@ def orientation_pick(spark: SparkSession, d: str) -> DataFrame:
     return turned.groupBy("card_id").agg(F.max_by("rotation", F.struct(score, -F.col("rotation"))).alias("rotation"))
 
 
-@query("SELECT p_partkey AS id, 'PARKS, Carl' AS deceased_name, '2021-10-16' AS date_of_death, CASE WHEN p_partkey % 2 = 0 THEN '2021-10-20' END AS date_of_burial, (p_partkey % 90 + 10)::VARCHAR AS age, 'F' AS sex, CASE WHEN p_size > 9 THEN p_size || '.00' END AS grave_fee FROM part")
+_FORMS = 6
+_AGE = "(p_partkey % 90 + 10)::VARCHAR"
+_DAY_SQL = "DATE '1951-01-01' + ((p_partkey * {0}) % 20000)::INT"
+_ISO_SQL = "strftime(" + _DAY_SQL + ", '%Y-%m-%d')"
+
+
+def _by_form(**forms: str) -> str:
+    return "CASE p_partkey % 6 " + " ".join(f"WHEN {k[1:]} THEN {v}" for k, v in forms.items()) + " END"
+
+
+_FEE = "(p_size + 100) || '.00'"
+
+
+@query(
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 5 THEN 'LEE, Bo' ELSE 'PARKS, Carl' END AS deceased_name, "
+    + _by_form(f0=_ISO_SQL.format(1), f1="NULL", f2=_ISO_SQL.format(1), f3=_ISO_SQL.format(1)) + " AS date_of_death, "
+    + _by_form(f0=_ISO_SQL.format(3), f1=_ISO_SQL.format(3), f2=_ISO_SQL.format(3), f3=_ISO_SQL.format(3), f4="(1930 + p_partkey % 60) || '-03-20'") + " AS date_of_burial, "
+    + _by_form(f0=_AGE, f1=_AGE, f3=_AGE, f5=_AGE) + " AS age, " + _by_form(f0="'F'", f1="'M'", f3="'F'", f5="'M'") + " AS sex, "
+    + _by_form(f0=_FEE, f2=_FEE, f4=_FEE) + " AS grave_fee, " + _by_form(f0="'Haugabrooks'", f4="'Cox'", f5="'Cox'") + " AS undertaker, "
+    + _by_form(f2="(p_partkey % 90 + 10) || ',' || lpad((p_partkey % 1000)::VARCHAR, 3, '0')", f4="(p_partkey % 9000 + 1000)::VARCHAR") + " AS svc_no, "
+    + _by_form(f1="'Section ' || (p_partkey % 9 + 1) || ' Block 5 LOT #' || (p_partkey % 99) || ' Range B'", f3="'Lot #64- Range G- Grave ' || (p_partkey % 9)", f5="'LOT# ' || (p_partkey % 99) || ' Range B Section 4'") + " AS description FROM part"
+)
 def extract_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of six forms: all labels with their values; one line for both dates; dates without labels and a service number below
+    the fee; values below; years of two digits and values below; an undertaker above its label and a description of two lines."""
     k = F.col("p_partkey")
-    card = F.concat_ws("\n", F.lit("PARKS, Carl"), F.lit("Date of Death Qctober 16, 202]"), F.when(k % 2 == 0, "Date of Burial 10/20/2021"), F.concat(F.lit("Sex F  Age "), (k % 90 + 10).cast("string")), F.concat(F.lit("Grave Fee: $"), F.col("p_size").cast("string"), F.lit(".00")))
-    f = extract.all_fields(card)
-    return A.table(spark, d, "part").select(k.alias("id"), *[f[c].alias(c) for c in ("deceased_name", "date_of_death", "date_of_burial", "age", "sex", "grave_fee")])
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    day = lambda n, form: F.date_format(F.date_add(F.lit("1951-01-01").cast("date"), (k * n % 20000).cast("int")), form)
+    age, fee = k % 90 + 10, say("Grave Fee: $", F.col("p_size") + 100, ".00\n")
+    cards = [
+        say("PARKS, Carl 12 Elm Street\nDate of Death ", day(1, "MMMM d, yyyy"), "\nDate of Burial ", day(3, "M/d/yyyy"), "\nSex F  Age ", age, "\n", fee, "Undertaker Haugabrooks\n"),
+        say("PARKS, Carl\nDate of death Date of burial ", day(3, "MMM d, yyyy"), "\nDirection:\nSection ", k % 9 + 1, " Block 5\nLOT #", k % 99, " Range B\nSex M\nAge\n", age, "\n"),
+        say("PARKS, Carl\nESTATE\n", day(1, "MMMM d, yyyy"), "\n", day(3, "MMMM d, yyyy"), "\ndob 12/27/1966\n", fee, k % 90 + 10, ",", F.lpad((k % 1000).cast("string"), 3, "0"), "\n"),
+        say("PARKS, Carl\nDate of death\ndob 6/27/1966\n", day(1, "MMMM d, yyyy"), "\nDate of burial\n", day(3, "M-d-yyyy"), "\nDescription: Lot #64- Range G- Grave ", k % 9, "\nSex\nF\nAge ", age, "\n"),
+        say("PARKS, Carl\nDate of death\nDate of burial\n3-20-", k % 60 + 30, "\nUndertaker\nCox\nGrave Fee\n", F.col("p_size") + 100, ".00\nSVC No.\n", k % 9000 + 1000, "\n"),
+        say("LEE, Bo\nBoard of Health No.\nCox\nUndertaker\nGrave Fee\nSex\nM\nAge\n", age, "\nType of Grave\nDescription:\nLOT# ", k % 99, " Range B\nSection 4\n"),
+    ]
+    card = F.element_at(F.array(*cards), (k % _FORMS + 1).cast("int"))
+    f = extract.all_fields(card, 2026)
+    out = A.table(spark, d, "part").select(k.alias("id"), f.alias("f"))
+    return out.select("id", *[F.col(f"f.{c}").alias(c) for c in ("deceased_name", "date_of_death", "date_of_burial", "age", "sex", "grave_fee", "undertaker", "svc_no", "description")])
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE 'old' END AS deceased_name FROM part")

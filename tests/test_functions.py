@@ -115,3 +115,12 @@ def test_caps_of_scores_without_words(spark):
 def test_mean_over_the_fields_that_are_there(spark):
     df = spark.sql("SELECT map('owner_name', 0.5D, 'svc_no', 1.0D, 'other', 9.0D) AS m UNION ALL SELECT map('x', 1.0D)")
     assert [round(r[0], 6) for r in df.select(scoring.weighted_score(F.col("m"))).collect()] == [round((0.05 + 0.08) / 0.18, 6), 0.0]
+
+
+def test_thresholds_are_shares():
+    from cardloom.params import Review
+
+    assert Review().updated(review=0.5).review == 0.5
+    for bad in (-0.1, 1.1, float("nan")):
+        with pytest.raises(ValueError, match="auto_approve"):
+            Review().updated(auto_approve=bad)
