@@ -389,6 +389,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: i
     bare = {r["label"]: r["count"] for r in rows.where(F.length("terms") == 0).groupBy("label").count().collect()}
     y = np.r_[index.labels, *(np.full(bare.get(c, 0), float(c)) for c in (0, 1))]
     x = [*zip(got["share"].to_numpy(), got["mass"].to_numpy(), strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
+    del got, counted, names, places
+    pa.default_memory_pool().release_unused()  # of the driver's tables, which else stay with its process through all later stages
     return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate)), docs
 
 
