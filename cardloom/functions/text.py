@@ -94,6 +94,18 @@ def base_name(path: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), "/"), -1), F.lit("")), F.lit("upload"))
 
 
+def normal_path(path: Column, home: str = "") -> Column:
+    """A path without ``.``, doubled slashes and steps back, of which none leads above the root; a leading ``~`` is ``home``."""
+    whole = F.when(path.rlike("^~(/|$)"), F.concat(F.lit(home), F.substr(path, F.lit(2)))).otherwise(path)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when((F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(F.startswith(whole, F.lit("/")), done).otherwise(F.array_append(done, part))
+        return F.when(part.isin("", "."), done).when(part == "..", F.when(F.size(done) == 0, F.when(F.startswith(whole, F.lit("/")), done).otherwise(F.array_append(done, part))).otherwise(up)).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(whole, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def media_type(path: Column) -> Column:
     end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(end == "png", "image/png").when(end == "webp", "image/webp").when(end.isin("tif", "tiff"), "image/tiff").otherwise("image/jpeg")

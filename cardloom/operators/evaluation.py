@@ -50,8 +50,10 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     renamed = cuts.withColumnsRenamed({k: f"{k}r" for k in keys})
     same = lambda other: [F.col(k).eqNullSafe(F.col(f"{k}{other}")) for k in keys] or [F.lit(True)]
     placed = rows.join(renamed, same("r")) if keys else rows.crossJoin(F.broadcast(renamed))  # one row
-    below = lambda s: F.size(F.filter("__cuts", lambda c: c < F.col("__v")))  # noqa: E731, ARG005
-    placed = placed.select(*keys, "__v", "__n", below(None).alias("__range"))
+    step = max(1, int(ranges**0.5))  # cuts rise: first among every ``step``-th one, then among those between two of them
+    coarse = F.filter(F.transform(F.sequence(F.lit(1), F.lit((ranges - 1) // step)), lambda k: F.get("__cuts", k * step - 1)), lambda c: c < F.col("__v")) if ranges > step else F.array()
+    placed = placed.withColumn("__k", F.size(coarse) * step)
+    placed = placed.select(*keys, "__v", "__n", (F.col("__k") + F.size(F.filter(F.slice("__cuts", F.col("__k") + 1, F.lit(step)), lambda c: c < F.col("__v")))).alias("__range"))
     counted = placed.groupBy(*keys, "__range").agg(F.count("*").alias("__m"), F.max("__n").alias("__n"))
     order = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("__before", F.coalesce(F.sum("__m").over(order), F.lit(0)))  # at most ``ranges`` rows of a group

@@ -56,6 +56,17 @@ def read_adjudications(spark: SparkSession, path: str) -> DataFrame:
     return df.select("card_id", "model_id", *[optional_flag(F.col(c)).alias(c) for c in ("human_name_correct", "human_dod_correct")], F.coalesce("notes", F.lit("")).alias("notes"))
 
 
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """True names and dates of images (filename, owner_name, date_of_death), trimmed, blank ones as null."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return df.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in ("filename", "owner_name", "date_of_death")])
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines (line_no, line) of a report as one text file in a folder, in order."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     out = df.select(*[F.format_string("%.3f", F.col(c)).alias(c) if c == "latency_ms" else F.col(c).cast("string").alias(c) for c in PREDICTIONS.fieldNames()])
     out.write.csv(path, header=True, nullValue="", emptyValue="", escape='"')
