@@ -120,6 +120,39 @@ def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
+def job_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """State of each job from its events (job_id, at, seq, kind, progress, message), an append-only table: status, progress, started_at,
+    completed_at, error_message.
+
+    Kinds are running, progress, completed and failed; others count for nothing. The last of those that set a field decides it, by
+    ``at`` and then ``seq``; a job without any is queued at 0. Progress is kept from 0 to 100, and completion makes it 100.
+    """
+    kind, last = F.col("kind"), F.struct("at", "seq")
+    of = lambda value, *kinds: F.max_by(F.when(kind.isin(*kinds), value), F.when(kind.isin(*kinds), last))
+    share = F.when(kind == "completed", 100).otherwise(F.least(F.greatest(F.coalesce("progress", F.lit(0)), F.lit(0)), F.lit(100)))
+    sums = events.groupBy(F.col("job_id").alias("__j")).agg(
+        of(kind, "running", "completed", "failed").alias("status"), of(share, "progress", "completed").alias("progress"), of(F.col("at"), "running").alias("started_at"),
+        of(F.col("at"), "completed", "failed").alias("completed_at"), of(F.col("message"), "failed").alias("error_message"),
+    )
+    out = jobs.select("job_id").join(sums, F.col("job_id") == F.col("__j"), "left")
+    return out.select("job_id", F.coalesce("status", F.lit("queued")).alias("status"), F.coalesce("progress", F.lit(0)).cast("int").alias("progress"), "started_at", "completed_at", "error_message")
+
+
+def one(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key; LookupError if there is none."""
+    found = rows.where(F.col(key) == F.lit(value)).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no row has {key} {value}")
+    return found
+
+
+def decision_totals(log: DataFrame, by: str) -> DataFrame:
+    """Of each video: its windows, those that became candidates, and how many met each decision."""
+    kinds = ("accepted", "rejected_blur", "rejected_dedup", "rejected_short_stable")
+    n = {k: F.count_if(F.col("decision") == k) for k in kinds}
+    return log.groupBy(by).agg(F.count("*").alias("windows"), (F.count("*") - n["rejected_short_stable"]).alias("candidates"), *[v.alias(k) for k, v in n.items()])
+
+
 def with_defaults(left: DataFrame, right: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
     """left with columns taken from right where it has the key, else as given."""
     marked = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__v_{c}") for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import outcome
+from ..operators import outcome, review
 from ..sources import connectors, staging
 from ..sources.tables import new_folder
 from ..streaming import logs
@@ -100,3 +100,25 @@ def routed_answers(spark: SparkSession, d: str) -> DataFrame:
     models = spark.createDataFrame([("first",), ("picky",), ("absent",)], "model_id string")
     asked = A.table(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content")).crossJoin(F.broadcast(models))  # three models
     return connectors.routed(asked, {"first": _First, "picky": _Picky}).select("card_id", "model_id", "deceased_name", "date_of_death", "error")
+
+
+_KIND = "CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END"
+
+
+@query(
+    f"WITH e AS (SELECT user_id AS job_id, ts, event_id, {_KIND} AS kind, CAST(round(value) AS INT) AS progress FROM events), "
+    "s AS (SELECT job_id, arg_max(kind, (ts, event_id)) FILTER (kind IN ('running', 'completed', 'failed')) AS status, arg_max(CASE WHEN kind = 'completed' THEN 100 ELSE least(greatest(progress, 0), 100) END, (ts, event_id)) FILTER (kind IN ('progress', 'completed')) AS progress, "
+    "max(ts) FILTER (kind = 'running') AS started_at, max(ts) FILTER (kind IN ('completed', 'failed')) AS completed_at, arg_max('event ' || event_id, (ts, event_id)) FILTER (kind = 'failed') AS error_message FROM e GROUP BY job_id) "
+    "SELECT c_custkey AS job_id, coalesce(status, 'queued') AS status, coalesce(progress, 0)::INT AS progress, epoch_us(started_at) AS started_us, epoch_us(completed_at) AS completed_us, error_message FROM customer LEFT JOIN s ON job_id = c_custkey"
+)
+def job_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """States of a job for each customer, of whom some have events."""
+    kind = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "progress").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    events = A.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.round("value").cast("int").alias("progress"), F.concat(F.lit("event "), "event_id").alias("message"))
+    out = review.job_states(A.table(spark, d, "customer").select(F.col("c_custkey").alias("job_id")), events)
+    return out.select("job_id", "status", "progress", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"), "error_message")
+
+
+@query(sql("SELECT video_id, count(*) AS windows, count(*) FILTER (decision <> 'rejected_short_stable') AS candidates, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'rejected_blur') AS rejected_blur, count(*) FILTER (decision = 'rejected_dedup') AS rejected_dedup, count(*) FILTER (decision = 'rejected_short_stable') AS rejected_short_stable FROM decisions GROUP BY video_id", "decisions"))
+def decision_totals(spark: SparkSession, d: str) -> DataFrame:
+    return review.decision_totals(A.decisions(spark, d), "video_id")

@@ -175,3 +175,20 @@ def test_a_backslash_in_a_search_stands_for_itself(spark):
     df = spark.createDataFrame([("a\\b",), ("ab",), ("a\\xb",)], "deceased_name string")
     assert sorted(r[0] for r in review.matching(df, q="A\\_b").collect()) == ["a\\xb"]
     assert sorted(r[0] for r in review.matching(df, q="\\b").collect()) == ["a\\b"]
+
+
+def test_states_of_jobs_from_events(spark):
+    jobs = spark.createDataFrame([(k,) for k in range(5)], "job_id long")
+    rows = [
+        (0, 1, 1, "running", None, None), (0, 2, 2, "progress", 140, None), (1, 1, 1, "running", None, None), (1, 5, 2, "completed", None, None), (1, 3, 3, "progress", 40, None),
+        (2, 1, 1, "running", None, None), (2, 2, 2, "failed", None, "first"), (2, 2, 3, "failed", None, "second"), (3, 1, 1, "noise", 7, None), (9, 1, 1, "running", None, None),
+    ]
+    events = spark.createDataFrame(rows, "job_id long, at long, seq long, kind string, progress int, message string")
+    got = [tuple(r)[1:] for r in review.job_states(jobs, events).orderBy("job_id").collect()]
+    assert got == [("running", 100, 1, None, None), ("completed", 100, 1, 5, None), ("failed", 0, 1, 2, "second"), ("queued", 0, None, None, None), ("queued", 0, None, None, None)]
+
+
+def test_a_row_that_is_not_there_is_an_error(spark):
+    assert review.one(spark.range(3), "id", 2).first()["id"] == 2
+    with pytest.raises(LookupError, match="no row has id 7"):
+        review.one(spark.range(3), "id", 7)
