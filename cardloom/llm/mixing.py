@@ -7,7 +7,7 @@ documents stand in a shuffled order that depends on their content only, and are
 starts again from its first block. Slots beyond a source's quota are left out and, where the finite sequence gave a
 source too few, its last slots follow at the end; so each source yields its target to the word.
 
-Cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; equal ids or
+Cases: a null text has size 0 and is never taken; texts of any length count whole; ties of the shuffle key go by id, size and row; a null source is a source of its own, last in order; equal ids or
 rows are separate documents; sources without words have target 0; an empty table gives an empty result; other columns
 of the input, whatever their names, are not read.
 """

@@ -23,7 +23,7 @@ cells: its main component is dealt into blocks and its other rows into groups, e
 pair of a group with a block or a group is a cell of its own. What is alike without being linked still costs the square of
 its rows, dealt over as many tasks.
 
-Cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make
+Cases: texts of any length are compared by their whole sets; a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make
 the whole sequence one shingle; a null id can't name a group, so such a row is returned alone with a null component and
 kept; rows with one id share a component, whatever their texts; an empty table
 gives an empty result; other columns of the input, whatever their names, are not read.

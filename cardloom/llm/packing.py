@@ -5,7 +5,7 @@ full are done. The others become items themselves, as long as they are full, and
 further rounds of best fit, each over groups of bounded size that are dealt anew, until one group holds all that is
 left or a round no longer helps. A piece's place is its place in its first bin plus the places of the bins that hold it.
 
-Cases: a null text counts as empty and yields one piece that holds only the end token; null ids, repeated ids and
+Cases: texts of any length are encoded whole; pieces of equal length keep their order; a null text counts as empty and yields one piece that holds only the end token; null ids, repeated ids and
 repeated rows are separate documents, each with its own pieces; an empty table gives an empty result; other columns of
 the input, whatever their names, are not read.
 """

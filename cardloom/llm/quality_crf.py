@@ -6,7 +6,7 @@ on the labels around it. Weights are learnt by maximum likelihood from a bounded
 lines take their document's label. Forward-backward gives each line's chance to be good; the mean of these, weighted by
 line length, is mapped to a probability by logistic calibration on the sample.
 
-Cases: null and empty texts are one empty line; blank lines count with the length 1; null ids never match a label; an id with
+Cases: texts of any length are scored whole, line by line; null and empty texts are one empty line; blank lines count with the length 1; null ids never match a label; an id with
 clashing labels counts as labelled 1, as does a text whose rows clash; equal texts are learnt from once; repeated rows get equal scores; without documents of both classes every score is the share of label 1 in the sample, or
 0; an empty table gives an empty result; other columns of the input, whatever their names, are not read.
 """

@@ -11,7 +11,7 @@ least: it is taken from the lower half of a group only, so high junk in up to ne
 what the clean texts' own spread allows. The lower fence mirrors this. A text is rejected if it lies beyond a fence by more than a
 few single events (symbols, repeated windows, lines) or standard errors are worth in a text of its size. Texts join their fences.
 
-Cases: a null text has no words; texts without words fail the base rules and are no part of any sketch; null languages
+Cases: texts of any length are measured whole, each in its row; a null text has no words; texts without words fail the base rules and are no part of any sketch; null languages
 and sources are groups of their own; null or repeated ids and repeated rows each keep their row; an empty table gives
 an empty result; other columns of the input, whatever their names, are not read.
 """

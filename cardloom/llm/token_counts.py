@@ -6,7 +6,7 @@ joined to these; only distinct texts without a stored count are encoded, and the
 Normalisation must not change a count, so it only maps null to the empty text: byte-level vocabularies tell apart
 everything else.
 
-Cases: null texts count as empty (0 tokens); null ids, repeated ids and repeated rows each keep their own row; an
+Cases: texts of any length are encoded whole; null texts count as empty (0 tokens); null ids, repeated ids and repeated rows each keep their own row; an
 empty table gives an empty result and appends nothing; other columns of the input, whatever their names, are not read.
 """
 

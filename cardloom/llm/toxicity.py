@@ -9,7 +9,7 @@ and its short lists, whose blocks hold few postings; what the long ones can add
 which examples may still be among its nearest, and these are scored exactly, so the neighbours are the exact ones. Their votes, weighted by similarity, become a probability by logistic calibration on the examples themselves, each voted
 on without itself. Ids and cosines of the neighbours are the evidence.
 
-Cases: null and empty texts, and texts without a term of an example, have no neighbours and get the calibrated score
+Cases: texts of any length are read whole; null and empty texts, and texts without a term of an example, have no neighbours and get the calibrated score
 of an empty vote; rows without label serve as no example; null ids never match a label; an id with clashing labels counts
 as labelled 1, as does a text whose rows clash; equal texts are one example, named by the smallest id; repeated rows get equal
 scores; without examples of both classes every score is the share of label 1 among the examples, or 0; an empty table
