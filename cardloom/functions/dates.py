@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .bind import let
 
-#: Letters that recognition confuses in month names and years (fixed values): pattern, replacement.
-NOISE = (("(?i)\\b[Q0]ctober\\b", "October"), ("(?i)\\b[Q0]ct\\b", "Oct"), ("(?i)\\bBuriat\\b", "Burial"), ("(?i)\\bDacof\\b", "Date of"), ("Buria\\|", "Burial"), ("(\\d{3})\\]", "$11"), ("\\b20(\\d)[Il]", "20$11"), ("(\\d{2})Z(\\d)", "$12$2"))
+#: What recognition confuses in months and years (fixed values): pattern, replacement.
+CONFUSED = (("[Q0]ctober", "October"), ("[Q0]ct\\.", "Oct"), ("Buriat", "Burial"), ("Buria\\|", "Burial"), ("Dacof", "Date of"), ("(\\d{3})\\]", "$11"), ("(\\d{2})Z(\\d)", "$12$2"))
+#: The same in letters of either case and before other characters, and years such as ``202l``: additions of this library.
+NOISE = (*CONFUSED, ("(?i)\\b[q0]ctober\\b", "October"), ("(?i)\\b[q0]ct\\b", "Oct"), ("(?i)\\bburiat\\b", "Burial"), ("(?i)\\bdacof\\b", "Date of"), ("\\b20(\\d)[Il]", "20$11"))
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 WORDED = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+([0-9]{1,2})(?:st|nd|rd|th)?(?:\s*,\s*|\s+)([0-9]{4}|[0-9]{2})\b"
 NUMBERED = r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4}|[0-9]{2})\b"

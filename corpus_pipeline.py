@@ -21,14 +21,15 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half. A null or empty text is no reason to go."""
+    """Documents whose toxicity score is under one half. A null or empty text is no reason to go; equal rows go or stay together; an empty table gives an empty one."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), FOLDS) != 0)
     model, read = toxicity.fitted(docs, labels)
     return toxicity.flagged(read, model, "__toxic").where("__toxic = 0").drop("__toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, told apart by whole rows: that of the smallest id. Documents without words stay."""
+    """One document of each group, told apart by whole rows: that of the smallest id, on ties of ids the first by the rest of the row; of
+    rows equal in all columns one. Documents without words stay; an empty table gives an empty one."""
     return near_dedup.one_of_each(docs, SHINGLE, SIMILAR)
 
 
@@ -39,12 +40,15 @@ def blank_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; documents that it doesn't take go."""
+    """Each document as often as the mix takes it, to the nearest whole number; documents that it doesn't take go. Documents without words
+    aren't taken; equal rows are taken together; a source's words may thus miss its target by half of a document for each document at most;
+    an empty table gives an empty one."""
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of at most 1024 tokens."""
+    """Places of all pieces of all documents in sequences of at most 1024 tokens. Null texts are the end token alone; repeated rows are packed
+    each; equal lengths keep their order; an empty table gives no pieces."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), limit=1024, end=2)
 
 
