@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,21 @@ def evolved(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | N
     return df.select(cols)
 
 
+#: The persistent tables by name, with defaults of columns that older ones lack.
+TABLES = {"videos": (VIDEOS, {"status": "uploaded"}), "jobs": (JOBS, {"status": "queued", "progress": 0}), "cards": (CARDS, {}), "ocr_results": (RESULTS, {"review_version": 0, "review_status": "pending", "confidence_score": 0.0})}
+
+
+def loaded(spark: SparkSession, folder: str | None = None, jdbc: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The persistent tables in their present schemas, also as views of their names: from Parquet folders below ``folder``, or from a
+    database that Spark's JDBC source reaches with the options ``jdbc`` (url, driver, ...)."""
+    out = {}
+    for name, (schema, defaults) in TABLES.items():
+        df = spark.read.format("jdbc").options(**jdbc, dbtable=name).load() if jdbc else spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}")
+        out[name] = evolved(df, schema, defaults)
+        out[name].createOrReplaceTempView(name)
+    return out
+
+
 def violations(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once: empty where ``keys`` are unique."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

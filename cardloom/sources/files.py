@@ -56,6 +56,13 @@ def read_adjudications(spark: SparkSession, path: str) -> DataFrame:
     return df.select("card_id", "model_id", *[optional_flag(F.col(c)).alias(c) for c in ("human_name_correct", "human_dod_correct")], F.coalesce("notes", F.lit("")).alias("notes"))
 
 
+def read_images(spark: SparkSession, folder: str, glob: str = "*.{jpg,jpeg,png,webp,tif,tiff}") -> DataFrame:
+    """Images below a folder (card_id: the name without its ending, image_path, content), for the recognition engines. Only the files that
+    a task reads are opened there."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    return df.select(F.regexp_replace(base_name(F.col("path")), r"\.[A-Za-z0-9]+$", "").alias("card_id"), F.col("path").alias("image_path"), "content")
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """True names and dates of images (filename, owner_name, date_of_death), trimmed, blank ones as null."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')

@@ -192,3 +192,22 @@ def test_a_row_that_is_not_there_is_an_error(spark):
     assert review.one(spark.range(3), "id", 2).first()["id"] == 2
     with pytest.raises(LookupError, match="no row has id 7"):
         review.one(spark.range(3), "id", 7)
+
+
+def test_tables_are_loaded_in_their_present_schemas(spark, tmp_path):
+    spark.createDataFrame([("v1", "a.mp4")], "id string, filename string").write.parquet(str(tmp_path / "videos"))
+    spark.createDataFrame([("j1", "v1", "running")], "id string, video_id string, status string").write.parquet(str(tmp_path / "jobs"))
+    spark.createDataFrame([("c1", "v1", 1)], "id string, video_id string, sequence_index int").write.parquet(str(tmp_path / "cards"))
+    spark.createDataFrame([("r1", "c1")], "id string, card_id string").write.parquet(str(tmp_path / "ocr_results"))
+    spark.createDataFrame([("r2", "c2", 3)], "id string, card_id string, review_version int").write.mode("append").parquet(str(tmp_path / "ocr_results"))
+    got = schemas.loaded(spark, str(tmp_path))
+    assert {k: v.columns for k, v in got.items()} == {k: s.fieldNames() for k, (s, _) in schemas.TABLES.items()}
+    assert [tuple(r) for r in spark.sql("SELECT r.id, r.review_version, r.review_status, v.status FROM ocr_results r LEFT JOIN cards c ON c.id = r.card_id LEFT JOIN videos v ON v.id = c.video_id ORDER BY 1").collect()] == [("r1", 0, "pending", "uploaded"), ("r2", 3, "pending", None)]
+
+
+def test_images_are_read_for_engines(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/card_1.JPG.jpg").write_bytes(b"one")
+    (tmp_path / "card_2.png").write_bytes(b"two")
+    (tmp_path / "notes.txt").write_text("no image")
+    assert sorted((r["card_id"], bytes(r["content"])) for r in files.read_images(spark, str(tmp_path)).collect()) == [("card_1.JPG", b"one"), ("card_2", b"two")]
