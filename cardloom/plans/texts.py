@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, scoring, text
+from ..functions.bind import let
 from ..operators import extract
 from . import analogs as A
 
@@ -161,7 +162,7 @@ def extract_fields(spark: SparkSession, d: str) -> DataFrame:
         say("LEE, Bo\nBoard of Health No.\nCox\nUndertaker\nGrave Fee\nSex\nM\nAge\n", age, "\nType of Grave\nDescription:\nLOT# ", k % 99, " Range B\nSection 4\n"),
     ]
     card = F.element_at(F.array(*cards), (k % _FORMS + 1).cast("int"))
-    f = extract.all_fields(card, 2026)
+    f = let(card, lambda c: extract.all_fields(c, 2026))
     out = A.table(spark, d, "part").select(k.alias("id"), f.alias("f"))
     return out.select("id", *[F.col(f"f.{c}").alias(c) for c in ("deceased_name", "date_of_death", "date_of_burial", "age", "sex", "grave_fee", "undertaker", "svc_no", "description")])
 
