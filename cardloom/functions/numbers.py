@@ -17,6 +17,18 @@ def clamped(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """``c`` times a power of ten, rounded with halves away from zero, and divided again, all in doubles: halfway cases that only the
+    decimal form has (0.6716665 times a million is 671666.4999...) fall as the product does."""
+    scale = F.lit(10.0**places)
+    return F.round(c * scale) / scale
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many decimals as C, Python and SQL print it: of the exact binary value, halves to even. ``null`` for a null."""
+    return F.coalesce(F.call_function("format_number", c, F.lit("0." + "0" * places)), F.lit("null"))
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d, 0 where d is 0."""
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))

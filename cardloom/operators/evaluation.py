@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import normal_date
-from ..functions.numbers import ratio
+from ..functions.numbers import fixed, ratio
 from ..functions.text import normal_name
 from .review import last_of
 
@@ -113,13 +113,13 @@ def report(predictions: DataFrame) -> DataFrame:
 
 def report_lines(rows: DataFrame, title: str, generated_at: str) -> DataFrame:
     """``report``'s rows as the lines of a Markdown page: (line_no, line)."""
-    pct, ms = lambda c: F.format_string("%.2f%%", F.col(c) * 100), lambda c: F.format_string("%.1f", F.col(c))
+    pct, ms = lambda c: F.concat(fixed(F.col(c) * 100, 2), F.lit("%")), lambda c: fixed(F.col(c), 1)
     model = F.coalesce("model_id", F.lit(""))
     join = lambda *cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
     place = F.format_string("%09d", "rank")
     head = ["# " + title, "", "Generated: " + generated_at, "", "## Ranking", "", "| Rank | Model | Exact | Name | DoD | Errors | Avg RT (ms) | P95 RT (ms) |", "| --- | --- | ---: | ---: | ---: | ---: | ---: | ---: |"]
     between = ["", "## Per-Model Buckets", ""]
-    fixed = rows.sparkSession.createDataFrame([(f"0{i:03d}", t) for i, t in enumerate(head)] + [(f"2{i:03d}", t) for i, t in enumerate(between)], "at string, line string")
+    head_lines = rows.sparkSession.createDataFrame([(f"0{i:03d}", t) for i, t in enumerate(head)] + [(f"2{i:03d}", t) for i, t in enumerate(between)], "at string, line string")
     models = rows.where("level = 'model'")
     ranked = models.select(F.concat(F.lit("1"), place).alias("at"), join(F.col("rank").cast("string"), model, pct("exact_accuracy"), pct("name_accuracy"), pct("dod_accuracy"), F.col("errors").cast("string"), ms("latency_avg"), ms("latency_p95")).alias("line"))
     overall = F.concat(
@@ -130,7 +130,7 @@ def report_lines(rows: DataFrame, title: str, generated_at: str) -> DataFrame:
     # of each model: six lines, its buckets, a blank line; the blank one goes after the buckets by its key
     about = models.select(model.alias("m"), F.posexplode(parts).alias("i", "line")).select(F.concat(F.lit("3"), "m", F.lit("\u0001"), F.when(F.col("i") < 6, F.format_string("0%d", "i")).otherwise("2")).alias("at"), "line")
     buckets = rows.where("level = 'bucket'").select(F.concat(F.lit("3"), model, F.lit("\u00011"), F.coalesce("difficulty_bucket", F.lit(""))).alias("at"), join(F.coalesce("difficulty_bucket", F.lit("")), pct("exact_accuracy"), pct("name_accuracy"), pct("dod_accuracy"), F.col("errors").cast("string"), pct("error_rate"), F.col("total").cast("string")).alias("line"))
-    every = fixed.unionByName(ranked).unionByName(about).unionByName(buckets)
+    every = head_lines.unionByName(ranked).unionByName(about).unionByName(buckets)
     return every.select((F.row_number().over(Window.orderBy("at")) - 1).alias("line_no"), "line")  # a line for each model and bucket
 
 

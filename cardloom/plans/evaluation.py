@@ -106,7 +106,7 @@ _M = {c: _MS.format(c) for c in ("latency_avg", "latency_p50", "latency_p95")}
 )
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the report."""
-    return evaluation.report_lines(evaluation.report(_adjudicated(spark, d)), "Model comparison", "2024-01-01T00:00:00Z")
+    return evaluation.report_lines(_rounded(evaluation.report(_adjudicated(spark, d))), "Model comparison", "2024-01-01T00:00:00Z")
 
 
 @query("SELECT count(*) AS total, round(avg((doc_id % 3 <> 2)::INT), 6) AS name_accuracy, round(avg((doc_id % 4 <> 1)::INT), 6) AS dod_accuracy, round(avg((doc_id % 4 = 2)::INT), 6) AS dod_blank_ok_rate FROM labels")

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from cardloom.functions.numbers import fixed
 from cardloom.functions.text import normal_path
 from cardloom.operators import evaluation
 from cardloom.sources import files
@@ -73,3 +74,17 @@ def test_paths(spark):
     said = {"/a//b/./c/": "/a/b/c", "/../a/../b": "/b", "a/../../b": "../b", "~/x/../y": "/home/u/y", "../../x": "../../x", "/": "/", "": "", "a/b": "a/b", "~x": "~x"}
     df = spark.createDataFrame([(k,) for k in said], "p string")
     assert {r[0]: r[1] for r in df.select("p", normal_path(F.col("p"), "/home/u")).collect()} == said
+
+
+def test_numbers_are_printed_of_their_exact_value(spark):
+    values = [947.05, 0.25, 0.35, 58.545, 1234.75, 0.0, 499.8]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)] + [(99, None)], "k int, v double").orderBy("k")
+    assert [r[0] for r in df.select(fixed(F.col("v"), 1)).collect()] == [f"{v:.1f}" for v in values] + ["null"]
+    assert [r[0] for r in df.select(fixed(F.col("v"), 2)).collect()] == [f"{v:.2f}" for v in values] + ["null"]
+
+
+def test_a_report_prints_percentiles_of_its_exact_value(spark):
+    p = [("a", "easy", True, True, True, float(ms), None) for ms in (947.0, 948.0)]
+    df = spark.createDataFrame(p, "model_id string, difficulty_bucket string, name_match boolean, dod_match boolean, exact_match boolean, latency_ms double, error string")
+    rows = evaluation.report(df).withColumn("latency_p95", F.when(F.col("latency_p95").isNotNull(), F.lit(947.05)))
+    assert "| 1 | a | 100.00% | 100.00% | 100.00% | 0 | 947.5 | 947.0 |" in [r["line"] for r in evaluation.report_lines(rows, "t", "now").collect()]
