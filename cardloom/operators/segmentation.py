@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import mean_difference
+from ..functions.numbers import rounded
 from ..params import Backstop, Segmentation
 from ..schemas import struct_of
 from .tracker import Log, Tracker
@@ -71,13 +72,13 @@ def candidates(frames: DataFrame, p: Segmentation = Segmentation()) -> DataFrame
     rows = members(frames, p)
     each = Window.partitionBy("video_id", "segment")
     rows = rows.withColumn("first", F.min("frame_number").over(each)).withColumn("final", F.max("frame_number").over(each))
-    lm = F.round((F.col("motion") + F.col("after")) / 2, 6)
+    lm = rounded((F.col("motion") + F.col("after")) / 2, 6)
     inner = (F.col("frame_number") > F.col("first")) & (F.col("frame_number") < F.col("final"))
     rows = rows.withColumn("local_motion", F.when(inner, lm))
     calm = F.col("local_motion") <= p.candidate_motion
     found = F.struct("frame_number", "local_motion", "sharpness", *[c for c in ("hash",) if c in frames.columns])
     best = F.min_by(F.when(calm, found), F.when(calm, F.struct(F.col("local_motion"), -F.col("sharpness"), F.col("frame_number"))))
-    rest = F.struct(F.round(-(F.col("sharpness") - p.fallback_weight * F.col("local_motion")), 6), F.col("local_motion"), -F.col("sharpness"), F.col("frame_number"))
+    rest = F.struct(rounded(-(F.col("sharpness") - p.fallback_weight * F.col("local_motion")), 6), F.col("local_motion"), -F.col("sharpness"), F.col("frame_number"))
     other = F.min_by(F.when(inner, found), F.when(inner, rest))
     out = rows.groupBy("video_id", "segment").agg(F.min("frame_number").alias("first_frame"), F.max("frame_number").alias("final_frame"), F.count("*").alias("frames"), (F.max("frame_number") == F.max("last_frame")).alias("eof"), best.alias("best"), other.alias("other"))
     out = out.withColumn("fallback", F.col("best").isNull() & F.col("other").isNotNull()).withColumn("chosen", F.coalesce("best", "other"))

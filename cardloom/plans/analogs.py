@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sign_bits
+from ..functions.numbers import rounded
 
 #: Models of the evaluation: name and number (fixed values of the test data).
 MODELS = (("alpha", 1), ("beta", 2), ("gamma", 3))
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frames(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.row_number().over(w).alias("frame_number"), F.round(F.col("value") / 6, 6).alias("motion"), k.alias("sharpness"), (F.col("event_id") * 2654435761 % 4294967296).alias("hash"), *more)
+    return table(spark, d, "events").select(F.col("user_id").alias("video_id"), F.row_number().over(w).alias("frame_number"), rounded(F.col("value") / 6, 6).alias("motion"), k.alias("sharpness"), (F.col("event_id") * 2654435761 % 4294967296).alias("hash"), *more)
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
