@@ -11,6 +11,7 @@ not checked; without hashes nothing is a repeat.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -25,6 +26,13 @@ Row = tuple[int, float, float, int | None]
 WINDOW = "frames int, first int, last int, last_motion double, last_sharpness double, last_hash long, calm_frame int, calm_motion double, calm_sharpness double, calm_hash long, other_frame int, other_motion double, other_sharpness double, other_hash long"
 
 
+def rounded(x: float) -> float:
+    """Six decimals by the rule of ``functions.numbers.rounded``, so that the machine's ties are those of the window functions."""
+    y = abs(x) * 1e6
+    low = math.floor(y)
+    return math.copysign((low + (y - low >= 0.5)) / 1e6, x)
+
+
 @dataclass(slots=True)
 class Window:
     """A window's bounds, its last frame, and its best frames so far: of those with little local motion, and of all.
@@ -41,7 +49,7 @@ class Window:
     def add(self, row: Row, p: Segmentation) -> None:
         if self.frames >= 2:
             frame, motion, sharpness, bits = self.last
-            found = (frame, round((motion + row[1]) / 2, 6), sharpness, bits)
+            found = (frame, rounded((motion + row[1]) / 2), sharpness, bits)
             if found[1] <= p.candidate_motion and (self.calm is None or self._calmness(found) < self._calmness(self.calm)):
                 self.calm = found
             if self.other is None or self._score(found, p) < self._score(self.other, p):
@@ -55,7 +63,7 @@ class Window:
 
     @staticmethod
     def _score(c: Row, p: Segmentation) -> tuple:
-        return round(-(c[2] - p.fallback_weight * c[1]), 6), c[1], -c[2], c[0]
+        return rounded(-(c[2] - p.fallback_weight * c[1])), c[1], -c[2], c[0]
 
     def copy(self) -> Window:
         return Window(self.frames, self.first, self.last, self.calm, self.other)

@@ -1,8 +1,10 @@
 """The state machine, the iterator over sorted frames and the stream, against a plain run that keeps whole windows."""
 
+import duckdb
 import numpy as np
 import pytest
-from cardloom.operators import segmentation
+from cardloom.functions import numbers
+from cardloom.operators import segmentation, tracker
 from cardloom.operators.tracker import Log, Tracker
 from cardloom.params import Backstop, Segmentation
 from cardloom.plans.streams import in_batches
@@ -186,3 +188,21 @@ def test_repeats_with_null_hashes(spark):
     df = spark.createDataFrame([("v", 1, 0), ("v", 2, 1), ("v", 3, None), ("v", 4, 1), ("w", 1, -1), ("w", 2, -1)], "video_id string, segment int, hash long")
     got = [(r["accepted"], r["sequence_index"], r["duplicate_distance"]) for r in segmentation.without_repeats(df, "video_id", "segment", 6).orderBy("video_id", "segment").collect()]
     assert got == [(True, 1, None), (False, None, 1), (True, 2, None), (True, 3, None), (True, 1, None), (False, None, 0)]
+
+
+def test_local_motion_is_rounded_as_sql_does(spark):
+    """Halfway cases of six decimals: the window functions, the machine and SQL put them on the same side."""
+    rng = np.random.default_rng(3)
+    pairs = [(int(a) / 1e6, int(b) / 1e6) for a, b in rng.integers(0, 20_000_000, (4000, 2))]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a double, b double").orderBy("k")
+    want = [duckdb.execute("select round((?::double + ?::double) / 2, 6)", p).fetchone()[0] for p in pairs]
+    assert [r[0] for r in df.select(numbers.rounded((F.col("a") + F.col("b")) / 2, 6)).collect()] == want
+    assert [tracker.rounded((a + b) / 2) for a, b in pairs] == want
+
+
+def test_the_best_frame_lies_on_the_rounded_side(spark):
+    """The fifth frame's local motion, 1.1130754999... as a double, is 1.113076 to SQL, and so is the sixth's: the sharper one is chosen."""
+    motions = [20.0, 20.0, 5.0, 5.0, 1.179424, 1.046727, 1.179425, 5.0, 5.0]
+    df = spark.createDataFrame([(1, k, m, 50.0 if k == 6 else 10.0, k) for k, m in enumerate(motions, 1)], "video_id long, frame_number int, motion double, sharpness double, hash long")
+    for rows in (segmentation.decisions(df, SHORT), segmentation.tracked(df, SHORT)):
+        assert [(r["frame_number"], r["local_motion"], r["decision"]) for r in rows.collect()] == [(6, 1.113076, "accepted")]
