@@ -49,7 +49,8 @@ def clustered_lines(pages: DataFrame, tolerance: float = 12.0) -> DataFrame:
 
 def date_of_death(words: Column, slack: int = 18, gap: int = 4) -> Column:
     """ISO date from a page's words: those right of the surest word that names the death, in its band of heights, up to a word
-    that names burial or birth. The first of equally sure words counts."""
+    that names burial or birth. Of equally sure words one that is ``death`` itself behind an ``of`` counts before one that is it, and
+    that before one that only holds it, as a name may; then the first."""
 
     def read(anchor: Column) -> Column:
         right = F.filter(in_band(words, anchor[1] - slack, anchor[3] + slack), lambda w: w["bbox"][0] >= anchor[2] + gap)
@@ -58,6 +59,10 @@ def date_of_death(words: Column, slack: int = 18, gap: int = 4) -> Column:
         near = let(right, lambda r: F.slice(r, 1, F.when(end(r) > 0, end(r) - 1).otherwise(F.size(r))))
         return iso_date(F.array_join(F.transform(near, lambda w: w["text"]), " "))
 
-    named = F.filter(words, lambda w: F.contains(token(w["text"]), F.lit("death")))
-    surest = F.array_max(F.transform(named, lambda w, i: F.struct(w["confidence"].alias("c"), (-i).alias("i"), w["bbox"].alias("bbox"))))
+    def placed(w: Column, i: Column) -> Column:
+        behind = F.when(i > 0, token(F.get(words, i - 1)["text"])) == "of"
+        own = F.when(token(w["text"]) != "death", 0).when(F.coalesce(behind, F.lit(False)), 2).otherwise(1)
+        return F.when(F.contains(token(w["text"]), F.lit("death")), F.struct(w["confidence"].alias("c"), own.alias("own"), (-i).alias("i"), w["bbox"].alias("bbox")))
+
+    surest = F.array_max(F.transform(words, placed))  # skips nulls
     return let(surest["bbox"], read)

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from __spark_entry__ import queries
 from cardloom.functions import page as P
 from cardloom.operators import layout
 from pyspark.sql import functions as F
@@ -159,3 +160,10 @@ def test_lines_follow_running_means(spark):
     df = spark.createDataFrame([(1, page), (2, [])], PAGE)
     got = df.orderBy("card_id").select(P.texts(P.lines(F.col("words"), 10.0))).collect()
     assert [r[0] for r in got] == [["a c b", "d", "z"], []]
+
+
+def test_a_name_that_holds_the_label_is_no_anchor(spark, tmp_path):
+    """Documents whose first word, the form's name, holds or is ``death``; the first template's third of them states a date."""
+    spark.createDataFrame([(k, t) for k, t in ((3, "Edeath of it"), (6, "Death came"), (9, "plain"), (4, "Death"), (5, "Death"), (12, None))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["card_id"]: r["date_of_death"] for r in queries()["words_date_of_death"](spark, str(tmp_path)).collect()}
+    assert got == {3: "1970-01-04", 6: "1970-01-07", 9: "1970-01-10", 4: None, 5: None, 12: "1970-01-13"}
