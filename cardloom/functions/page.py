@@ -82,47 +82,73 @@ def left_to_right(words: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda k: k["w"])
 
 
-#: Line numbers that are gathered before they're put by, so that what is copied for a word doesn't grow with the page.
+#: Line numbers that are gathered before they're put by, so that what is copied for a run doesn't grow with the page.
 _CHUNK = 128
 
 
+def _runs(qs: Column) -> Column:
+    """array<struct<y, c, at, n>>: stretches of words, in order, that have the same upper and lower edge: that upper edge, their
+    middle, where they begin (from 1) and how many they are."""
+
+    def begins(q: Column, i: Column) -> Column:
+        before = F.get(qs, i - 1)
+        same = q["y"].eqNullSafe(before["y"]) & q["w"]["bbox"][3].eqNullSafe(before["w"]["bbox"][3])
+        return F.when((i == 0) | ~same, i)
+
+    def run(starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(qs))
+        middle = lambda q: (q["y"] + q["w"]["bbox"][3]) / F.lit(2.0)
+        return F.transform(starts, lambda a, k: F.struct(qs[a]["y"].alias("y"), middle(qs[a]).alias("c"), (a + 1).alias("at"), (end(k) - a).alias("n")))
+
+    return let(F.filter(F.transform(qs, begins), lambda a: a.isNotNull()), run)
+
+
 def lines(words: Column, tolerance: float) -> Column:
     """array<struct<text, words>>: the page's lines from top to bottom.
 
     Words are taken by their upper edge; each joins the first line whose mean height is near enough, or begins one. As edges
     only rise, a line that lies ``tolerance`` above the next edge is closed, so a word is compared with the few lines that are
-    open, however long the page is. The fold keeps sums and line numbers only; words are sorted into their lines afterwards.
+    open, however long the page is. Words of equal edges that follow each other go to one line, as its mean only comes nearer to
+    them: the fold takes each such run in one step. It keeps sums and line numbers only; runs are sorted into their lines afterwards.
     """
     line = "struct<id:int,total:double,n:int>"
     queue = F.array_sort(F.transform(shown(words), lambda w, i: F.struct(w["bbox"][1].alias("y"), w["bbox"][0].alias("x"), i.alias("i"), F.struct(w["text"].alias("text"), w["confidence"].cast("int").alias("confidence"), w["bbox"].alias("bbox")).alias("w"))))
     no_lines, numbers = F.array().cast(f"array<{line}>"), F.array().cast("array<int>")
 
     def step(s: Column, q: Column) -> Column:
-        y, open_ = (q["w"]["bbox"][1] + q["w"]["bbox"][3]) / F.lit(2.0), s["open"]
-        near = lambda k: F.abs(y - k["total"] / k["n"]) <= tolerance
+        c, open_ = q["c"], s["open"]
+        near = lambda k: F.abs(c - k["total"] / k["n"]) <= tolerance
         over = lambda k: k["total"] / k["n"] < q["y"] - tolerance
         at = F.array_position(F.transform(open_, near), F.lit(True)).cast("int")
         joins = F.exists(open_, near)
         number = F.when(joins, open_[at - 1]["id"]).otherwise(s["n"] + 1)
-        joined_ = F.transform(open_, lambda k, i: F.when(i == at - 1, F.struct(k["id"].alias("id"), (k["total"] + y).alias("total"), (k["n"] + 1).alias("n"))).otherwise(k))
-        begun = F.array_append(F.filter(open_, lambda k: ~over(k)), F.struct((s["n"] + 1).alias("id"), y.alias("total"), F.lit(1).alias("n")))
+        joined_ = F.transform(open_, lambda k, i: F.when(i == at - 1, F.struct(k["id"].alias("id"), (k["total"] + c * q["n"]).alias("total"), (k["n"] + q["n"]).alias("n"))).otherwise(k))
+        begun = F.array_append(F.filter(open_, lambda k: ~over(k)), F.struct((s["n"] + 1).alias("id"), (c * q["n"]).alias("total"), q["n"].alias("n")))
         full = F.size(s["some"]) >= _CHUNK
         return F.struct(
-            F.when(joins, s["done"]).otherwise(F.concat(s["done"], F.filter(open_, over))).alias("done"), F.when(joins, joined_).otherwise(begun).alias("open"), F.when(joins, s["n"]).otherwise(s["n"] + 1).alias("n"),
+            F.when(joins, joined_).otherwise(begun).alias("open"), F.when(joins, s["n"]).otherwise(s["n"] + 1).alias("n"),
             F.when(full, F.array_append(s["all"], s["some"])).otherwise(s["all"]).alias("all"), F.when(full, F.array(number)).otherwise(F.array_append(s["some"], number)).alias("some"),
         )
 
-    start = F.struct(no_lines.alias("done"), no_lines.alias("open"), F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("all"), numbers.alias("some"))
-    folded = lambda qs: F.aggregate(qs, start, step, lambda s: F.struct(F.array_sort(F.concat(s["done"], s["open"])).alias("ls"), F.concat(F.flatten(s["all"]), s["some"]).alias("of")))
-
-    def sorted_in(qs: Column, f: Column) -> Column:
-        mean = lambda i: f["ls"][i - 1]["total"] / f["ls"][i - 1]["n"]
-        placed = F.array_sort(F.transform(qs, lambda q, i: F.struct(mean(f["of"][i]).alias("y"), f["of"][i].alias("id"), q["x"].alias("x"), i.alias("i"), q["w"].alias("w"))))
-        order = F.array_sort(F.transform(f["ls"], lambda k: F.struct((k["total"] / k["n"]).alias("y"), k["id"].alias("id"), k["n"].alias("n"))))
-        spans = F.aggregate(order, F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out")), lambda s, k: F.struct((s["at"] + k["n"]).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("at"), k["n"].alias("n"))).alias("out")), lambda s: s["out"])
-        return let(placed, lambda ps: F.transform(spans, lambda k: let(F.transform(F.slice(ps, k["at"], k["n"]), lambda p: p["w"]), lambda ws: F.struct(joined(ws).alias("text"), ws.alias("words")))))
-
-    return let(queue, lambda qs: let(folded(qs), lambda f: sorted_in(qs, f)))
+    start = F.struct(no_lines.alias("open"), F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("all"), numbers.alias("some"))
+    of_runs = lambda rs: F.aggregate(rs, start, step, lambda s: F.concat(F.flatten(s["all"]), s["some"]))
+
+    def gathered(tagged: Column) -> Column:
+        """Each line with its runs, which stand together by its number: struct<y, id, runs>, from top to bottom."""
+        begins = F.filter(F.transform(tagged, lambda t, k: F.when((k == 0) | ~t["id"].eqNullSafe(F.get(tagged, k - 1)["id"]), k)), lambda a: a.isNotNull())
+        total = lambda rs: F.aggregate(rs, F.lit(0.0), lambda s, r: s + r["c"] * r["n"]) / F.aggregate(rs, F.lit(0), lambda s, r: s + r["n"])
+        of = lambda starts: F.transform(starts, lambda a, k: let(F.slice(tagged, a + 1, F.coalesce(F.get(starts, k + 1), F.size(tagged)) - a), lambda rs: F.struct(total(rs).alias("y"), rs[0]["id"].alias("id"), rs.alias("runs"))))
+        return F.array_sort(let(begins, of))
+
+    def in_lines(qs: Column, rs: Column, numbers_: Column) -> Column:
+        tagged = F.array_sort(F.transform(rs, lambda r, k: F.struct(numbers_[k].alias("id"), k.alias("k"), r["c"].alias("c"), r["at"].alias("at"), r["n"].alias("n"))))
+        one = lambda r: F.transform(F.slice(qs, r["at"], r["n"]), lambda q: q["w"])
+        placed = lambda r: F.transform(F.slice(qs, r["at"], r["n"]), lambda q: F.struct(q["x"].alias("x"), q["i"].alias("i"), q["w"].alias("w")))
+        many = lambda runs: F.transform(F.array_sort(F.flatten(F.transform(runs, placed))), lambda p: p["w"])
+        members = lambda runs: F.when(F.size(runs) == 1, one(runs[0])).otherwise(many(runs))
+        return F.transform(let(tagged, gathered), lambda k: let(members(k["runs"]), lambda ws: F.struct(joined(ws).alias("text"), ws.alias("words"))))
+
+    return let(queue, lambda qs: let(_runs(qs), lambda rs: let(of_runs(rs), lambda n: in_lines(qs, rs, n))))
 
 
 def texts(page_lines: Column) -> Column:
