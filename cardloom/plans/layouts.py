@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..operators import extract, layout, words
 from . import analogs as A
 
@@ -65,13 +66,13 @@ def _day(n: int) -> Column:
 def _placed(lines: list[Column]) -> Column:
     """Words of lines of a typewriter: ten pixels a letter, sixty a line."""
 
-    def of(line: Column, y: int) -> Column:
-        tokens = F.split(line, " ")
-        box = lambda w, i: F.length(F.array_join(F.slice(tokens, 1, i), " ")) + (i > 0).cast("int")
-        every = F.transform(tokens, lambda w, i: F.struct(w.alias("text"), F.lit(90).alias("confidence"), F.array(box(w, i) * 10, F.lit(60 * y), (box(w, i) + F.length(w)) * 10, F.lit(60 * y + 14)).alias("bbox")))
-        return F.filter(every, lambda w: w["text"] != "")
+    def of(tokens: Column, y: int) -> Column:
+        x = lambda i: (F.length(F.array_join(F.slice(tokens, 1, i), " ")) + (i > 0).cast("int")) * 10
+        bbox = lambda w, i: let(x(i), lambda at: F.array(at, F.lit(60 * y), at + F.length(w) * 10, F.lit(60 * y + 14)))
+        every = F.transform(tokens, lambda w, i: F.when(w != "", F.struct(w.alias("text"), F.lit(90).alias("confidence"), bbox(w, i).alias("bbox"))))
+        return F.filter(every, lambda w: w.isNotNull())
 
-    return F.flatten(F.array(*[of(line, y) for y, line in enumerate(lines)]))
+    return F.flatten(F.array(*[let(F.split(line, " "), lambda t, y=y: of(t, y)) for y, line in enumerate(lines)]))
 
 
 def forms(spark: SparkSession, d: str) -> DataFrame:

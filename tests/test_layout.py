@@ -6,6 +6,7 @@ import pytest
 from __spark_entry__ import queries
 from cardloom.functions import page as P
 from cardloom.operators import layout
+from cardloom.plans.layouts import _placed
 from pyspark.sql import functions as F
 
 PAGE = "card_id long, words array<struct<text:string,confidence:int,bbox:array<int>>>"
@@ -167,3 +168,14 @@ def test_a_name_that_holds_the_label_is_no_anchor(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, t in ((3, "Edeath of it"), (6, "Death came"), (9, "plain"), (4, "Death"), (5, "Death"), (12, None))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["card_id"]: r["date_of_death"] for r in queries()["words_date_of_death"](spark, str(tmp_path)).collect()}
     assert got == {3: "1970-01-04", 6: "1970-01-07", 9: "1970-01-10", 4: None, 5: None, 12: "1970-01-13"}
+
+
+def test_a_line_of_equal_edges_is_one_step(spark):
+    """Words of one line are one run for the fold, and the forms' lines are split once each, not for every word."""
+    q = "array<struct<y:int,x:int,i:int,w:struct<text:string,confidence:int,bbox:array<int>>>>"
+    queue = [(20 * (k // 50), k, k, (str(k), 1, [k, 20 * (k // 50), k + 1, 20 * (k // 50) + 12])) for k in range(100)]
+    runs = spark.createDataFrame([(queue,)], f"q {q}").select(P._runs(F.col("q"))).first()[0]
+    assert [tuple(r) for r in runs] == [(0, 6.0, 1, 50), (20, 26.0, 51, 50)]
+    plan = spark.createDataFrame([("a  b c",)], "t string").select(_placed([F.col("t")]).alias("w"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [(w["text"], w["bbox"]) for w in plan.first()["w"]] == [("a", [0, 0, 10, 14]), ("b", [30, 0, 40, 14]), ("c", [50, 0, 60, 14])]
