@@ -19,9 +19,8 @@ gives an empty result; other columns of the input, whatever their names, are not
 from __future__ import annotations
 
 import re
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Collection, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,10 @@ EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
 STEMS, HALF_Z = (5,), 6.0
 #: Words whose terms a task remembers; texts that are scored together.
 REMEMBERED, TOGETHER = 200_000, 64
-#: Postings a block from which on a list's blocks are tried by their maxima before they are read; lists read whole in any case.
+#: Postings a block from which on a list's blocks, if it has a quarter of all, are tried by their maxima before they are read; lists read whole in any case.
 LONG, HEAD = 5, 32
+#: Postings that are added up at once, which bounds a task's work space.
+PIECE = 1 << 16
 
 _WORDS = re.compile(r"\w+")
 
@@ -62,35 +63,55 @@ class Vectors:
     """Texts as unit vectors over the terms of the examples: names, sorted, and the weight of each."""
 
     def __init__(self, names: np.ndarray, weight: np.ndarray):
-        self.names, self.weight, self._known = names, weight.astype(np.float32), {}
+        self.names, self.weight = names, weight.astype(np.float32)
+        #: Words that were met by their number, and of each number the terms.
+        self._known, self._terms = {}, np.full((1024, 1 + len(STEMS)), -1, np.int32)
 
     def terms(self, words: Collection[str]) -> np.ndarray:
         """A row for each word: as many columns as a word can have terms, -1 for what it lacks or no example has. The first
         REMEMBERED words that a task meets, the common ones, are looked up once."""
-        known, width = self._known, 1 + len(STEMS)
-        if fresh := [w for w in words if w not in known]:
-            names = [(*names_of(w), *[-1] * width)[:width] for w in fresh]
-            flat = np.fromiter(chain.from_iterable(names), np.int64, len(names) * width)
-            at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
-            found = dict(zip(fresh, map(tuple, np.where(self.names[at] == flat, at, -1).reshape(-1, width).tolist()), strict=True))
-            if len(known) >= REMEMBERED:
-                known = ChainMap(found, known)
-            else:
-                known.update(found)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64, len(words) * width).reshape(-1, width)
+        known = self._known
+        numbers = list(map(known.get, words))
+        if None not in numbers:
+            return self._terms[numbers] if numbers else self._terms[:0]
+        fresh = [w for w, n in zip(words, numbers, strict=True) if n is None]
+        found = self._found(fresh)
+        if len(known) >= REMEMBERED:
+            at = np.asarray([-1 if n is None else n for n in numbers])
+            out = self._terms[at]
+            out[at < 0] = found
+            return out
+        fresh, at = list(dict.fromkeys(fresh)), dict(zip(fresh, range(len(fresh)), strict=True))
+        size = len(known)
+        if size + len(fresh) > len(self._terms):
+            self._terms = np.concatenate([self._terms, np.full((size + len(fresh), self._terms.shape[1]), -1, np.int32)])
+        self._terms[size : size + len(fresh)] = found[[at[w] for w in fresh]]
+        known.update(zip(fresh, range(size, size + len(fresh)), strict=True))
+        return self._terms[list(map(known.__getitem__, words))]
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        """The terms of words, by their names as in names_of, of all words at once."""
+        digest, n = xxhash.xxh3_64_intdigest, len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        columns = [words, *([f"{w[:size]}-" for w in words] for size in STEMS)]
+        names = np.stack([np.fromiter(map(digest, c), np.uint64, n) >> 1 for c in columns], axis=1).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where((self.names[at] == names) & (sizes[:, None] >= np.array([0, *STEMS])), at, -1)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and how often it has each."""
         words = words_of(text)
         ids = self.terms(words)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), ids.shape[1])
-        ids = ids.ravel()
-        by_id = np.argsort(ids, kind="stable")[np.count_nonzero(ids < 0) :]
-        if not len(by_id):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids, times = ids[by_id], times[by_id]
+        times = np.fromiter(words.values(), np.int64, len(words))
+        # a term and its times in one number, which sorts faster than places do
+        both = (ids.astype(np.int64) << 31 | times[:, None]).ravel()
+        both = both[both >= 0]
+        if not len(both):
+            return both, both
+        both.sort()
+        ids = both >> 31
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        return ids[first], np.add.reduceat(times, first)
+        return ids[first], np.add.reduceat(both & (1 << 31) - 1, first)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; none if it has no term with a weight."""
@@ -121,12 +142,13 @@ class BlockMaxIndex:
         term = np.concatenate([rows[i][0] for i in self.order]).astype(np.int32)
         place = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) < 1 << 16 else np.int32), [len(rows[i][0]) for i in self.order])
         by_term = np.argsort(term, kind="stable")  # places stay in order
-        term, self.place, self.weight = term[by_term], place[by_term], np.concatenate([rows[i][1] for i in self.order]).astype(np.float32)[by_term]
+        term, self.place, self.weight = term[by_term], place[by_term], np.concatenate([np.round(rows[i][1] * 2.0**24) / 2.0**24 for i in self.order]).astype(np.float32)[by_term]
         block = self.place // BLOCK
         at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
         #: Of each term its blocks; of each of these its postings, number and largest weight; each term's largest weight.
         self.lists = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
         self.postings, self.block, self.most = np.r_[at, len(term)].astype(np.int32), block[at], np.maximum.reduceat(self.weight, at)
+        self.starts = self.postings[self.lists]
         self.top = np.zeros(terms, np.float32)
         np.maximum.at(self.top, term[at], self.most)
         #: Lists that hold an eighth of the examples or more are kept as rows of weights instead, for all blocks.
@@ -138,6 +160,14 @@ class BlockMaxIndex:
         for r, t in enumerate(full.tolist()):
             own = slice(self.postings[self.lists[t]], self.postings[self.lists[t + 1]])
             self.full[r, self.place[own]] = self.weight[own]
+        #: Maxima of long lists, a row for each list and a column for each block, so that a text's bounds are one product.
+        has = np.diff(self.lists)
+        long = np.flatnonzero((sizes >= LONG * has) & (4 * has >= self.blocks) & (self.row < 0))
+        self.bounded = np.full(terms, -1, np.int32)
+        self.bounded[long] = np.arange(len(long))
+        self.maxima = np.zeros((len(long), self.blocks), np.float32)
+        at, times = _ranges(self.lists[long], self.lists[long + 1])
+        self.maxima[np.repeat(np.arange(len(long)), times), self.block[at]] = self.most[at]
 
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the longest lists add to the scores of several texts: a row for each text, a column for each example."""
@@ -147,10 +177,12 @@ class BlockMaxIndex:
             query[i, row[row >= 0]] = weights[row >= 0]
         return query @ self._own()[0]
 
-    def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A task's own copies in the types in which sums are made: the longest lists, places and weights of all postings."""
+    def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A task's own: the longest lists in the type in which sums are made; all postings, the weight in multiples of 2^-24
+        before the place, one number each, so that one is fetched where two were; numbers from 0; work space."""
         if self._wide is None:
-            self._wide = self.full.astype(float), self.place.astype(np.intp), self.weight.astype(float)
+            room = PIECE + len(self.labels)
+            self._wide = self.full.astype(float), (self.weight * 2.0**24).astype(np.int64) << 32 | self.place, np.arange(room), np.empty((2, room), np.int64)
         return self._wide
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +191,9 @@ class BlockMaxIndex:
         scores = (self.common([(terms, weights)])[0] if common is None else common).astype(float)
         listed = self.row[terms] < 0
         terms, weights = terms[listed], weights[listed]
-        entries, ends = self.lists[terms], self.lists[terms + 1]
-        first, last = self.postings[entries], self.postings[ends]
-        far = last - first >= LONG * (ends - entries)
+        first, last = self.starts[terms], self.starts[terms + 1]
+        bounded = self.bounded[terms]
+        far = bounded >= 0
         if len(terms) > HEAD:  # the weightiest lists are read whole: they set the score that others must reach
             impact = weights * self.top[terms]
             far &= impact < np.partition(impact, len(impact) - HEAD)[len(impact) - HEAD]
@@ -169,28 +201,54 @@ class BlockMaxIndex:
         if leave is not None:
             scores[leave] = 0
         if far.any():
-            at, times = _ranges(entries[far], ends[far])
-            own, block = np.repeat(weights[far], times), self.block[at]
-            bounds = np.bincount(block, self.most[at] * own, self.blocks) + np.maximum.reduceat(scores, np.arange(0, n, BLOCK))
-            least = np.partition(scores, n - k)[n - k] if n > k else 0.0
+            least, tops = self._least(scores, k)
+            bounds = weights[far] @ self.maxima[bounded[far]].astype(float) + tops
             left = bounds * (1 + 1e-9) + 1e-12 >= least
             if 2 * left.sum() < self.blocks:
-                on = left[block]
-                scores = self._added(scores, self.postings[at[on]], self.postings[at[on] + 1], own[on])
+                at, times = _ranges(self.lists[terms[far]], self.lists[terms[far] + 1])
+                on = left[self.block[at]]
+                scores = self._added(scores, self.postings[at[on]], self.postings[at[on] + 1], np.repeat(weights[far], times)[on])
             else:
                 scores = self._added(scores, first[far], last[far], weights[far])
-            scores[~np.repeat(left, BLOCK)[:n]] = 0
+            if not left.all():
+                scores[~np.repeat(left, BLOCK)[:n]] = 0
             if leave is not None:
                 scores[leave] = 0
-        least = np.partition(scores, n - k)[n - k] if n > k else 0.0
-        found = np.flatnonzero((scores > 0) & (scores >= least))
+        least = self._least(scores, k)[0]
+        found = np.flatnonzero(scores >= least if least > 0 else scores > 0)
         found = found[np.lexsort((found, -scores[found]))[:k]]
         return found, np.minimum(scores[found], 1.0)
 
+    def _least(self, scores: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+        """The k-th largest score, 0 if there are no more than k, and the largest of each block. It is no less than the k-th largest of these."""
+        tops = np.maximum.reduceat(scores, np.arange(0, len(scores), BLOCK))
+        if len(scores) <= k:
+            return 0.0, tops
+        if len(tops) >= k:
+            scores = scores[scores >= np.partition(tops, len(tops) - k)[len(tops) - k]]
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]), tops
+
     def _added(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        _, place, weight = self._own()
-        at, times = _ranges(first, last)
-        return scores + np.bincount(place[at], weight[at] * np.repeat(weights, times), len(scores))
+        """scores, to which the postings from each first to before its last are added, by their weights."""
+        _, postings, numbers, (held, place) = self._own()
+        n = (last - first).astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        cuts = [0, *np.searchsorted(ends, np.arange(PIECE, total, PIECE), side="right").tolist(), len(n)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            before = int(ends[a] - n[a])
+            size = int(ends[b - 1]) - before
+            at = np.repeat(first[a:b] - (ends[a:b] - n[a:b] - before), n[a:b])
+            at += numbers[:size]
+            x = np.take(postings, at, out=held[:size], mode="clip")
+            p = np.bitwise_and(x, (1 << 32) - 1, out=place[:size])
+            x >>= 32
+            own = np.repeat(weights[a:b], n[a:b])
+            own *= x
+            scores = scores + np.bincount(p, own, len(scores)) * 2.0**-24
+        return scores
 
 
 def vote(index: BlockMaxIndex, places: np.ndarray, scores: np.ndarray) -> tuple[float, float]:

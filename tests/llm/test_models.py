@@ -142,3 +142,51 @@ def test_odd_rows_and_no_rows(odd, no_docs, no_labels, labelled):
         assert run(no_docs, no_labels).count() == 0
         assert run(odd, no_labels).where("score <> 0").count() == 0
     assert toxicity.flagged(odd, toxicity.fit(docs, labels)).count() == odd.count()
+
+
+def test_words_that_are_looked_up_later_have_the_same_terms(monkeypatch):
+    """Terms by number, remembered or not, are those of the names one by one; counts are summed over words of the same beginning."""
+    names = np.sort(np.asarray([n for w in ("alpha", "alphabet", "beta", "gamma") for n in set(toxicity.names_of(w))], np.int64))
+    names = np.unique(names)
+    text = "Alpha alphabet ALPHABETS bet beta gammas gamma delta alpha " * 3
+    want = {}
+    for w, n in toxicity.words_of(text).items():
+        for name in toxicity.names_of(w):
+            if name in names:
+                at = int(np.searchsorted(names, name))
+                want[at] = want.get(at, 0) + n
+    for remembered in (0, 3, 10_000):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        v = toxicity.Vectors(names, np.ones(len(names)))
+        for _ in range(2):
+            terms, times = v.counts(text)
+            assert dict(zip(terms.tolist(), times.tolist(), strict=True)) == want and terms.tolist() == sorted(want)
+        assert len(v.counts(None)[0]) == 0 and len(v.counts("zz")[0]) == 0
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 16])
+def test_postings_in_pieces_give_the_exact_neighbours(monkeypatch, piece):
+    """Work space holds PIECE postings and a list at most, however many a text has; bounds of long lists lose no neighbour."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    monkeypatch.setattr(toxicity, "HEAD", 2)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(1500):  # terms that lie together, terms everywhere
+        t = np.unique(np.r_[i // 50, 40 + rng.choice(40, 4, p=np.arange(1, 41) / 820)])
+        w = rng.random(len(t)) * np.where(t < 40, 3, 0.5)
+        rows.append((t, w / np.sqrt(w @ w)))
+    index = toxicity.BlockMaxIndex(rows, rng.integers(0, 2, 1500), np.arange(1500), 80)
+    dense = np.zeros((1500, 80))
+    for place, i in enumerate(index.order.tolist()):
+        dense[place, rows[i][0]] = np.round(rows[i][1] * 2.0**24) / 2.0**24
+    assert len(index.maxima)
+    for leave in (None, 700):
+        for t, w in rows[::50]:
+            w = np.round(w * 2.0**24) / 2.0**24
+            every = dense[:, t] @ w
+            every[[] if leave is None else [leave]] = 0
+            want = sorted((-x, p) for p, x in enumerate(every) if x > 0)[:15]
+            places, scores = index.nearest(t, w, 15, leave)
+            assert places.tolist() == [p for _, p in want] and np.allclose(scores, [-x for x, _ in want], atol=1e-12)
+    room = index._own()[3].shape[1]
+    assert room == piece + 1500
