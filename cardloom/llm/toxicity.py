@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from .shared import cut, fold
+from .shared import cut, fold, give_back
 
 #: Examples of each class, neighbours that vote, examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 3000, 15, 64
@@ -409,6 +409,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: i
         return Model(None, None, None, float(rate)), docs
     share = {0: have[0] / zeros, 1: have[1] / ones}  # an example stands for so many
     vectors = Vectors(counted["term"].to_numpy(), relevance(counted["zeros"].to_numpy(), counted["ones"].to_numpy(), zeros, ones))
+    del counted
     docs = with_terms(docs, vectors, keep)
     n, df = document_counts(docs, vectors)
     vectors = Vectors(vectors.names, vectors.weight * (np.log((n + 1) / (df + 1)) + 1))
@@ -421,6 +422,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: i
 
     rows = cut(texts.withColumn("name", F.md5("text")).mapInPandas(to_vectors, "name string, doc_id long, label int, terms binary, weights binary"), "toxic-vectors")
     held.destroy()
+    give_back()
     full = rows.where(F.length("terms") > 0).toArrow().sort_by("name")
     if not len(full):
         return Model(None, None, None, float(rate)), docs
@@ -447,8 +449,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: i
     bare = {r["label"]: r["count"] for r in rows.where(F.length("terms") == 0).groupBy("label").count().collect()}
     y = np.r_[index.labels, *(np.full(bare.get(c, 0), float(c)) for c in (0, 1))]
     x = [*zip(got["share"].to_numpy(), got["mass"].to_numpy(), strict=True), *[(0.5, 0.0)] * (len(y) - len(index.labels))]
-    del got, counted, names, places
-    pa.default_memory_pool().release_unused()  # of the driver's tables, which else stay with its process through all later stages
+    del got, names, places
+    give_back()
     return Model(vectors, index, logistic(_traits(x), y, np.where(y > 0, share[1], share[0])), float(rate)), docs
 
 
@@ -471,7 +473,9 @@ def score(docs: DataFrame, model: Model, *, evidence: bool = False) -> DataFrame
 
 
 def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
-    """docs, without the terms that fit read, with one more column: 1 if the score of its text is 0.5 or more, else 0."""
+    """docs, without the terms that fit read, with one more column: 1 if the score of its text is 0.5 or more, else 0.
+
+    The marks are written, so that what reads them later doesn't keep the model in the driver."""
     held, (own, read) = docs.sparkSession.sparkContext.broadcast(model), _read(docs)
     at, n = [docs.columns.index(c) for c in read], len(own)
 
@@ -480,11 +484,15 @@ def flagged(docs: DataFrame, model: Model, name: str = "toxic") -> DataFrame:
             marks = pa.array([int(got[0] >= 0.5) for got in held.value.scores(b, at)], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], marks], names=[*b.schema.names[:n], name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields[:n], StructField(name, IntegerType())]))
+    out = cut(docs.mapInArrow(run, StructType([*docs.schema.fields[:n], StructField(name, IntegerType())])), "toxic-flagged")
+    held.destroy()
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, evidence: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from labels whose fold isn't ``held`` only."""
     model, read = fitted(docs.select("doc_id", "text"), labels.where(fold(F.col("doc_id"), folds) != held), keep=["doc_id"])
     out = score(read, model, evidence=evidence)
+    del model
+    give_back()
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), *[c for c in out.columns if c != "doc_id"])

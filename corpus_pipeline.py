@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cardloom.llm import mixing, near_dedup, packing, pii, toxicity
 from cardloom.llm.queries import tokenizer_file
-from cardloom.llm.shared import fold, table, table_path
+from cardloom.llm.shared import fold, give_back, table, table_path
 
 #: Folds of labels, of which the first is never learnt from.
 FOLDS = 5
@@ -24,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half. A null or empty text is no reason to go; equal rows go or stay together; an empty table gives an empty one."""
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), FOLDS) != 0)
     model, read = toxicity.fitted(docs, labels)
-    return toxicity.flagged(read, model, "__toxic").where("__toxic = 0").drop("__toxic")
+    out = toxicity.flagged(read, model, "__toxic").where("__toxic = 0").drop("__toxic")
+    del model
+    give_back()
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

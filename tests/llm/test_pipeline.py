@@ -1,6 +1,8 @@
 """The pipeline's rows on a small corpus, stage by stage, against brute force on each stage's own input; and its stages on odd rows."""
 
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -116,3 +118,22 @@ def test_stages_of_odd_rows_and_of_none(spark, odd, no_docs):
             assert got.columns == rows.columns and got.count()
         else:
             assert got.columns == rows.columns and got.count() == rows.count()
+
+
+def test_what_is_left_of_toxic_documents_keeps_no_model_in_the_driver(spark):
+    out = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert out.count() and "MapInArrow" not in out._jdf.queryExecution().toString()
+
+
+def test_freed_memory_goes_back_to_the_system():
+    code = """
+from pathlib import Path
+from cardloom.llm.shared import give_back
+held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+kept = [b"x" * 100_000 for _ in range(2000)]
+kept = kept[-1]
+before = held()
+give_back()
+assert before - held() > 100, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
