@@ -135,6 +135,35 @@ def test_components_follow_chains(spark):
     assert got == {i: 0 for i in range(200)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_components_of_links_in_chunks(spark, monkeypatch, chunk):
+    # chains up, down and in any order, a star, a ring, and one link given many times both ways
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    any_order = (1000 + rng.permutation(40)).tolist()
+    links = [(i, i + 1) for i in range(30)] + [(131 - i, 130 - i) for i in range(30)] + list(zip(any_order, any_order[1:], strict=False))
+    links += [(-(2**62) - i, 2**62) for i in range(20)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(7000, 6000), (6000, 7000)] * 9 + [(5, 5), (8000, 8000)]
+    root = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([links[i] for i in rng.permutation(len(links))], "a long, b long")
+    assert {r["rep"]: r["comp"] for r in near_dedup.components(df).collect()} == root
+    assert near_dedup.components(df.limit(0)).count() == 0
+
+
+def test_components_of_links_that_meet_take_one_shuffle(spark, monkeypatch):
+    links = [(k, 1000 * k + i) for k in range(1, 9) for i in range(60)] + [(1, 2)]
+    links = near_dedup.cut(spark.createDataFrame(links, "a long, b long").coalesce(1), "links")
+    tables, real = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name: tables.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or real(df, name))
+    got = {r["rep"]: r["comp"] for r in near_dedup.components(links).collect()}
+    comp = {k: 1 if k == 2 else k for k in range(1, 9)}
+    assert got == comp | {1000 * k + i: comp[k] for k in comp for i in range(60)}
+    assert tables == [1]
+
+
 def test_near_duplicates_of_odd_rows(odd, no_docs):
     rows = [tuple(r) for r in near_dedup.near_duplicates(odd, 2, 80).collect()]
     assert len(rows) == odd.count()
